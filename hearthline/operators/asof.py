@@ -21,7 +21,14 @@ from hearthline.functions.columns import (
     same,
     week_start,
 )
-from hearthline.operators.quantiles import keep_wanted, pick_values, spread
+from hearthline.operators.quantiles import (
+    add_moments,
+    cell_of,
+    keep_wanted,
+    offset,
+    pick_values,
+    spread,
+)
 from hearthline.schema import (
     ENROLMENT,
     MASTER_BANDS,
@@ -189,8 +196,9 @@ def state_profile(
     """
     names = list(probs)
     levels = [probs[k] for k in names]
-    cell = F.floor(F.col("v") / width)
+    cell = cell_of(F.col("v"), width)
     placed = states.select(*groups, "start", "stop", "final", "v", cell.alias("cell"))
+    off = offset(F.col("v"), F.col("cell"), width)
     moves = (
         placed.select(
             *groups,
@@ -208,8 +216,8 @@ def state_profile(
         .groupBy(*groups, "cell", "final", F.col("move.point").alias("since"))
         .agg(
             F.sum("move.sign").alias("m"),
-            F.sum(F.col("move.sign") * F.col("v")).alias("s"),
-            F.sum(F.col("move.sign") * F.col("v") * F.col("v")).alias("ss"),
+            F.sum(F.col("move.sign") * off).alias("s"),
+            F.sum(F.col("move.sign") * off * off).alias("ss"),
         )
     )
     time = Window.partitionBy(*groups, "cell").orderBy("since")
@@ -231,17 +239,8 @@ def state_profile(
         "s",
         "ss",
     )
-    whole = Window.partitionBy(*groups, "point")
-    cells = grid.select(
-        *groups,
-        "point",
-        "cell",
-        "m",
-        F.sum("m").over(whole).alias("n"),
-        F.sum("s").over(whole).alias("s"),
-        F.sum("ss").over(whole).alias("ss"),
-    )
-    totals = ["n", "s", "ss"]
+    cells = add_moments(grid, [*groups, "point"], width)
+    totals = ["n", "mean", "square"]
     keys = [*groups, "point"]
     kept = keep_wanted(cells, keys, levels).alias("kept")
     held = placed.alias("held")
@@ -258,13 +257,13 @@ def state_profile(
         .agg(F.count("*").alias("c"))
     )
     found = pick_values(counts, keys, levels, totals)
-    n, s, ss = F.col("n"), F.col("s"), F.col("ss")
+    n, square = F.col("n"), F.col("square")
     return found.select(
         *keys,
         n,
-        (s / n).alias("mean"),
-        spread(n, s, ss, sample=False).alias("std_pop"),
-        spread(n, s, ss, sample=True).alias("std"),
+        "mean",
+        spread(n, square, sample=False).alias("std_pop"),
+        spread(n, square, sample=True).alias("std"),
         *[F.col(f"q{i}").alias(k) for i, k in enumerate(names)],
     )
 

@@ -53,6 +53,11 @@ def keep_wanted(cells: DataFrame, groups: list[str], probs: list[float]) -> Data
     return placed.withColumn("wanted", hit).where(F.size("wanted") > 0)
 
 
+def _wanted(i: int) -> Column:
+    """The wanted rank with index ``i``, null when this cell does not hold it."""
+    return F.get(F.filter("wanted", lambda t: t["i"] == i), F.lit(0))
+
+
 def pick_values(
     counts: DataFrame, groups: list[str], probs: list[float], carried: list[str]
 ) -> DataFrame:
@@ -69,9 +74,8 @@ def pick_values(
     ranked = counts.withColumn("at", at)
     aggs = [F.max(c).alias(c) for c in carried]
     for i in range(len(probs)):
-        target = F.filter("wanted", lambda t, i=i: t["i"] == i)
-        # element access on an empty array is null, so unwanted rows drop out
-        low, high, weight = (F.get(target, F.lit(0))[f] for f in ("low", "high", "weight"))
+        target = _wanted(i)
+        low, high, weight = target["low"], target["high"], target["weight"]
         aggs += [
             F.max(F.when(inside(low, F.col("at"), F.col("c")), F.col("v"))).alias(f"_low{i}"),
             F.max(F.when(inside(high, F.col("at"), F.col("c")), F.col("v"))).alias(f"_high{i}"),
@@ -87,9 +91,45 @@ def pick_values(
     return found.select(*groups, *carried, *values)
 
 
-def spread(n: Column, s: Column, ss: Column, sample: bool) -> Column:
-    """Standard deviation from count, sum and sum of squares."""
-    square = F.greatest(ss - s * s / n, F.lit(0.0))
+def cell_of(value: Column, width: float) -> Column:
+    """Histogram cell of a value."""
+    return F.floor(value / width)
+
+
+def offset(value: Column, cell: Column, width: float) -> Column:
+    """Distance of a value from the lower edge of its cell.
+
+    Moments are summed over these small offsets, which loses far fewer digits
+    than summing squares of the values.
+    """
+    return value - cell * width
+
+
+def add_moments(cells: DataFrame, groups: list[str], width: float) -> DataFrame:
+    """Add ``n``, ``mean`` and ``square`` (squared deviations) of the whole group.
+
+    ``cells`` has ``m`` (rows), ``s`` and ``ss`` (sums of offsets and of their
+    squares) per cell; only report-sized histograms pass through the windows.
+    """
+    whole = Window.partitionBy(*groups)
+    centre = F.col("cell") * width + F.col("s") / F.col("m")
+    inner = F.col("ss") - F.col("s") * F.col("s") / F.col("m")
+    placed = cells.withColumns({"_centre": centre, "_inner": inner}).withColumns(
+        {
+            "n": F.sum("m").over(whole),
+            "mean": F.sum(F.col("m") * F.col("_centre")).over(whole)
+            / F.sum("m").over(whole),
+        }
+    )
+    apart = F.col("_centre") - F.col("mean")
+    square = F.sum(F.col("_inner") + F.col("m") * apart * apart).over(whole)
+    return placed.withColumn("square", F.greatest(square, F.lit(0.0))).drop(
+        "_centre", "_inner", "s", "ss"
+    )
+
+
+def spread(n: Column, square: Column, sample: bool) -> Column:
+    """Standard deviation from the squared deviations."""
     if sample:
         return F.when(n > 1, F.sqrt(square / (n - 1)))
     return F.sqrt(square / n)
@@ -112,31 +152,26 @@ def value_profile(
     source = df if groups else df.withColumn("_all", F.lit(1))
     names = list(probs)
     levels = [probs[k] for k in names]
+    cell = cell_of(F.col("v"), width)
     counts = (
         source.select(*[F.col(f"`{k}`") for k in keys], value.cast("double").alias("v"))
         .where(F.col("v").isNotNull())
-        .groupBy(*keys, F.floor(F.col("v") / width).alias("cell"), "v")
+        .groupBy(*keys, cell.alias("cell"), "v")
         .agg(F.count("*").alias("c"))
     )
+    off = offset(F.col("v"), F.col("cell"), width)
     per_cell = counts.groupBy(*keys, "cell").agg(
         F.sum("c").alias("m"),
-        F.sum(F.col("c") * F.col("v")).alias("s"),
-        F.sum(F.col("c") * F.col("v") * F.col("v")).alias("ss"),
-        F.min("v").alias("low"),
-        F.max("v").alias("high"),
+        F.sum(F.col("c") * off).alias("s"),
+        F.sum(F.col("c") * off * off).alias("ss"),
+        F.min("v").alias("least"),
+        F.max("v").alias("most"),
     )
     whole = Window.partitionBy(*keys)
-    cells = per_cell.select(
-        *keys,
-        "cell",
-        "m",
-        F.sum("m").over(whole).alias("n"),
-        F.sum("s").over(whole).alias("s"),
-        F.sum("ss").over(whole).alias("ss"),
-        F.min("low").over(whole).alias("low"),
-        F.max("high").over(whole).alias("high"),
+    cells = add_moments(per_cell, keys, width).withColumns(
+        {"low": F.min("least").over(whole), "high": F.max("most").over(whole)}
     )
-    totals = ["n", "s", "ss", "low", "high"]
+    totals = ["n", "mean", "square", "low", "high"]
     if levels:
         kept = keep_wanted(cells, keys, levels).alias("kept")
         joined = counts.alias("counts").join(kept, same(counts, kept, [*keys, "cell"]))
@@ -148,13 +183,13 @@ def value_profile(
         found = pick_values(narrowed, keys, levels, totals)
     else:
         found = cells.groupBy(*keys).agg(*[F.max(t).alias(t) for t in totals])
-    n, s, ss = F.col("n"), F.col("s"), F.col("ss")
+    n, square = F.col("n"), F.col("square")
     return found.select(
         *groups,
         n,
-        (s / n).alias("mean"),
-        spread(n, s, ss, sample=True).alias("std"),
-        spread(n, s, ss, sample=False).alias("std_pop"),
+        "mean",
+        spread(n, square, sample=True).alias("std"),
+        spread(n, square, sample=False).alias("std_pop"),
         "low",
         "high",
         *[F.col(f"q{i}").alias(k) for i, k in enumerate(names)],

@@ -104,8 +104,9 @@ class Registry:
         path = working_path(self.spark, label)
         if order is not None:
             df = df.repartitionByRange(order).sortWithinPartitions(order).drop(order)
-        df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).write.option(
-            "header", True
+        texts = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+        texts.write.options(
+            header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
         ).csv(path)
         return path
 
@@ -265,7 +266,7 @@ def dense_events(r: Registry) -> DataFrame:
         F.col("user_id").alias("menage_ano"),
         F.col("event_id").alias("score_id_ano"),
         F.col("ts").alias("date_calcul"),
-        (F.floor(F.col("value") * 64) / 64).alias("score_final"),
+        F.sqrt(F.abs("value")).alias("score_final"),
         F.when(kind == "error", F.lit("radiation"))
         .when(kind == "view", F.lit("inscription"))
         .otherwise(kind)
@@ -283,6 +284,12 @@ def timeseries_seed(r: Registry) -> DataFrame:
     )
 
 
+def pivot_scores_mean(r: Registry) -> DataFrame:
+    wide = master.build_pivot_wide(r.events, how="mean")
+    cells = [c for c in wide.columns if c.startswith("score_")]
+    return wide.withColumns({c: round_to(F.col(f"`{c}`"), 6) for c in cells})
+
+
 # --- quality ----------------------------------------------------------------
 
 
@@ -397,7 +404,7 @@ BUILDERS: dict[str, Callable[[Registry], DataFrame]] = {
         r.events.select(*_ID, "score_final", "eligible"), r.beneficiaries
     ),
     "pivot_scores": lambda r: master.build_pivot_wide(r.events),
-    "pivot_scores_mean": lambda r: master.build_pivot_wide(r.events, how="mean"),
+    "pivot_scores_mean": pivot_scores_mean,
     "volatility_summary": lambda r: stats.build_volatility_summary(
         r.full_delta, ["programme", "region"]
     ).select(

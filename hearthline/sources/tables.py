@@ -1,7 +1,7 @@
 """Registry sources derived from the order/customer test tables.
 
-Every value is computed from the tables with plain expressions; scores are
-multiples of 1/1024, so sums do not depend on the order of addition.
+Every value is computed from the tables with plain expressions. Scores come
+from a square root, so that rounded results do not sit on rounding ties.
 """
 
 from __future__ import annotations
@@ -57,8 +57,8 @@ def households(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def score_of(price: Column) -> Column:
-    """Score between 6 and 16 from an amount."""
-    return F.floor((F.lit(6.0) + price / F.lit(50000.0)) * F.lit(1024.0)) / F.lit(1024.0)
+    """Score below 16, falling with the amount."""
+    return F.lit(16.0) - F.sqrt(price) / F.lit(75.0)
 
 
 def _score_columns() -> list[Column]:
@@ -68,7 +68,7 @@ def _score_columns() -> list[Column]:
         F.col("o_custkey").alias("menage_ano"),
         F.col("o_orderkey").alias("score_id_ano"),
         kind[F.left(F.col("o_orderpriority"), F.lit(1))].alias("type_demande"),
-        F.when(F.col("o_orderkey") % 10 == 0, score - F.lit(0.125)).alias("score_corrige"),
+        F.when(F.col("o_orderkey") % 10 == 0, score - F.lit(0.1)).alias("score_corrige"),
         score.alias("score_calcule"),
         F.col("o_orderdate").alias("date_calcul"),
     ]
