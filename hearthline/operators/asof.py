@@ -22,6 +22,7 @@ from hearthline.functions.columns import (
     week_start,
 )
 from hearthline.operators.quantiles import (
+    RANK,
     add_moments,
     cell_of,
     keep_wanted,
@@ -247,11 +248,11 @@ def state_profile(
     alive = (F.col("held.start") <= F.col("kept.point")) & (
         F.col("held.stop").isNull() | (F.col("kept.point") < F.col("held.stop"))
     )
-    # Grouping once more by the kept columns collapses equal values before ranking.
+    # Equal values of one wanted rank are collapsed before ranking.
     counts = (
         held.join(kept, same(held, kept, [*groups, "cell"]) & alive)
         .groupBy(
-            *[F.col(f"kept.{k}") for k in [*keys, "cell", "before", "wanted", *totals]],
+            *[F.col(f"kept.{k}") for k in [*keys, "cell", "before", *RANK, *totals]],
             F.col("held.v"),
         )
         .agg(F.count("*").alias("c"))

@@ -12,50 +12,93 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearthline.functions.columns import same
 
+RANK = ("i", "low", "high", "weight")
 
-def wanted_ranks(probs: list[float], n: Column) -> Column:
-    """Array of (index, lower rank, upper rank, weight) for each probability."""
+
+def cell_of(value: Column, width: float) -> Column:
+    """Histogram cell of a value."""
+    return F.floor(value / width)
+
+
+def offset(value: Column, cell: Column, width: float) -> Column:
+    """Distance of a value from the lower edge of its cell.
+
+    Moments are summed over these small offsets, which loses far fewer digits
+    than summing squares of the values.
+    """
+    return value - cell * width
+
+
+def add_moments(cells: DataFrame, groups: list[str], width: float) -> DataFrame:
+    """Add ``n``, ``mean`` and ``square`` (squared deviations) of the whole group.
+
+    ``cells`` has ``m`` (rows), ``s`` and ``ss`` (sums of offsets and of their
+    squares) per cell; a null cell holds rows without a value and is not counted.
+    Only histogram rows pass through the windows.
+    """
+    whole = Window.partitionBy(*groups)
+    centre = F.col("cell") * width + F.col("s") / F.col("m")
+    inner = F.col("ss") - F.col("s") * F.col("s") / F.col("m")
+    placed = cells.withColumns({"_centre": centre, "_inner": inner}).withColumns(
+        {
+            "n": F.coalesce(
+                F.sum(F.when(F.col("cell").isNotNull(), F.col("m"))).over(whole), F.lit(0)
+            ),
+            "_total": F.sum(F.col("m") * F.col("_centre")).over(whole),
+        }
+    )
+    mean = F.try_divide(F.col("_total"), F.col("n").cast("double"))
+    apart = F.col("_centre") - mean
+    return placed.withColumns(
+        {
+            "mean": mean,
+            "square": F.sum(F.col("_inner") + F.col("m") * apart * apart).over(whole),
+        }
+    ).drop("_centre", "_inner", "_total", "s", "ss")
+
+
+def spread(n: Column, square: Column, sample: bool) -> Column:
+    """Standard deviation from the squared deviations."""
+    square = F.greatest(square, F.lit(0.0))
+    if sample:
+        return F.when(n > 1, F.sqrt(square / (n - 1)))
+    return F.when(n > 0, F.sqrt(square / n))
+
+
+def _ranks(probs: list[float], n: Column) -> Column:
+    """Array of (index, lower rank, upper rank, weight), one per probability."""
     items = []
     for i, p in enumerate(probs):
         position = F.lit(float(p)) * (n - 1).cast("double")
         low = F.floor(position)
-        items.append(
-            F.struct(
-                F.lit(i).alias("i"),
-                low.alias("low"),
-                F.ceil(position).alias("high"),
-                (position - low).alias("weight"),
-            )
-        )
+        parts = (F.lit(i), low, F.ceil(position), position - low)
+        items.append(F.struct(*[c.alias(name) for c, name in zip(parts, RANK)]))
     return F.array(*items)
 
 
-def inside(rank: Column, before: Column, size: Column) -> Column:
+def _inside(rank: Column, before: Column, size: Column) -> Column:
     """Whether a zero-based rank falls among ``size`` rows after ``before`` rows."""
     return (rank >= before) & (rank < before + size)
 
 
 def keep_wanted(cells: DataFrame, groups: list[str], probs: list[float]) -> DataFrame:
-    """Keep the histogram cells that hold a wanted rank.
+    """Keep the histogram cells that hold a wanted rank, one row per rank.
 
     ``cells`` has the group columns, ``cell``, ``m`` (rows in the cell) and ``n``
-    (rows in the group); cells of a group are few, so ranking them is cheap.
+    (rows in the group). A group without values keeps its null cell once.
     """
     earlier = (
-        Window.partitionBy(*groups).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*groups)
+        .orderBy(F.col("cell").asc_nulls_last())
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = cells.withColumn("before", F.coalesce(F.sum("m").over(earlier), F.lit(0)))
-    hit = F.filter(
-        wanted_ranks(probs, F.col("n")),
-        lambda t: inside(t["low"], F.col("before"), F.col("m"))
-        | inside(t["high"], F.col("before"), F.col("m")),
+    ranked = placed.select("*", F.inline(_ranks(probs, F.col("n"))))
+    hit = _inside(F.col("low"), F.col("before"), F.col("m")) | _inside(
+        F.col("high"), F.col("before"), F.col("m")
     )
-    return placed.withColumn("wanted", hit).where(F.size("wanted") > 0)
-
-
-def _wanted(i: int) -> Column:
-    """The wanted rank with index ``i``, null when this cell does not hold it."""
-    return F.get(F.filter("wanted", lambda t: t["i"] == i), F.lit(0))
+    empty = (F.col("n") == 0) & (F.col("i") == 0)
+    return ranked.where((F.col("cell").isNotNull() & hit) | empty).drop("m")
 
 
 def pick_values(
@@ -63,25 +106,28 @@ def pick_values(
 ) -> DataFrame:
     """Read the wanted ranks from value counts of the kept cells.
 
-    ``counts`` has the group columns, ``cell``, ``before``, ``wanted``, the value
-    ``v`` and its multiplicity ``c``. Returns one row per group with the
+    ``counts`` has the group columns, ``cell``, ``before``, the rank columns, the
+    value ``v`` and its multiplicity ``c``. Returns one row per group with the
     ``carried`` columns and ``q0 .. qk``.
     """
     upto = (
-        Window.partitionBy(*groups, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*groups, "cell", "i")
+        .orderBy("v")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     at = F.col("before") + F.coalesce(F.sum("c").over(upto), F.lit(0))
-    ranked = counts.withColumn("at", at)
+    placed = counts.withColumn("at", at)
+    at_low = _inside(F.col("low"), F.col("at"), F.col("c"))
+    at_high = _inside(F.col("high"), F.col("at"), F.col("c"))
     aggs = [F.max(c).alias(c) for c in carried]
     for i in range(len(probs)):
-        target = _wanted(i)
-        low, high, weight = target["low"], target["high"], target["weight"]
+        mine = F.col("i") == i
         aggs += [
-            F.max(F.when(inside(low, F.col("at"), F.col("c")), F.col("v"))).alias(f"_low{i}"),
-            F.max(F.when(inside(high, F.col("at"), F.col("c")), F.col("v"))).alias(f"_high{i}"),
-            F.max(weight).alias(f"_weight{i}"),
+            F.max(F.when(mine & at_low, F.col("v"))).alias(f"_low{i}"),
+            F.max(F.when(mine & at_high, F.col("v"))).alias(f"_high{i}"),
+            F.max(F.when(mine, F.col("weight"))).alias(f"_weight{i}"),
         ]
-    found = ranked.groupBy(*groups).agg(*aggs)
+    found = placed.groupBy(*groups).agg(*aggs)
     values = [
         (
             F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_weight{i}")
@@ -91,72 +137,34 @@ def pick_values(
     return found.select(*groups, *carried, *values)
 
 
-def cell_of(value: Column, width: float) -> Column:
-    """Histogram cell of a value."""
-    return F.floor(value / width)
-
-
-def offset(value: Column, cell: Column, width: float) -> Column:
-    """Distance of a value from the lower edge of its cell.
-
-    Moments are summed over these small offsets, which loses far fewer digits
-    than summing squares of the values.
-    """
-    return value - cell * width
-
-
-def add_moments(cells: DataFrame, groups: list[str], width: float) -> DataFrame:
-    """Add ``n``, ``mean`` and ``square`` (squared deviations) of the whole group.
-
-    ``cells`` has ``m`` (rows), ``s`` and ``ss`` (sums of offsets and of their
-    squares) per cell; only report-sized histograms pass through the windows.
-    """
-    whole = Window.partitionBy(*groups)
-    centre = F.col("cell") * width + F.col("s") / F.col("m")
-    inner = F.col("ss") - F.col("s") * F.col("s") / F.col("m")
-    placed = cells.withColumns({"_centre": centre, "_inner": inner}).withColumns(
-        {
-            "n": F.sum("m").over(whole),
-            "mean": F.sum(F.col("m") * F.col("_centre")).over(whole)
-            / F.sum("m").over(whole),
-        }
-    )
-    apart = F.col("_centre") - F.col("mean")
-    square = F.sum(F.col("_inner") + F.col("m") * apart * apart).over(whole)
-    return placed.withColumn("square", F.greatest(square, F.lit(0.0))).drop(
-        "_centre", "_inner", "s", "ss"
-    )
-
-
-def spread(n: Column, square: Column, sample: bool) -> Column:
-    """Standard deviation from the squared deviations."""
-    if sample:
-        return F.when(n > 1, F.sqrt(square / (n - 1)))
-    return F.sqrt(square / n)
-
-
 def value_profile(
     df: DataFrame,
     groups: list[str],
     value: Column,
     probs: dict[str, float],
     width: float,
+    carry: dict[str, Column] | None = None,
+    extras: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Distribution of the non-null values of each group.
+    """Distribution of a value per group, in one pass over the rows.
 
-    Returns the group columns, ``n``, ``mean``, ``std`` (sample), ``std_pop``,
-    ``low``, ``high`` and one column per name in ``probs``. Groups without any
-    value are absent.
+    Returns the group columns, ``n_rows``, ``n`` (rows with a value), ``mean``,
+    ``std`` (sample), ``low``, ``high`` and one column per name in ``probs``.
+
+    ``extras`` are further sums per group, written over the value ``v``, its
+    multiplicity ``c`` and the flags in ``carry``.
     """
     keys = groups or ["_all"]
-    source = df if groups else df.withColumn("_all", F.lit(1))
-    names = list(probs)
-    levels = [probs[k] for k in names]
-    cell = cell_of(F.col("v"), width)
+    carry, extras = carry or {}, extras or {}
+    names, levels = list(probs), list(probs.values())
+    group_columns = [F.col(f"`{k}`") for k in groups] or [F.lit(1).alias("_all")]
     counts = (
-        source.select(*[F.col(f"`{k}`") for k in keys], value.cast("double").alias("v"))
-        .where(F.col("v").isNotNull())
-        .groupBy(*keys, cell.alias("cell"), "v")
+        df.select(
+            *group_columns,
+            *[flag.alias(name) for name, flag in carry.items()],
+            value.cast("double").alias("v"),
+        )
+        .groupBy(*keys, *carry, cell_of(F.col("v"), width).alias("cell"), "v")
         .agg(F.count("*").alias("c"))
     )
     off = offset(F.col("v"), F.col("cell"), width)
@@ -166,31 +174,39 @@ def value_profile(
         F.sum(F.col("c") * off * off).alias("ss"),
         F.min("v").alias("least"),
         F.max("v").alias("most"),
+        *[F.sum(part).alias(f"_{name}") for name, part in extras.items()],
     )
     whole = Window.partitionBy(*keys)
+    sums = {name: F.sum(f"_{name}").over(whole) for name in extras}
     cells = add_moments(per_cell, keys, width).withColumns(
-        {"low": F.min("least").over(whole), "high": F.max("most").over(whole)}
+        {
+            "n_rows": F.sum("m").over(whole),
+            "lowest": F.min("least").over(whole),
+            "highest": F.max("most").over(whole),
+            **sums,
+        }
     )
-    totals = ["n", "mean", "square", "low", "high"]
+    totals = ["n_rows", "n", "mean", "square", "lowest", "highest", *extras]
     if levels:
-        kept = keep_wanted(cells, keys, levels).alias("kept")
-        joined = counts.alias("counts").join(kept, same(counts, kept, [*keys, "cell"]))
+        kept = keep_wanted(cells.select(*keys, "cell", "m", *totals), keys, levels).alias("kept")
+        shared = [*keys, "cell"]
+        joined = counts.alias("counts").join(kept, same(counts, kept, shared))
         narrowed = joined.select(
-            *[F.col(f"kept.{k}") for k in [*keys, "cell", "before", "wanted", *totals]],
+            *[F.col(f"kept.{k}") for k in [*shared, "before", *RANK, *totals]],
             F.col("counts.v"),
             F.col("counts.c"),
         )
         found = pick_values(narrowed, keys, levels, totals)
     else:
         found = cells.groupBy(*keys).agg(*[F.max(t).alias(t) for t in totals])
-    n, square = F.col("n"), F.col("square")
     return found.select(
         *groups,
-        n,
+        "n_rows",
+        "n",
         "mean",
-        spread(n, square, sample=True).alias("std"),
-        spread(n, square, sample=False).alias("std_pop"),
-        "low",
-        "high",
+        spread(F.col("n"), F.col("square"), sample=True).alias("std"),
+        F.col("lowest").alias("low"),
+        F.col("highest").alias("high"),
         *[F.col(f"q{i}").alias(k) for i, k in enumerate(names)],
+        *extras,
     )
