@@ -23,8 +23,8 @@ from hearthline.functions.columns import (
 )
 from hearthline.operators.quantiles import (
     RANK,
-    add_moments,
     cell_of,
+    histogram_totals,
     keep_wanted,
     offset,
     pick_values,
@@ -240,10 +240,10 @@ def state_profile(
         "s",
         "ss",
     )
-    cells = add_moments(grid, [*groups, "point"], width)
+    cells = histogram_totals(grid, [*groups, "point"], width)
     totals = ["n", "mean", "square"]
     keys = [*groups, "point"]
-    kept = keep_wanted(cells, keys, levels).alias("kept")
+    kept = keep_wanted(cells, levels).alias("kept")
     held = placed.alias("held")
     alive = (F.col("held.start") <= F.col("kept.point")) & (
         F.col("held.stop").isNull() | (F.col("kept.point") < F.col("held.stop"))
@@ -344,14 +344,17 @@ def build_near_threshold_timeseries(
         "programme", "start", "stop", "final", "v", F.explode(names).alias("series")
     )
     profile = state_profile(states, ["programme", "series"], {"median": 0.5}, step)
-    aggs = [F.max(F.when(F.col("series") == "total", F.col("n"))).alias("n_total")]
+    shown = profile.withColumns(
+        {"mean": round_to(F.col("mean"), 6), "median": round_to(F.col("median"), 6)}
+    )
+    aggs = [F.expr("max(n) FILTER (WHERE series = 'total') AS n_total")]
     for _, name in series[1:]:
-        here = F.col("series") == name
+        here = f"FILTER (WHERE series = '{name}')"
         aggs += [
-            F.coalesce(F.max(F.when(here, F.col("n"))), F.lit(0)).alias(f"n_near_{name}"),
-            F.max(F.when(here, round_to(F.col("mean"), 6))).alias(f"mean_score_{name}"),
-            F.max(F.when(here, round_to(F.col("median"), 6))).alias(f"median_score_{name}"),
+            F.expr(f"coalesce(max(n) {here}, 0L) AS n_near_{name}"),
+            F.expr(f"max(mean) {here} AS mean_score_{name}"),
+            F.expr(f"max(median) {here} AS median_score_{name}"),
         ]
     return (
-        profile.groupBy(as_instant(F.col("point")).alias("week"), "programme").agg(*aggs)
+        shown.groupBy(as_instant(F.col("point")).alias("week"), "programme").agg(*aggs)
     )

@@ -29,32 +29,38 @@ def offset(value: Column, cell: Column, width: float) -> Column:
     return value - cell * width
 
 
-def add_moments(cells: DataFrame, groups: list[str], width: float) -> DataFrame:
-    """Add ``n``, ``mean`` and ``square`` (squared deviations) of the whole group.
+def histogram_totals(
+    cells: DataFrame, groups: list[str], width: float, extras: tuple[str, ...] = ()
+) -> DataFrame:
+    """Add group totals and the number of rows in earlier cells to a histogram.
 
-    ``cells`` has ``m`` (rows), ``s`` and ``ss`` (sums of offsets and of their
-    squares) per cell; a null cell holds rows without a value and is not counted.
-    Only histogram rows pass through the windows.
+    ``cells`` has ``cell``, ``m`` (rows), ``s`` and ``ss`` (sums of offsets and of
+    their squares); a null cell holds rows without a value. Adds ``before``,
+    ``n_rows``, ``n``, ``mean``, ``square`` (squared deviations) and the sums of
+    ``extras``. Only histogram rows pass through the window, and all totals share
+    one.
     """
-    whole = Window.partitionBy(*groups)
-    centre = F.col("cell") * width + F.col("s") / F.col("m")
-    inner = F.col("ss") - F.col("s") * F.col("s") / F.col("m")
-    placed = cells.withColumns({"_centre": centre, "_inner": inner}).withColumns(
-        {
-            "n": F.coalesce(
-                F.sum(F.when(F.col("cell").isNotNull(), F.col("m"))).over(whole), F.lit(0)
-            ),
-            "_total": F.sum(F.col("m") * F.col("_centre")).over(whole),
-        }
+    span = Window.partitionBy(*groups).orderBy(F.col("cell").asc_nulls_last())
+    whole = span.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    earlier = span.rowsBetween(Window.unboundedPreceding, -1)
+    centre = F.expr(f"cell * {width!r}D + s / m")
+    placed = cells.select(
+        *groups,
+        "cell",
+        "m",
+        F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"),
+        F.sum("m").over(whole).alias("n_rows"),
+        F.coalesce(F.sum(F.expr("if(cell IS NULL, 0, m)")).over(whole), F.lit(0)).alias("n"),
+        F.sum(F.col("m") * centre).over(whole).alias("_one"),
+        F.sum(F.expr("ss - s * s / m") + F.col("m") * centre * centre).over(whole).alias("_two"),
+        *[F.sum(x).over(whole).alias(x) for x in extras],
     )
-    mean = F.try_divide(F.col("_total"), F.col("n").cast("double"))
-    apart = F.col("_centre") - mean
     return placed.withColumns(
         {
-            "mean": mean,
-            "square": F.sum(F.col("_inner") + F.col("m") * apart * apart).over(whole),
+            "mean": F.expr("try_divide(_one, CAST(n AS DOUBLE))"),
+            "square": F.expr("_two - try_divide(_one * _one, CAST(n AS DOUBLE))"),
         }
-    ).drop("_centre", "_inner", "_total", "s", "ss")
+    ).drop("_one", "_two")
 
 
 def spread(n: Column, square: Column, sample: bool) -> Column:
@@ -65,15 +71,24 @@ def spread(n: Column, square: Column, sample: bool) -> Column:
     return F.when(n > 0, F.sqrt(square / n))
 
 
-def _ranks(probs: list[float], n: Column) -> Column:
+def _position(p: float) -> str:
+    """Zero-based interpolated position of a quantile among ``n`` values."""
+    return f"(CAST({float(p)} AS DOUBLE) * CAST(n - 1 AS DOUBLE))"
+
+
+def _ranks(probs: list[float]) -> Column:
     """Array of (index, lower rank, upper rank, weight), one per probability."""
-    items = []
-    for i, p in enumerate(probs):
-        position = F.lit(float(p)) * (n - 1).cast("double")
-        low = F.floor(position)
-        parts = (F.lit(i), low, F.ceil(position), position - low)
-        items.append(F.struct(*[c.alias(name) for c, name in zip(parts, RANK)]))
-    return F.array(*items)
+    items = [
+        f"named_struct('i', {i}, 'low', floor({x}), 'high', ceil({x}), 'weight', {x} - floor({x}))"
+        for i, x in enumerate(map(_position, probs))
+    ]
+    return F.expr(f"array({', '.join(items)})")
+
+
+def _holds_any(probs: list[float]) -> Column:
+    """Whether a cell holds any wanted rank; cheap, so most cells stop here."""
+    tests = [f"(ceil({x}) >= before AND floor({x}) < before + m)" for x in map(_position, probs)]
+    return F.expr(" OR ".join(tests))
 
 
 def _inside(rank: Column, before: Column, size: Column) -> Column:
@@ -81,19 +96,14 @@ def _inside(rank: Column, before: Column, size: Column) -> Column:
     return (rank >= before) & (rank < before + size)
 
 
-def keep_wanted(cells: DataFrame, groups: list[str], probs: list[float]) -> DataFrame:
+def keep_wanted(cells: DataFrame, probs: list[float]) -> DataFrame:
     """Keep the histogram cells that hold a wanted rank, one row per rank.
 
-    ``cells`` has the group columns, ``cell``, ``m`` (rows in the cell) and ``n``
-    (rows in the group). A group without values keeps its null cell once.
+    ``cells`` comes from :func:`histogram_totals`. A group without values keeps
+    its null cell once.
     """
-    earlier = (
-        Window.partitionBy(*groups)
-        .orderBy(F.col("cell").asc_nulls_last())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    placed = cells.withColumn("before", F.coalesce(F.sum("m").over(earlier), F.lit(0)))
-    ranked = placed.select("*", F.inline(_ranks(probs, F.col("n"))))
+    near = cells.where((F.col("n") == 0) | _holds_any(probs))
+    ranked = near.select("*", F.inline(_ranks(probs)))
     hit = _inside(F.col("low"), F.col("before"), F.col("m")) | _inside(
         F.col("high"), F.col("before"), F.col("m")
     )
@@ -117,22 +127,21 @@ def pick_values(
     )
     at = F.col("before") + F.coalesce(F.sum("c").over(upto), F.lit(0))
     placed = counts.withColumn("at", at)
-    at_low = _inside(F.col("low"), F.col("at"), F.col("c"))
-    at_high = _inside(F.col("high"), F.col("at"), F.col("c"))
+    hits = placed.withColumns(
+        {
+            "_low": F.when(_inside(F.col("low"), F.col("at"), F.col("c")), F.col("v")),
+            "_high": F.when(_inside(F.col("high"), F.col("at"), F.col("c")), F.col("v")),
+        }
+    )
     aggs = [F.max(c).alias(c) for c in carried]
     for i in range(len(probs)):
-        mine = F.col("i") == i
         aggs += [
-            F.max(F.when(mine & at_low, F.col("v"))).alias(f"_low{i}"),
-            F.max(F.when(mine & at_high, F.col("v"))).alias(f"_high{i}"),
-            F.max(F.when(mine, F.col("weight"))).alias(f"_weight{i}"),
+            F.expr(f"max({part}) FILTER (WHERE i = {i}) AS {part}{i}")
+            for part in ("_low", "_high", "weight")
         ]
-    found = placed.groupBy(*groups).agg(*aggs)
+    found = hits.groupBy(*groups).agg(*aggs)
     values = [
-        (
-            F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_weight{i}")
-        ).alias(f"q{i}")
-        for i in range(len(probs))
+        F.expr(f"_low{i} + (_high{i} - _low{i}) * weight{i} AS q{i}") for i in range(len(probs))
     ]
     return found.select(*groups, *carried, *values)
 
@@ -172,41 +181,28 @@ def value_profile(
         F.sum("c").alias("m"),
         F.sum(F.col("c") * off).alias("s"),
         F.sum(F.col("c") * off * off).alias("ss"),
-        F.min("v").alias("least"),
-        F.max("v").alias("most"),
-        *[F.sum(part).alias(f"_{name}") for name, part in extras.items()],
+        *[F.sum(part).alias(name) for name, part in extras.items()],
     )
-    whole = Window.partitionBy(*keys)
-    sums = {name: F.sum(f"_{name}").over(whole) for name in extras}
-    cells = add_moments(per_cell, keys, width).withColumns(
-        {
-            "n_rows": F.sum("m").over(whole),
-            "lowest": F.min("least").over(whole),
-            "highest": F.max("most").over(whole),
-            **sums,
-        }
+    cells = histogram_totals(per_cell, keys, width, tuple(extras))
+    totals = ["n_rows", "n", "mean", "square", *extras]
+    levels = [0.0, *levels, 1.0]
+    kept = keep_wanted(cells, levels).alias("kept")
+    shared = [*keys, "cell"]
+    joined = counts.alias("counts").join(kept, same(counts, kept, shared))
+    narrowed = joined.select(
+        *[F.col(f"kept.{k}") for k in [*shared, "before", *RANK, *totals]],
+        F.col("counts.v"),
+        F.col("counts.c"),
     )
-    totals = ["n_rows", "n", "mean", "square", "lowest", "highest", *extras]
-    if levels:
-        kept = keep_wanted(cells.select(*keys, "cell", "m", *totals), keys, levels).alias("kept")
-        shared = [*keys, "cell"]
-        joined = counts.alias("counts").join(kept, same(counts, kept, shared))
-        narrowed = joined.select(
-            *[F.col(f"kept.{k}") for k in [*shared, "before", *RANK, *totals]],
-            F.col("counts.v"),
-            F.col("counts.c"),
-        )
-        found = pick_values(narrowed, keys, levels, totals)
-    else:
-        found = cells.groupBy(*keys).agg(*[F.max(t).alias(t) for t in totals])
+    found = pick_values(narrowed, keys, levels, totals)
     return found.select(
         *groups,
         "n_rows",
         "n",
         "mean",
         spread(F.col("n"), F.col("square"), sample=True).alias("std"),
-        F.col("lowest").alias("low"),
-        F.col("highest").alias("high"),
-        *[F.col(f"q{i}").alias(k) for i, k in enumerate(names)],
+        F.col("q0").alias("low"),
+        F.col(f"q{len(levels) - 1}").alias("high"),
+        *[F.col(f"q{i}").alias(k) for i, k in enumerate(names, start=1)],
         *extras,
     )
