@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,7 +28,7 @@ REPLACEMENTS = {
     "Feminin": "Féminin",
     "DÃ©cÃ©dÃ©(e)": "Décédé(e)",
 }
-SUSPICIOUS = "Ã|â€|Â|\x80|\x82|\x83|\x9c"
+SUSPICIOUS = ("Ã", "â€", "Â", "\x80", "\x82", "\x83", "\x9c")
 # --- end of fixed values ----------------------------------------------------
 
 # Control characters U+0080..U+009F and what windows-1252 assigns to their bytes.
@@ -38,8 +39,13 @@ _C1_UNASSIGNED = "[" + "".join(c for c, w in _C1 if not w) + "]"
 _C1_ANY = "[\x80-\x9f]"
 
 
-def _has_control(text: str) -> bool:
-    return any(0x80 <= ord(c) < 0xA0 for c in text)
+def looks_damaged(text: Column) -> Column:
+    """Whether a value contains one of the suspicious marks."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in SUSPICIOUS])
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
 
 
 def _replace_all(text: Column, mapping: dict[str, str]) -> Column:
@@ -66,12 +72,16 @@ def repair_text(text: Column, extra: dict[str, str] | None = None) -> Column:
     """Repair one text column; nulls stay null.
 
     Spellings written with control characters are replaced before re-decoding,
-    because re-decoding would turn them into other characters.
+    because re-decoding would turn them into other characters. Plain ASCII text
+    cannot be damaged and only meets the ASCII spellings of the map.
     """
     mapping = {**REPLACEMENTS, **(extra or {})}
-    control = {bad: good for bad, good in mapping.items() if _has_control(bad)}
+    control = {bad: good for bad, good in mapping.items() if re.search(_C1_ANY, bad)}
+    ascii_only = {bad: good for bad, good in mapping.items() if bad.isascii()}
     prepared = F.when(text.rlike(_C1_ANY), _replace_all(text, control)).otherwise(text)
-    return _replace_all(redecode(prepared), mapping)
+    return F.when(_is_ascii(text), _replace_all(text, ascii_only)).otherwise(
+        _replace_all(redecode(prepared), mapping)
+    )
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -104,7 +114,7 @@ def repair_frame(
     damaged = df.agg(
         F.struct(
             *[
-                F.coalesce(F.bool_or(F.col(f"`{c}`").rlike(SUSPICIOUS)), F.lit(False)).alias(c)
+                F.coalesce(F.bool_or(looks_damaged(F.col(f"`{c}`"))), F.lit(False)).alias(c)
                 for c in texts
             ]
         ).alias("damaged")

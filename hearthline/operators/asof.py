@@ -34,7 +34,7 @@ from hearthline.schema import (
     ENROLMENT,
     MASTER_BANDS,
     REMOVAL,
-    SCORE_CELL,
+    SERIES_CELL,
     UNCLASSIFIED_SPELLINGS,
 )
 
@@ -187,7 +187,7 @@ def state_profile(
     groups: list[str],
     probs: dict[str, float],
     step: int,
-    width: float = SCORE_CELL,
+    width: float = SERIES_CELL,
 ) -> DataFrame:
     """Distribution of the states alive at each period point.
 

@@ -91,6 +91,8 @@ SNAPSHOT_LABELS = {
 # Histogram cell widths used to locate exact quantiles (operators/quantiles.py).
 SCORE_CELL = 0.01
 RATE_CELL = 0.0001
+# Series lay their histogram out over all period points, so their cells are wider.
+SERIES_CELL = 0.05
 
 HOUSEHOLD_TYPES = {
     "menage_ano": "long",
