@@ -92,7 +92,7 @@ SNAPSHOT_LABELS = {
 SCORE_CELL = 0.01
 RATE_CELL = 0.0001
 # Series lay their histogram out over all period points, so their cells are wider.
-SERIES_CELL = 0.05
+SERIES_CELL = 0.02
 
 HOUSEHOLD_TYPES = {
     "menage_ano": "long",
