@@ -71,7 +71,7 @@ def region_coverage(households: DataFrame, share: float = 0.70) -> DataFrame:
     running = F.sum("n_menages").over(upto)
     return (
         counts.select(
-            F.row_number().over(ranked).alias("rang"),
+            F.row_number().over(ranked).cast("long").alias("rang"),
             "region",
             "n_menages",
             running.alias("cumul"),

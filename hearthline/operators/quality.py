@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthline.functions.columns import elapsed_days, is_blank, lookup, ratio, round_to
-from hearthline.schema import MAX_SCORE, SNAPSHOT_LABELS, UNCLASSIFIED
+from hearthline.schema import MAX_SCORE, QC_TEXTS, SNAPSHOT_LABELS, UNCLASSIFIED
 
 
 def side_by_side(counters: dict[str, DataFrame]) -> DataFrame:
@@ -83,7 +83,8 @@ def qc_metrics(
     lost_scores = F.greatest(c("raw_scores") - c("scores"), zero)
     lost_households = F.greatest(c("raw_households") - c("households"), zero)
 
-    def line(metric: str, label: str, before: Column, after: Column, dropped: Column) -> Column:
+    def line(metric: str, before: Column, after: Column, dropped: Column) -> Column:
+        label, note = QC_TEXTS[metric]
         return F.struct(
             F.lit(metric).alias("metric"),
             F.lit(label).alias("label_fr"),
@@ -91,17 +92,19 @@ def qc_metrics(
             after.alias("after"),
             dropped.alias("dropped"),
             pct_dropped(dropped, before).alias("pct_dropped"),
+            F.lit(note.format(limit=max_score)).alias("note"),
         )
 
     raw_s, raw_h, h = c("raw_scores"), c("raw_households"), c("households")
+    over, lonely, loose = c("over_limit"), c("no_score"), c("unclassified")
     lines = [
-        line("scores_raw_rows", "Lignes brutes score chargées", raw_s, c("scores"), lost_scores),
-        line("scores_duplicate_rows", "Doublons exacts (scores)", raw_s, raw_s - lost_scores, lost_scores),
-        line("scores_aberrant", "Scores aberrants (> max)", raw_s, raw_s - c("over_limit"), c("over_limit")),
-        line("menage_raw_rows", "Lignes brutes ménage chargées", raw_h, h, lost_households),
-        line("menage_duplicate_ids", "Doublons ID ménage", raw_h, h, lost_households),
-        line("menage_no_score", "Ménages sans score associé", h, h - c("no_score"), c("no_score")),
-        line("menage_non_classifie", "Ménages non classifiés", c("seen"), c("seen") - c("unclassified"), c("unclassified")),
+        line("scores_raw_rows", raw_s, c("scores"), lost_scores),
+        line("scores_duplicate_rows", raw_s, raw_s - lost_scores, lost_scores),
+        line("scores_aberrant", raw_s, raw_s - over, over),
+        line("menage_raw_rows", raw_h, h, lost_households),
+        line("menage_duplicate_ids", raw_h, h, lost_households),
+        line("menage_no_score", h, h - lonely, lonely),
+        line("menage_non_classifie", c("seen"), c("seen") - loose, loose),
     ]
     return counts.select(F.inline(F.array(*lines)))
 

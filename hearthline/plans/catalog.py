@@ -156,7 +156,9 @@ def coerce_types(r: Registry) -> DataFrame:
         .otherwise(F.col("o_orderdate").cast("string"))
         .alias("d"),
     )
-    return csv.coerce_types(texts, {"n": "long", "x": "double", "b": "boolean", "d": "timestamp"})
+    typed = csv.coerce_types(texts, {"n": "long", "x": "double", "b": "boolean", "d": "timestamp"})
+    # shown as text, as engines differ in how they hand out missing integers and flags
+    return typed.withColumns({c: F.col(c).cast("string") for c in ("n", "b")})
 
 
 def load_households(r: Registry) -> DataFrame:
@@ -253,7 +255,7 @@ def repair_text(r: Registry) -> DataFrame:
         F.when(F.col("doc_id") % 2 == 0, damaged).otherwise(F.col("text")).alias("text"),
     )
     fixed = repair_frame(texts)
-    return fixed.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    return fixed.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 # --- events for daily series ------------------------------------------------

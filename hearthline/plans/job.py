@@ -106,8 +106,9 @@ def run_job(
         raw_households = households = csv.empty_households(spark)
     households = out.store("raw_menage", households)
     raw_scores, scores = read_scores(spark, sources.scores, max_score)
-    if full:
-        scores = out.store("raw_scores", scores)
+    # the light profile has no score snapshot, but the cleaned scores are still needed twice
+    aside = SnapshotWriter(spark, working_path(spark, "scores"))
+    scores = (out if full else aside).store("raw_scores", scores)
     programmes = out.store("raw_programmes", read_programmes(spark, sources))
     beneficiaries = None
     if sources.beneficiaries:

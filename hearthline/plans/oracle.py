@@ -448,7 +448,15 @@ def _mode(column: str) -> str:
 
 _QC_LINES = """
     SELECT metric, label_fr, CAST("before" AS BIGINT) AS before, CAST("after" AS BIGINT) AS after,
-           CAST(dropped AS BIGINT) AS dropped, ROUND(dropped * 100.0::DOUBLE / "before", 4) AS pct_dropped FROM (
+           CAST(dropped AS BIGINT) AS dropped, ROUND(dropped * 100.0::DOUBLE / "before", 4) AS pct_dropped,
+           CASE metric WHEN 'scores_raw_rows' THEN 'Volume brut de score.csv comparé au dataset final après nettoyage.'
+             WHEN 'scores_duplicate_rows' THEN 'Lignes retirées au nettoyage (doublons et autres exclusions avant dataset final).'
+             WHEN 'menage_raw_rows' THEN 'Volume brut de menage.csv comparé au dataset ménage nettoyé.'
+             WHEN 'menage_duplicate_ids' THEN 'Conservation de la première occurrence par menage_ano.'
+             WHEN 'menage_no_score' THEN 'Ménages présents dans le référentiel sans événement score.'
+             WHEN 'menage_non_classifie' THEN 'Ménages non appariés aux listes programme AMOT/ASD/AMOA.'
+             WHEN 'scores_aberrant' THEN 'Scores avec score_final > 15.0 exclus.'
+           END AS note FROM (
     SELECT 'scores_raw_rows' AS metric, 'Lignes brutes score chargées' AS label_fr, raw AS "before", kept AS "after", raw - kept AS dropped FROM c
     UNION ALL SELECT 'scores_duplicate_rows', 'Doublons exacts (scores)', raw, kept, raw - kept FROM c
     UNION ALL SELECT 'scores_aberrant', 'Scores aberrants (> max)', raw, raw - over, over FROM c
@@ -479,9 +487,9 @@ _QUERIES: dict[str, tuple[str, str]] = {
     ),
     "coerce_types": (
         "",
-        """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 IN (0, 1) THEN o_orderkey END AS n,
+        """SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 4 IN (0, 1) THEN o_orderkey END AS VARCHAR) AS n,
         CASE WHEN o_orderkey % 4 IN (0, 1) THEN o_orderkey::DOUBLE WHEN o_orderkey % 4 = 2 THEN o_orderkey + 0.5::DOUBLE END AS x,
-        CASE o_orderkey % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS b,
+        CASE o_orderkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS b,
         CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS d FROM orders""",
     ),
     "load_households": (

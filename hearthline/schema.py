@@ -86,6 +86,37 @@ SNAPSHOT_LABELS = {
     "programme_AMOA": "Événements du programme AMOA",
     "raw_programmes": "Listes d'affiliation aux programmes",
 }
+# metric -> (label, note)
+QC_TEXTS = {
+    "scores_raw_rows": (
+        "Lignes brutes score chargées",
+        "Volume brut de score.csv comparé au dataset final après nettoyage.",
+    ),
+    "scores_duplicate_rows": (
+        "Doublons exacts (scores)",
+        "Lignes retirées au nettoyage (doublons et autres exclusions avant dataset final).",
+    ),
+    "scores_aberrant": (
+        "Scores aberrants (> max)",
+        "Scores avec score_final > {limit} exclus.",
+    ),
+    "menage_raw_rows": (
+        "Lignes brutes ménage chargées",
+        "Volume brut de menage.csv comparé au dataset ménage nettoyé.",
+    ),
+    "menage_duplicate_ids": (
+        "Doublons ID ménage",
+        "Conservation de la première occurrence par menage_ano.",
+    ),
+    "menage_no_score": (
+        "Ménages sans score associé",
+        "Ménages présents dans le référentiel sans événement score.",
+    ),
+    "menage_non_classifie": (
+        "Ménages non classifiés",
+        "Ménages non appariés aux listes programme AMOT/ASD/AMOA.",
+    ),
+}
 # --- end of fixed values ----------------------------------------------------
 
 # Histogram cell widths used to locate exact quantiles (operators/quantiles.py).
