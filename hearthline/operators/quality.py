@@ -215,17 +215,3 @@ def snapshot_inventory(frames: dict[str, DataFrame]) -> DataFrame:
     return listed.select(
         "fichier", lookup(F.col("fichier"), SNAPSHOT_LABELS).alias("description"), "lignes"
     )
-
-
-def snapshot_files(frames: dict[str, DataFrame]) -> DataFrame:
-    """Total megabytes and latest modification per stored frame, from file metadata."""
-
-    def entry(name: str, df: DataFrame) -> DataFrame:
-        files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-        return files.agg(
-            F.lit(name).alias("fichier"),
-            round_to(F.sum("file_size") / 1e6, 1).alias("taille_mb"),
-            F.max("file_modification_time").alias("mis_a_jour"),
-        )
-
-    return reduce(DataFrame.unionByName, [entry(n, d) for n, d in sorted(frames.items())])

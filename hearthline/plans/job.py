@@ -16,7 +16,12 @@ from hearthline.plans.kpis import build_kpis
 from hearthline.schema import MAX_SCORE, PROGRAMME_TYPES, struct_of
 from hearthline.session import configure, working_path
 from hearthline.sources import csv
-from hearthline.sources.snapshots import FrameMap, load_snapshots, save_frames
+from hearthline.sources.snapshots import (
+    FrameMap,
+    load_snapshots,
+    save_frames,
+    snapshot_files,
+)
 
 PROFILES = ("dashboard", "full")
 
@@ -159,6 +164,7 @@ def run_kpis(spark: SparkSession, snapshots: str, output: str) -> FrameMap:
     """Compute every report table from stored snapshots and store it."""
     configure(spark)
     tables = build_kpis(load_snapshots(spark, snapshots))
+    tables["files"] = tables["files"].join(snapshot_files(spark, snapshots), "fichier", "left")
     save_frames(tables, output)
     return load_snapshots(spark, output, list(tables))
 

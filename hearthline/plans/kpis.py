@@ -13,11 +13,8 @@ from hearthline.sources.snapshots import FrameMap
 
 def quality_kpis(f: FrameMap) -> FrameMap:
     """Inventory, duplicates, coverage and blanks."""
-    stored = [name for name in f if not name.startswith("kpi_")]
     out = {
-        "files": quality.snapshot_inventory({n: f[n] for n in stored}).join(
-            quality.snapshot_files({n: f[n] for n in stored}), "fichier", "left"
-        ),
+        "files": quality.snapshot_inventory(f),
         "programme_rows": quality.programme_rows(f["raw_programmes"]),
         "qc_menage_fields": quality.qc_blank_fields(f["raw_menage"]),
         "qc_menages_no_score": quality.row_count(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 FrameMap = dict[str, DataFrame]
 
@@ -43,14 +43,36 @@ def save_frames(
     return written
 
 
-def _list_snapshots(spark: SparkSession, folder: str) -> list[str]:
+def _statuses(spark: SparkSession, folder: str) -> list:
+    """File-system entries of a folder, on any file system Spark can reach."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
         raise ValueError(f"Snapshot folder not found: {folder}")
-    found = [s.getPath().getName() for s in fs.listStatus(path)]
-    return sorted(n.removesuffix(".parquet") for n in found if n.endswith(".parquet"))
+    return [(s.getPath().getName(), s.getModificationTime(), fs, s.getPath()) for s in fs.listStatus(path)]
+
+
+def _list_snapshots(spark: SparkSession, folder: str) -> list[str]:
+    names = [entry[0] for entry in _statuses(spark, folder)]
+    return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet"))
+
+
+def snapshot_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Megabytes and last change per snapshot, from the file listing alone."""
+    rows = [
+        (
+            name.removesuffix(".parquet"),
+            round(fs.getContentSummary(path).getLength() / 1e6, 1),
+            changed,
+        )
+        for name, changed, fs, path in _statuses(spark, folder)
+        if name.endswith(".parquet")
+    ]
+    listed = spark.createDataFrame(rows, "fichier string, taille_mb double, changed long")
+    return listed.select(
+        "fichier", "taille_mb", F.timestamp_millis("changed").alias("mis_a_jour")
+    )
 
 
 def load_snapshots(
