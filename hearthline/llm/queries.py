@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import mixing
+from hearthline.llm import mixing, warc
 from hearthline.llm.common import table
 
 
@@ -14,8 +14,26 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"))
 
 
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
+    "op9_warc": op9_warc,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d
+  FROM pages
+), f AS (
+  SELECT d AS fd, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f ON d = fd
+""",
+}
