@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import mixing, warc
+from hearthline.llm import mixing, pii, warc
 from hearthline.llm.common import table
 
 
+#: Key of the registered query; a real run passes its own secret.
+PII_KEY = "public-demonstration-key"
+
+
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.replace(table(spark, folder, "documents"), PII_KEY)
+    return found.select("doc_id", "text", "pii_hits")
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"))
 
@@ -19,6 +28,7 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op6_mixing": op6_mixing,
     "op9_warc": op9_warc,
 }
