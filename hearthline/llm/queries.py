@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hearthline.llm import mixing, pii, warc
-from hearthline.llm.common import table
+from hearthline.llm import language, mixing, pii, quality, warc
+from hearthline.llm.common import remainder, table
 
 
 #: Key of the registered query; a real run passes its own secret.
@@ -23,14 +24,35 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"))
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return quality.classify(docs, labels, quality.not_held_out()).select(
+        "doc_id",
+        F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"),
+    )
+
+
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages"))
 
 
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predicted(table(spark, folder, "documents")).select(
+        "doc_id",
+        F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op6_mixing": op6_mixing,
+    "op8_quality": op8_quality,
     "op9_warc": op9_warc,
+    "op10_language": op10_language,
 }
 
 SQL: dict[str, str] = {

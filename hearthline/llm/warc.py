@@ -55,7 +55,7 @@ def plan_records(pages: DataFrame, smallest: int = REVISIT_FROM) -> DataFrame:
     so are rows without an id. Null html is an empty payload.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    digested = pages.withColumns(
+    digested = pages.select("page_id", "url", "html").withColumns(
         {"payload_bytes": F.octet_length(payload).cast("long"), "payload_digest": F.sha2(payload, 256)}
     )
     firsts = (
