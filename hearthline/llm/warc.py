@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import batches, prepare, scalar
+from hearthline.llm.common import batches, prepare, scalar, stored
 from hearthline.session import working_path
 
 #: Fixed values of the format.
@@ -58,12 +58,15 @@ def plan_records(pages: DataFrame, smallest: int = REVISIT_FROM) -> DataFrame:
     digested = pages.select("page_id", "url", "html").withColumns(
         {"payload_bytes": F.octet_length(payload).cast("long"), "payload_digest": F.sha2(payload, 256)}
     )
-    firsts = (
+    # Only payloads that occur again are listed. Stored, the list has a known size:
+    # Spark then joins it without moving the pages where it is short.
+    firsts = stored(
         digested.filter(F.col("payload_bytes") >= smallest)
         .groupBy(F.col("payload_digest").alias("first_digest"))
         .agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1 and first_page is not null")
-        .select("first_digest", "first_page")
+        .select("first_digest", "first_page"),
+        "warc-firsts",
     )
     joined = digested.join(firsts, F.col("payload_digest") == F.col("first_digest"), "left")
     again = F.col("first_page").isNotNull() & (F.col("page_id") > F.col("first_page"))
@@ -106,9 +109,10 @@ def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> str:
     An empty table gives an archive without records.
     """
     planned = plan_records(pages)
-    total = scalar(pages.agg(F.sum(F.octet_length("html")))) or 0
-    records = record_text(planned).repartition(int(total // file_bytes) + 1)
-    records.write.option("lineSep", END).mode("errorifexists").text(path)
+    mean = scalar(pages.agg(F.avg(F.octet_length("html")))) or 0
+    per_file = max(1, int(file_bytes / (mean + 512)))
+    writer = record_text(planned).write.option("lineSep", END).option("maxRecordsPerFile", per_file)
+    writer.mode("errorifexists").text(path)
     return path
 
 
@@ -268,14 +272,14 @@ def page_digest(records: DataFrame) -> DataFrame:
     revisit takes them from the response it refers to.
     """
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?[0-9]+)>$", 1)
-    kept = records.filter(F.col("kind") == "record").select(
+    kept = stored(records.filter(F.col("kind") == "record").select(
         F.when(number(F.col("record_id")) != "", number(F.col("record_id")).cast("long")).alias("page_id"),
         "payload_bytes",
         F.sha2("payload", 256).alias("read_digest"),
         "payload_digest",
         "record_type",
         F.when(number(F.col("refers_to")) != "", number(F.col("refers_to")).cast("long")).alias("refers_to"),
-    )
+    ), "warc-records")
     responses = kept.filter(F.col("record_type") == "response").select(
         "page_id", "payload_bytes", F.col("read_digest").alias("payload_digest"), "record_type",
         F.lit(None).cast("long").alias("refers_to"),
