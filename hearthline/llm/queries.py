@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import language, mixing, pii, quality, warc
+from hearthline.llm import language, mixing, neardup, pii, quality, warc
 from hearthline.llm.common import remainder, table
 
 
@@ -20,6 +20,10 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "text", "pii_hits")
 
 
+def op2_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"))
 
@@ -49,6 +53,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_neardup": op2_neardup,
     "op6_mixing": op6_mixing,
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
