@@ -28,7 +28,7 @@ from hearthline.llm.common import prepare, scalar, stored
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 SECRET = (
-    r"(?<=(?:token|password|passwd|secret|api_key|apikey) ?[=:] ?[\"']?)"
+    r"(?<=[=:\"' ])(?<=[=:] ?[\"']?)(?<=(?:token|password|passwd|secret|api_key|apikey) ?[=:] ?[\"']?)"
     r"[A-Za-z0-9_\-]{12,128}(?![A-Za-z0-9_\-])"
 )
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -44,10 +44,13 @@ NEUTRAL = ("Dr", "Prof")
 _NAME_WORD = r"\p{Lu}[\p{L}'’-]{1,40}"
 _TITLE = "|".join((*MALE, *FEMALE, *NEUTRAL))
 NAME = (
-    rf"(?<=(?<![\p{{L}}])(?:{_TITLE})\.? )"
+    rf"(?=\p{{Lu}})(?<=[\p{{L}}.] )(?<=(?<![\p{{L}}])(?:{_TITLE})\.? )"
     rf"{_NAME_WORD}(?: {_NAME_WORD})?(?![\p{{L}}])"
 )
-PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, ACCESS_KEY, SECRET, IBAN, CARD, SSN, PHONE, IPV4, NAME))
+# No hit begins within a word, so most positions are passed over at once.
+PATTERN = "(?<![A-Za-z0-9])(?:" + "|".join(
+    f"(?:{p})" for p in (EMAIL, ACCESS_KEY, SECRET, IBAN, CARD, SSN, PHONE, IPV4, NAME)
+) + ")"
 # Given names and syllables of family names by script.
 GIVEN = {
     "latin": {
@@ -235,7 +238,11 @@ def _draw(key: str) -> Column:
     """The surrogate of (kind, normal, attempt), itself in normal form."""
     kind, normal, attempt = F.col("kind"), F.col("normal"), F.col("attempt")
     seed = F.concat_ws("\u0001", F.lit(key), kind, normal, attempt.cast("string"))
-    stream = F.concat(F.sha2(seed.cast("binary"), 512), F.sha2(F.concat(seed, F.lit("+")).cast("binary"), 512))
+    digest = F.concat(F.sha2(seed.cast("binary"), 512), F.sha2(F.concat(seed, F.lit("+")).cast("binary"), 512))
+    return F.transform(F.array(digest), lambda s: _drawn(kind, normal, attempt, s)).getItem(0)
+
+
+def _drawn(kind: Column, normal: Column, attempt: Column, stream: Column) -> Column:
     drawn = (
         F.when(kind == "email", _email(normal, stream))
         .when(kind == "access_key", F.concat(F.substr(normal, F.lit(1), F.lit(4)), _redrawn(F.substr(normal, F.lit(5)), stream)))
