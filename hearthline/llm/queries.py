@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import language, mixing, neardup, pii, quality, topk, warc
+from hearthline.llm import language, mixing, neardup, packing, pii, quality, topk, warc
 from hearthline.llm.common import remainder, table
 
 
@@ -32,6 +32,17 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the registered query, among the installed public ones."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path())
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     return quality.classify(docs, labels, quality.not_held_out()).select(
@@ -60,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_neardup": op2_neardup,
     "op3_topk": op3_topk,
     "op6_mixing": op6_mixing,
+    "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_language": op10_language,
