@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import language, mixing, neardup, packing, pii, quality, topk, warc
+from hearthline.llm import language, mixing, neardup, packing, pii, quality, substrings, topk, warc
 from hearthline.llm.common import remainder, table
 
 
@@ -28,6 +28,10 @@ def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, folder, "documents"))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_neardup": op2_neardup,
     "op3_topk": op3_topk,
+    "op4_substrings": op4_substrings,
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
