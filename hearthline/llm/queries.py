@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import language, mixing, neardup, packing, pii, quality, substrings, topk, warc
+from hearthline.llm import jaccard, language, mixing, neardup, packing, pii, quality, substrings, topk, warc
 from hearthline.llm.common import remainder, table
 
 
@@ -32,6 +32,10 @@ def op4_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.deduplicate(table(spark, folder, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(table(spark, folder, "documents"))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_neardup": op2_neardup,
     "op3_topk": op3_topk,
     "op4_substrings": op4_substrings,
+    "op5_jaccard": op5_jaccard,
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
@@ -97,6 +102,31 @@ WITH u AS (
   FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op5_jaccard": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+  FROM w
+), t AS (
+  SELECT doc_id, unnest(s) AS t FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+  WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)
+), r AS (
+  SELECT doc_id AS node, doc_id AS root FROM s
+  UNION
+  SELECT b, root FROM r JOIN e ON a = node WHERE root < b
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(root) AS component_id
+FROM s JOIN r ON node = s.doc_id GROUP BY s.doc_id, len(s.s)
 """,
     "op9_warc": """
 WITH p AS (
