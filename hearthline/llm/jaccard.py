@@ -149,22 +149,24 @@ def _blobs(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id); set_id is null for the empty set."""
+    """(doc_id, text_hash, n_shingles, set_id); set_id is null for the empty set."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for part in parts:
             sizes, numbers = [], []
-            for text in texts(part.column(1)):
+            for text in texts(part.column(2)):
                 tokens = shingles(text, k, known)
                 sizes.append(len(tokens))
                 numbers.append(set_number(tokens) if len(tokens) else None)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64())],
-                names=["doc_id", "n_shingles", "set_id"],
+                [*part.columns[:2], pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64())],
+                names=["doc_id", "text_hash", "n_shingles", "set_id"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        run, "doc_id long, text_hash long, n_shingles long, set_id long"
+    )
 
 
 def _reduced(docs: DataFrame, k: int, percent: int, ranges: int) -> DataFrame:
@@ -420,7 +422,7 @@ def _left_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row; linked at ``percent`` of the union or more.
+    """(doc_id, text_hash, n_shingles, component_id) per row; linked at ``percent`` of the union or more.
 
     ``component_id`` is the smallest doc_id reachable by links, the own one
     included. Null and empty texts have no shingles and link with nothing. Rows
@@ -470,6 +472,26 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     joined = rows.join(final, F.col("set_id") == F.col("s"), "left")
     return joined.select(
         "doc_id",
+        "text_hash",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
+
+
+def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of every group of linked ones, the one with the smallest id; columns unchanged.
+
+    Documents without text or without an id stay. Of rows that repeat id and
+    text one stays.
+    """
+    kept = (
+        join(docs, k, percent)
+        .filter("doc_id = component_id")
+        .select(F.col("doc_id").alias("kept_doc"), F.col("text_hash").alias("kept_text"))
+        .distinct()
+    )
+    named = docs.filter("doc_id is not null").select(
+        F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("kept_doc"), F.xxhash64("text").alias("kept_text")
+    )
+    chosen = named.join(kept, ["kept_doc", "kept_text"], "left_semi").dropDuplicates(["kept_doc", "kept_text"])
+    return chosen.select("row.*").unionByName(docs.filter("doc_id is null"))

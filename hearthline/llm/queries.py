@@ -33,7 +33,7 @@ def op4_substrings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard.join(table(spark, folder, "documents"))
+    return jaccard.join(table(spark, folder, "documents")).drop("text_hash")
 
 
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
