@@ -34,6 +34,8 @@ PROBES = 2
 BLOCK = 1024
 #: Vectors that share a bucket by chance, on average; sets how many hashes a table joins.
 CHANCE = 8
+#: Groups up to this size are looked through for links together.
+SMALL = 8
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -195,47 +197,58 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _links(blocks: DataFrame, dims: int) -> DataFrame:
     """Runs over rows sorted by (bucket, block_a, block_b), one group at a time."""
-
-    def close(key: tuple, held: list[pa.RecordBatch]) -> list[np.ndarray]:
-        group = pa.Table.from_batches(held).combine_chunks()
-        if group.num_rows < 2:
-            return []
-        column = lambda name: group.column(name).combine_chunks()
-        lists = column("buckets")
-        return _verify(
-            key[0],
-            column("rep").to_numpy(),
-            column("rows").to_numpy(),
-            _matrix(column("embedding"), dims),
+    keys = ("bucket", "block_a", "block_b")
+
+    def arrays(part: pa.RecordBatch) -> list[np.ndarray]:
+        lists = part.column("buckets")
+        return [
+            np.stack([part.column(c).to_numpy().astype(np.int64) for c in keys], axis=1),
+            part.column("rep").to_numpy(),
+            part.column("rows").to_numpy(),
+            _matrix(part.column("embedding"), dims),
             lists.flatten().to_numpy().reshape(len(lists), -1),
-            column("side").to_numpy(),
-        )
+            part.column("side").to_numpy(),
+        ]
+
+    def solve(data: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> list[list[np.ndarray]]:
+        """Results of the groups that hold links; most chance groups are told at once."""
+        group = np.repeat(np.arange(len(starts)), ends - starts)
+        x = data[3][: len(group)]
+        near = ends - starts > SMALL
+        for shift in range(1, min(SMALL, len(group))):
+            pair = (group[shift:] == group[:-shift]) & (
+                np.einsum("ij,ij->i", x[shift:], x[:-shift]) >= THRESHOLD
+            )
+            near[group[:-shift][pair]] = True
+        out = []
+        for k in np.flatnonzero(near):
+            own = slice(starts[k], ends[k])
+            found = _verify(int(data[0][starts[k], 0]), *[d[own] for d in data[1:]])
+            if found:
+                out.append(found)
+        return out
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: tuple | None = None
-        held: list[pa.RecordBatch] = []
+        waiting: list[list[np.ndarray]] = []  # rows of the group that the last batch ended in
         for part in parts:
             if not part.num_rows:
                 continue
-            keys = np.stack([part.column(c).to_numpy() for c in ("bucket", "block_a", "block_b")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            out = []
-            for start, end in zip([0, *cuts], [*cuts, part.num_rows]):
-                this = tuple(int(k) for k in keys[:, start])
-                if this != key and held:
-                    out.append(close(key, held))
-                    held = []
-                key = this
-                held.append(part.slice(start, end - start))
-            out = [o for o in out if o]
+            data = arrays(part)
+            if waiting and (waiting[-1][0][-1] == data[0][0]).all() and (data[0][0] == data[0][-1]).all():
+                waiting.append(data)
+                continue
+            data = [np.concatenate(d) for d in zip(*waiting, data)]
+            cuts = np.flatnonzero((data[0][1:] != data[0][:-1]).any(axis=1)) + 1
+            starts = np.concatenate([[0], cuts])
+            out = solve(data, starts[:-1], starts[1:])
+            waiting = [[d[starts[-1] :] for d in data]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=LINKS)
+        if waiting:
+            data = [np.concatenate(d) for d in zip(*waiting)]
+            out = solve(data, np.array([0]), np.array([len(data[1])]))
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in zip(*out)], schema=LINKS
-                )
-        if held:
-            last = close(key, held)
-            if last:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], schema=LINKS)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out[0]], schema=LINKS)
 
     return blocks.mapInArrow(run, "rep long, links long, root long")
 
@@ -267,8 +280,9 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     signed = _signed(distinct, dims, hashes)
     entries = signed.select("*", F.explode("buckets").alias("bucket"))
     # Buckets with more vectors than a block are cut; the list of these is short.
-    large = (
-        entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > BLOCK)
+    large = stored(
+        entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > BLOCK),
+        "vector-buckets",
     )
     cut = entries.join(large, "bucket", "left").withColumn(
         "parts", F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("int")
