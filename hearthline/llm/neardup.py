@@ -278,7 +278,7 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     while cells**hashes * CHANCE < n * (1 + PROBES) and cells ** (hashes + 1) < 1 << 55:
         hashes += 1
     signed = _signed(distinct, dims, hashes)
-    entries = signed.select("*", F.explode("buckets").alias("bucket"))
+    entries = signed.select("*", F.explode(F.array_distinct("buckets")).alias("bucket"))
     # Buckets with more vectors than a block are cut; the list of these is short.
     large = stored(
         entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > BLOCK),
