@@ -96,10 +96,17 @@ def reduced_shared(n: int, percent: int) -> int:
     return small - least_shared(small, percent) + 1
 
 
-def class_exponents(n: int, percent: int) -> set[int]:
-    """Powers of two of class numbers; linked sets have one in common."""
-    power = lambda size: max(0, (size // PER_CLASS).bit_length() - 1)
-    return {power(n), power(100 * n // percent)}
+def class_exponents(n: int, percent: int) -> range:
+    """Powers of two of class numbers of a set of ``n``; -1: no classes, every token by itself.
+
+    Classes need as many shared tokens and one more, so short sets have none.
+    Linked sets have the power of the smaller one in common.
+    """
+
+    def power(size: int) -> int:
+        return min(size // PER_CLASS, reduced_shared(size, percent) - 1).bit_length() - 1
+
+    return range(power(least_shared(n, percent)), power(n) + 1)
 
 
 def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
@@ -112,11 +119,15 @@ def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int) ->
     alone = size - len(tokens)
     out = []
     for power in class_exponents(n, percent):
-        length = max(0, size - shared + 1 + (1 << power) - alone)
+        classes = 1 << power if power >= 0 else 0
+        length = max(0, size - shared + 1 + classes - alone)
         prefix, often = tokens[:length], counts[:length] > RARE
+        if not classes:
+            out.append(prefix)
+            continue
         out.append(prefix[~often])
         some = prefix[often]
-        group = _mixed(some + np.uint64(1)) & np.uint64((1 << power) - 1)
+        group = _mixed(some + np.uint64(1)) & np.uint64(classes - 1)
         by = np.argsort(group, kind="stable")
         some, group = some[by], group[by]
         for part in np.split(some, np.flatnonzero(group[1:] != group[:-1]) + 1):
