@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def round_to(value: Column, digits: int) -> Column:
@@ -78,3 +78,20 @@ def is_blank(text: Column) -> Column:
 def normalised(text: Column) -> Column:
     """Lower-cased, trimmed text; missing becomes empty."""
     return F.lower(F.trim(F.coalesce(text, F.lit(""))))
+
+
+#: Categories that may become columns or tables of their own.
+MAX_COLUMNS = 500
+
+
+def category_values(df: DataFrame, column: str) -> tuple[str, ...]:
+    """Distinct values of a category column, sorted, nulls left out.
+
+    At most ``MAX_COLUMNS`` of them reach the driver; more are an error, since a
+    column of free text is no list of categories.
+    """
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_COLUMNS + 1)
+    values = sorted(r[0] for r in found.collect())
+    if len(values) > MAX_COLUMNS:
+        raise ValueError(f"{column} has more than {MAX_COLUMNS} values")
+    return tuple(values)

@@ -49,9 +49,15 @@ def _is_ascii(text: Column) -> Column:
 
 
 def _replace_all(text: Column, mapping: dict[str, str]) -> Column:
-    return reduce(
-        lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), mapping.items(), text
-    )
+    """All replacements in turn, tried only on text that contains any of the spellings."""
+    if not mapping:
+        return text
+    chain = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), mapping.items(), text)
+    return F.when(text.rlike("|".join(map(_literal, mapping))), chain).otherwise(text)
+
+
+def _literal(text: str) -> str:
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
 def redecode(text: Column) -> Column:
@@ -93,14 +99,15 @@ def repair_frame(
     df: DataFrame,
     columns: list[str] | None = None,
     extra: dict[str, str] | None = None,
+    among: list[str] | None = None,
 ) -> DataFrame:
-    """Repair text columns of a frame.
+    """Repair text columns of a frame, or those of ``among``.
 
     With ``columns`` given, those are repaired. Otherwise a column is repaired
     when any of its values looks damaged; the check is one aggregate over all
     text columns, evaluated as a scalar subquery inside the same plan.
     """
-    texts = text_columns(df)
+    texts = [c for c in text_columns(df) if among is None or c in among]
     if columns is not None:
         chosen = set(columns) & set(texts)
         return df.select(

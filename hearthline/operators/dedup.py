@@ -17,6 +17,6 @@ def keep_one(df: DataFrame, keys: list, order: list[Column]) -> DataFrame:
 
 
 def keep_one_keep_null(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """As :func:`keep_one`, but rows without a key are all kept."""
-    keyed = keep_one(df.where(F.col(key).isNotNull()), [key], order)
-    return keyed.unionByName(df.where(F.col(key).isNull()))
+    """As :func:`keep_one`, but rows without a key are all kept, each a group of its own."""
+    alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    return keep_one(df.withColumn("_alone", alone), [key, "_alone"], order).drop("_alone")

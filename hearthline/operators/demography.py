@@ -18,10 +18,10 @@ def households_by(households: DataFrame, column: str, ascending: bool = False) -
     )
 
 
-def household_size(households: DataFrame) -> DataFrame:
-    """Households per size, up to twelve persons."""
+def household_size(households: DataFrame, max_size: int = MAX_HISTOGRAM_SIZE) -> DataFrame:
+    """Households per size up to ``max_size`` persons, as published."""
     return (
-        households.where(F.col("taille_menage") <= MAX_HISTOGRAM_SIZE)
+        households.where(F.col("taille_menage") <= max_size)
         .groupBy("taille_menage")
         .agg(F.count("*").alias("n_menages"))
         .orderBy("taille_menage")
@@ -51,10 +51,10 @@ def demog_mode_share(households: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [mode(c) for c in ("milieu", "genre_cm", "type_menage")])
 
 
-def mean_household_size(sizes: DataFrame) -> DataFrame:
-    """Mean household size from the size histogram."""
-    persons = F.sum(F.col("taille_menage") * F.col("n_menages"))
-    return sizes.agg(round_to(ratio(persons, F.sum("n_menages")), 4).alias("taille_moyenne"))
+def mean_household_size(households: DataFrame) -> DataFrame:
+    """Mean size over all households that state one, however large."""
+    size = F.col("taille_menage")
+    return households.agg(round_to(ratio(F.sum(size), F.count(size)), 4).alias("taille_moyenne"))
 
 
 def region_coverage(households: DataFrame, share: float = 0.70) -> DataFrame:

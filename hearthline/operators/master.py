@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthline.functions.columns import last_value, same, sequence_key, truth
-from hearthline.schema import MASTER_BANDS, PROGRAMME_THRESHOLDS, REQUEST_TYPES, UNCLASSIFIED
+from hearthline.functions.columns import category_values, last_value, same, sequence_key, truth
+from hearthline.schema import MASTER_BANDS, PROGRAMME_THRESHOLDS, UNCLASSIFIED
 
 
 def threshold_of(programme: Column, thresholds: dict[str, float]) -> Column:
@@ -113,13 +113,15 @@ def build_pivot_wide(
     score: str = "score_final",
     pivot: str = "type_demande",
     how: str = "last",
-    values: tuple[str, ...] = REQUEST_TYPES,
+    values: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """One row per household and programme with one score column per request type.
 
-    ``values`` fixes the columns; :func:`pivot_values` finds those present. Types
-    without any event give a null column.
+    Without ``values`` the types present make the columns. A given list fixes the
+    columns, not the rows: a household without any of these types has nulls.
     """
+    if values is None:
+        values = pivot_values(master, pivot)
     keys = [c for c in ("menage_ano", "programme") if c in master.columns]
     key = event_key(master)
     target = F.col(score)
@@ -135,13 +137,12 @@ def build_pivot_wide(
         return {"min": F.min, "max": F.max, "mean": F.avg, "count": F.count}[how](inner)
 
     return (
-        master.where(F.col(pivot).isin(*values) & F.col("menage_ano").isNotNull())
+        master.where(F.col("menage_ano").isNotNull())
         .groupBy(*keys)
         .agg(*[cell(v).alias(f"score_{v}") for v in values])
     )
 
 
 def pivot_values(master: DataFrame, pivot: str = "type_demande") -> tuple[str, ...]:
-    """Request types present, sorted; a short category list, read by the job once."""
-    rows = master.select(pivot).where(F.col(pivot).isNotNull()).distinct().orderBy(pivot)
-    return tuple(r[0] for r in rows.toLocalIterator())
+    """Values present, sorted, for use as columns; an error beyond ``MAX_COLUMNS`` of them."""
+    return category_values(master, pivot)

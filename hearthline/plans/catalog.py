@@ -16,7 +16,6 @@ from hearthline.schema import (
     BENEFICIARY_TYPES,
     PROGRAMMES,
     SCORE_TYPES,
-    UNCLASSIFIED,
 )
 from hearthline.session import configure, working_path
 from hearthline.sources import csv, snapshots, tables
@@ -106,7 +105,7 @@ class Registry:
             df = df.repartitionByRange(order).sortWithinPartitions(order).drop(order)
         texts = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
         texts.write.options(
-            header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+            header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"'
         ).csv(path)
         return path
 
@@ -438,9 +437,9 @@ BUILDERS: dict[str, Callable[[Registry], DataFrame]] = {
     ),
     # quality accounting
     "qc_summary": qc_summary,
-    "qc_no_score": lambda r: quality.households_without_score(r.households, r.scores).select(
-        "menage_ano"
-    ),
+    "qc_no_score": lambda r: quality.households_without_score(
+        r.households.select("menage_ano").unionByName(tables.silent_households(r.spark, r.folder)), r.scores
+    ).select("menage_ano"),
     "snapshot_inventory": snapshot_inventory,
     "programme_rows": lambda r: quality.programme_rows(r.programmes),
     "volume_kpis": lambda r: quality.volume_kpis(r.scores, r.households, r.delta, r.scores),
@@ -463,9 +462,7 @@ BUILDERS: dict[str, Callable[[Registry], DataFrame]] = {
     "household_size": lambda r: demography.household_size(r.households),
     "top_provinces": lambda r: demography.top_provinces(r.households),
     "demog_mode_share": lambda r: demography.demog_mode_share(r.households),
-    "mean_household_size": lambda r: demography.mean_household_size(
-        demography.household_size(r.households)
-    ),
+    "mean_household_size": lambda r: demography.mean_household_size(r.households),
     "region_coverage": lambda r: demography.region_coverage(r.households),
     # scores and eligibility
     "score_stats": lambda r: stats.score_stats(r.events),
@@ -485,7 +482,7 @@ BUILDERS: dict[str, Callable[[Registry], DataFrame]] = {
     "volatility_programme": lambda r: stats.volatility_programme(r.delta),
     "volatility_region": lambda r: stats.volatility_region(r.full_delta),
     "volatility_heatmap": lambda r: stats.volatility_heatmap(
-        stats.volatility_region(r.full_delta), [*PROGRAMMES, UNCLASSIFIED]
+        stats.volatility_region(r.full_delta)
     ),
     "delta_box": lambda r: stats.delta_box(r.delta),
     "adj_delta_global": lambda r: stats.adjusted_profile(r.delta, []),
@@ -515,7 +512,8 @@ BUILDERS: dict[str, Callable[[Registry], DataFrame]] = {
     ),
     "score_ts_weekly": lambda r: r.weekly,
     "score_ts_region": lambda r: stats.score_ts_by(r.master, "region"),
-    "score_ts_milieu": lambda r: stats.score_ts_by(r.master, "milieu", ["Urbain"]),
+    "score_ts_milieu": lambda r: stats.score_ts_by(r.master, "milieu"),
+    "score_ts_segment": lambda r: stats.score_ts_by(r.master, "milieu", ["Urbain"]),
     "score_ts_genre": lambda r: stats.score_ts_by(r.master, "genre_cm"),
     "score_trend": lambda r: stats.score_trend(r.weekly),
     "score_band": lambda r: stats.score_band(r.weekly),

@@ -7,18 +7,21 @@ from __future__ import annotations
 
 import argparse
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hearthline.functions.columns import category_values
 from hearthline.operators import asof, flows, history, master, quality
 from hearthline.operators.asof import DAILY, SEGMENTS, WEEKLY
 from hearthline.plans.kpis import build_kpis
 from hearthline.schema import MAX_SCORE, PROGRAMME_TYPES, struct_of
-from hearthline.session import configure, working_path
+from hearthline.session import configure
 from hearthline.sources import csv
 from hearthline.sources.snapshots import (
     FrameMap,
     load_snapshots,
+    remove_folder,
     save_frames,
     snapshot_files,
 )
@@ -55,16 +58,27 @@ class SnapshotWriter:
 
 
 def read_scores(
-    spark: SparkSession, paths: list[str], max_score: float
+    spark: SparkSession, paths: list[str], max_score: float, work: str
 ) -> tuple[DataFrame, DataFrame]:
-    """Score rows as read, and cleaned; Parquet scores are taken as they are."""
-    if all(p.rstrip("/").endswith(".parquet") for p in paths):
-        ready = spark.read.parquet(*paths)
-        return ready, ready
-    raw = csv.load_raw_scores(spark, paths).drop(csv.LINE)
-    if len(paths) == 1:
-        return raw, csv.load_scores(spark, paths[0], max_score)
-    return raw, csv.merge_score_files(spark, paths, working_path(spark, "merged"), max_score)
+    """Score rows as read, and cleaned; Parquet scores are taken as they are.
+
+    With Parquet and CSV paths together the latest version of an id counts.
+    """
+    stored = [p for p in paths if p.rstrip("/").endswith(".parquet")]
+    plain = [p for p in paths if p not in stored]
+    parts = []
+    if stored:
+        ready = spark.read.parquet(*stored)
+        parts.append((ready, ready))
+    if len(plain) == 1:
+        raw = csv.load_raw_scores(spark, plain).drop(csv.LINE)
+        parts.append((raw, csv.load_scores(spark, plain[0], max_score)))
+    elif plain:
+        raw = csv.load_raw_scores(spark, plain).drop(csv.LINE)
+        parts.append((raw, csv.merge_score_files(spark, plain, work, max_score)))
+    both = zip(*parts)
+    raw, clean = (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), p) for p in both)
+    return raw, csv.keep_latest_scores(clean) if stored and plain else clean
 
 
 def read_programmes(spark: SparkSession, sources: Sources) -> DataFrame:
@@ -110,9 +124,10 @@ def run_job(
     else:
         raw_households = households = csv.empty_households(spark)
     households = out.store("raw_menage", households)
-    raw_scores, scores = read_scores(spark, sources.scores, max_score)
+    work = f"{output.rstrip('/')}/_work"
+    raw_scores, scores = read_scores(spark, sources.scores, max_score, work)
     # the light profile has no score snapshot, but the cleaned scores are still needed twice
-    aside = SnapshotWriter(spark, working_path(spark, "scores"))
+    aside = SnapshotWriter(spark, work)
     scores = (out if full else aside).store("raw_scores", scores)
     programmes = out.store("raw_programmes", read_programmes(spark, sources))
     beneficiaries = None
@@ -142,9 +157,8 @@ def run_job(
         quality.qc_metrics(raw_scores, scores, raw_households, households, events, max_score),
     )
     # programme names are a short list, one snapshot each
-    named = programmes.select("programme").distinct().orderBy("programme")
-    for row in named.toLocalIterator():
-        out.store(f"programme_{row[0]}", master.build_programme_frame(events, row[0]))
+    for name in category_values(programmes, "programme"):
+        out.store(f"programme_{name}", master.build_programme_frame(events, name))
     if full:
         types = master.pivot_values(events)
         out.store("pivot_wide", master.build_pivot_wide(events, values=types))
@@ -157,13 +171,19 @@ def run_job(
                 "monthly_beneficiaire_flows",
                 flows.build_monthly_beneficiary_flows(beneficiaries),
             )
+    remove_folder(spark, work)
     return load_snapshots(spark, output, out.names)
 
 
-def run_kpis(spark: SparkSession, snapshots: str, output: str) -> FrameMap:
-    """Compute every report table from stored snapshots and store it."""
+def run_kpis(
+    spark: SparkSession, snapshots: str, output: str, skip_unreadable: bool = False
+) -> FrameMap:
+    """Compute every report table from stored snapshots and store it.
+
+    An unreadable snapshot is an error unless it may be skipped with its tables.
+    """
     configure(spark)
-    tables = build_kpis(load_snapshots(spark, snapshots))
+    tables = build_kpis(load_snapshots(spark, snapshots, strict=not skip_unreadable))
     tables["files"] = tables["files"].join(snapshot_files(spark, snapshots), "fichier", "left")
     save_frames(tables, output)
     return load_snapshots(spark, output, list(tables))

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from hearthline.operators import demography, flows, history, quality, stats
-from hearthline.schema import PROGRAMMES, UNCLASSIFIED
 from hearthline.sources.snapshots import FrameMap
 
 
@@ -48,7 +47,7 @@ def population_kpis(f: FrameMap) -> FrameMap:
         "taille": sizes,
         "top_provinces": demography.top_provinces(homes),
         "demog_mode_share": demography.demog_mode_share(homes),
-        "mean_household_size": demography.mean_household_size(sizes),
+        "mean_household_size": demography.mean_household_size(homes),
         "region_coverage": demography.region_coverage(homes),
         "prog_menages": by_programme,
         "n_non_classifie": stats.unclassified_households(events),
@@ -94,7 +93,7 @@ def change_kpis(f: FrameMap) -> FrameMap:
         "delta_global": stats.delta_global(delta),
         "vol_prog": stats.volatility_programme(delta),
         "vol_reg": regions,
-        "vol_heatmap": stats.volatility_heatmap(regions, [*PROGRAMMES, UNCLASSIFIED]),
+        "vol_heatmap": stats.volatility_heatmap(regions),
         "delta_box": stats.delta_box(delta),
         "dd_global": adjusted,
         "dd_coverage": stats.adj_delta_coverage(adjusted),

@@ -627,7 +627,9 @@ _QUERIES: dict[str, tuple[str, str]] = {
     "near_threshold_custom": ("near_alive", near_sql((0.05, 0.20, 1.0))),
     "qc_no_score": (
         "scores",
-        "SELECT c_custkey AS menage_ano FROM customer WHERE c_custkey NOT IN (SELECT menage_ano FROM scores)",
+        """SELECT menage_ano FROM (SELECT c_custkey AS menage_ano FROM customer
+             UNION ALL SELECT CAST(s_suppkey + 1000000000 AS BIGINT) FROM supplier)
+           WHERE menage_ano NOT IN (SELECT menage_ano FROM scores)""",
     ),
     "programme_rows": ("programmes", "SELECT programme, COUNT(*) AS n_rows FROM programmes GROUP BY 1"),
     "volume_kpis": (
@@ -687,8 +689,8 @@ _QUERIES: dict[str, tuple[str, str]] = {
         " UNION ALL ".join(_mode(c) for c in ("milieu", "genre_cm", "type_menage")),
     ),
     "mean_household_size": (
-        "sizes",
-        f"SELECT {r('SUM(taille_menage * n_menages)::DOUBLE / SUM(n_menages)', 4)} AS taille_moyenne FROM sizes",
+        "menage",
+        f"SELECT {r('SUM(taille_menage)::DOUBLE / COUNT(taille_menage)', 4)} AS taille_moyenne FROM menage",
     ),
     "region_coverage": (
         "menage",
@@ -825,7 +827,8 @@ _QUERIES: dict[str, tuple[str, str]] = {
     ),
     "score_ts_weekly": ("ts_weekly", "SELECT * FROM ts_weekly"),
     "score_ts_region": ("master", _ts_by("region")),
-    "score_ts_milieu": ("master", _ts_by("milieu", "AND milieu IN ('Urbain')")),
+    "score_ts_milieu": ("master", _ts_by("milieu")),
+    "score_ts_segment": ("master", _ts_by("milieu", "AND milieu IN ('Urbain')")),
     "score_ts_genre": ("master", _ts_by("genre_cm")),
     "score_trend": (
         "ts_weekly",

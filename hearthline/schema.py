@@ -117,13 +117,6 @@ QC_TEXTS = {
         "Ménages non appariés aux listes programme AMOT/ASD/AMOA.",
     ),
 }
-# --- end of fixed values ----------------------------------------------------
-
-# Histogram cell widths used to locate exact quantiles (operators/quantiles.py).
-SCORE_CELL = 0.01
-RATE_CELL = 0.0001
-# Series lay their histogram out over all period points, so their cells are wider.
-SERIES_CELL = 0.02
 
 HOUSEHOLD_TYPES = {
     "menage_ano": "long",
@@ -167,6 +160,19 @@ HOUSEHOLD_TEXT = (
     "genre_cm",
 )
 
+# words that stand for a missing value in a source file
+MISSING_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+# --- end of fixed values ----------------------------------------------------
+
+# Histogram cell widths used to locate exact quantiles (operators/quantiles.py).
+SCORE_CELL = 0.01
+RATE_CELL = 0.0001
+# Series lay their histogram out over all period points, so their cells are wider.
+SERIES_CELL = 0.02
+
 # Registry dates carry no zone, so instants are TIMESTAMP_NTZ throughout.
 SPARK_TYPES = {
     "long": T.LongType(),

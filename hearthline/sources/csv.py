@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hearthline.functions.textrepair import repair_frame
+from hearthline.functions.textrepair import redecode, repair_frame
 from hearthline.operators.dedup import keep_one, keep_one_keep_null
 from hearthline.schema import (
     BENEFICIARY_TYPES,
@@ -14,6 +15,7 @@ from hearthline.schema import (
     HOUSEHOLD_TEXT,
     HOUSEHOLD_TYPES,
     MAX_SCORE,
+    MISSING_WORDS,
     PROGRAMME_TYPES,
     SCORE_TYPES,
     struct_of,
@@ -21,7 +23,9 @@ from hearthline.schema import (
 from hearthline.functions.columns import lookup
 
 LINE = "_line"
-_OVERFLOW = "_overflow"
+# The field beyond the last makes every regular line one field short, so that the
+# reader hands out the raw line as well.
+_OVERFLOW, _RAW = "_overflow", "_raw"
 
 
 def file_position() -> Column:
@@ -33,31 +37,107 @@ def file_position() -> Column:
     )
 
 
+def decode_bytes(text: Column) -> Column:
+    """A value read byte by byte: as UTF-8 where it is that, else as windows-1252."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, text).otherwise(redecode(text))
+
+
+def present(text: Column) -> Column:
+    """The value, or null where it is one of the words for a missing one."""
+    return F.when(~F.trim(text).isin(*MISSING_WORDS), text)
+
+
+def _headers(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header line, which is read once per file."""
+    found: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(spark.read.text(path).inputFiles()):
+        names = spark.read.options(header=True, encoding="ISO-8859-1", escape='"').csv(file).columns
+        if names:
+            fixed = [n.removeprefix("\u00ef\u00bb\u00bf").strip() for n in names]
+            found.setdefault(tuple(fixed), []).append(file)
+    return found
+
+
+def _lines(
+    spark: SparkSession, files: list[str], header: tuple[str, ...], options: dict[str, object]
+) -> DataFrame:
+    """Rows of files with one header, every column as text, plus overflow and position."""
+    schema = ", ".join(f"`{c}` string" for c in [*header, _OVERFLOW, _RAW])
+    # A literal path may hold characters that a pattern would read as wildcards.
+    escaped = [re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in files]
+    rows = spark.read.options(**options).csv(escaped, schema=schema)
+    return rows.select("*", file_position().alias(LINE))
+
+
+def _broken(header: tuple[str, ...], sep: str, multi_line: bool) -> Column:
+    """Too many fields, or one half of a record that a quoted line break cut in two.
+
+    Without its properly quoted fields, the first half still opens a quote; the
+    second half is short and closes one.
+    """
+    too_many = F.col(_OVERFLOW).isNotNull()
+    if multi_line:
+        return too_many
+    mark = re.escape(sep)
+    rest = F.regexp_replace(_RAW, rf'(^|{mark})"(?:[^"]|"")*"(?={mark}|$)', "$1")
+    opened = rest.rlike(rf'(?:^|{mark})"')
+    closed = rest.rlike(rf'"(?:{mark}|$)') & F.col(f"`{header[-1]}`").isNull()
+    return too_many | F.coalesce(F.col(_RAW).contains('"') & (opened | closed), F.lit(False))
+
+
+def _parts(
+    spark: SparkSession, path: str | list[str], encoding: str | None, sep: str, multi_line: bool
+) -> list[tuple[tuple[str, ...], DataFrame]]:
+    options = {
+        "header": True, "encoding": encoding or "ISO-8859-1", "sep": sep, "escape": '"', "enforceSchema": True,
+        "mode": "PERMISSIVE", "multiLine": multi_line, "columnNameOfCorruptRecord": _RAW, "columnPruning": False,
+    }
+    return [(h, _lines(spark, files, h, options)) for h, files in _headers(spark, path).items()]
+
+
 def read_text_table(
     spark: SparkSession,
     path: str | list[str],
     columns: list[str] | None = None,
-    encoding: str = "ISO-8859-1",
+    encoding: str | None = None,
     sep: str = ",",
+    multi_line: bool = False,
 ) -> DataFrame:
-    """CSV with a header line, every column as text, plus the row's file position.
-
-    Lines with too many fields are dropped, short ones are padded with nulls.
-    ISO-8859-1 accepts every byte; :func:`repair_frame` restores UTF-8 text read
-    this way.
+    """CSV with header lines, every column as text, plus the row's file position.
+
+    Each file is read by its own header; columns that only some files have are
+    null for the others. Doubled quotes stand for one. Without ``encoding`` each
+    value is decoded by itself, as UTF-8 or else windows-1252. Words for missing
+    values become null. Short lines are padded with nulls; lines that cannot be
+    read are left out here and returned by :func:`rejected_lines`. Quoted line
+    breaks need ``multi_line``; such files cannot be split, so it is off by default.
     """
-    options = {"header": True, "encoding": encoding, "sep": sep}
-    header = spark.read.options(**options).csv(path).columns
-    schema = ", ".join(f"`{c}` string" for c in [*header, _OVERFLOW])
-    rows = spark.read.options(**options, enforceSchema=True, mode="PERMISSIVE").csv(
-        path, schema=schema
-    )
-    wanted = [c for c in header if columns is None or c in columns]
-    return (
-        rows.select("*", file_position().alias(LINE))
-        .where(F.col(_OVERFLOW).isNull())
-        .select(*[F.col(f"`{c}`") for c in wanted], LINE)
-    )
+    tables = []
+    for header, rows in _parts(spark, path, encoding, sep, multi_line):
+        decoded = {c: F.col(f"`{c}`") for c in header if columns is None or c in columns}
+        if encoding is None:
+            decoded = {c: decode_bytes(v) for c, v in decoded.items()}
+        kept = rows.where(~_broken(header, sep, multi_line))
+        tables.append(kept.select(*[present(v).alias(c) for c, v in decoded.items()], LINE))
+    if not tables:
+        raise ValueError(f"No header line found: {path}")
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tables)
+
+
+def rejected_lines(
+    spark: SparkSession, path: str | list[str], sep: str = ",", multi_line: bool = False
+) -> DataFrame:
+    """(path, line) of the lines that :func:`read_text_table` leaves out."""
+    tables = [
+        rows.where(_broken(header, sep, multi_line)).select(
+            F.col(LINE)["path"].alias("path"),
+            decode_bytes(F.coalesce(_RAW, F.concat_ws(sep, *[F.col(f"`{c}`") for c in (*header, _OVERFLOW)]))).alias("line"),
+        )
+        for header, rows in _parts(spark, path, None, sep, multi_line)
+    ]
+    empty = spark.createDataFrame([], "path string, line string")
+    return reduce(DataFrame.unionByName, tables, empty)
 
 
 def raw_row_count(spark: SparkSession, path: str) -> DataFrame:
@@ -81,7 +161,26 @@ def coerce(value: Column, kind: str) -> Column:
         return F.coalesce(text.try_cast("bigint"), whole)
     if kind == "boolean":
         return text.try_cast("boolean")
-    return text.try_cast("timestamp_ntz")
+    return parse_date(text)
+
+
+def parse_date(text: Column) -> Column:
+    """ISO dates and times, a stated zone applied (UTC); else month/day/year, else day/month/year.
+
+    Slashes, dots and dashes separate; a time may follow.
+    """
+    zoned = text.rlike(r"[0-9]:[0-9]{2}.*(?:Z|[+-][0-9]{2}:?[0-9]{2})$")
+    iso = F.when(zoned, text.try_cast("timestamp").cast("timestamp_ntz")).otherwise(
+        text.try_cast("timestamp_ntz")
+    )
+    even = F.regexp_replace(text, r"^([0-9]{1,2})[-./]([0-9]{1,2})[-./]", "$1/$2/")
+    other = [
+        F.try_to_timestamp(even, F.lit(f"{order}/yyyy{time}")).cast("timestamp_ntz")
+        for order in ("M/d", "d/M")
+        for time in ("", " H:mm", " H:mm:ss")
+    ]
+    slashed = F.when(text.rlike(r"^[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{4}"), F.coalesce(*other))
+    return F.coalesce(iso, slashed)
 
 
 def coerce_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -96,11 +195,16 @@ def load_csv(
     path: str | list[str],
     types: dict[str, str],
     columns: list[str] | None = None,
-    encoding: str = "ISO-8859-1",
+    encoding: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Read, repair and convert one source."""
-    table = read_text_table(spark, path, columns, encoding)
-    return coerce_types(repair_frame(table), types)
+    """Read, repair and convert one source; a missing column of ``columns`` is null.
+
+    Only columns that stay text are looked through for damaged text.
+    """
+    table = read_text_table(spark, path, columns, encoding, multi_line=multi_line)
+    texts = [c for c in table.columns if types.get(c, "string") == "string" and c != LINE]
+    return coerce_types(repair_frame(table, among=texts), types)
 
 
 def capitalised(text: Column) -> Column:
@@ -171,7 +275,8 @@ def load_scores(
 def keep_latest_scores(df: DataFrame) -> DataFrame:
     """Latest version per score id; a missing date counts as latest."""
     order = [F.col("date_calcul").desc_nulls_first(), F.col("score_final").desc()]
-    return keep_one_keep_null(df, "score_id_ano", order)
+    rest = sorted(set(df.columns) - {"date_calcul", "score_final", "score_id_ano"})
+    return keep_one_keep_null(df, "score_id_ano", [*order, *[F.col(c).asc() for c in rest]])
 
 
 def merge_score_files(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 FrameMap = dict[str, DataFrame]
@@ -53,6 +56,12 @@ def _statuses(spark: SparkSession, folder: str) -> list:
     return [(s.getPath().getName(), s.getModificationTime(), fs, s.getPath()) for s in fs.listStatus(path)]
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete working data that a job made itself; nothing happens if it is absent."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _list_snapshots(spark: SparkSession, folder: str) -> list[str]:
     names = [entry[0] for entry in _statuses(spark, folder)]
     return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet"))
@@ -75,20 +84,27 @@ def snapshot_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def load_snapshots(
-    spark: SparkSession, folder: str, names: list[str] | None = None
-) -> FrameMap:
-    """All readable snapshots of a folder, or the named ones (an absent one is an error)."""
-    present = _list_snapshots(spark, folder)
-    if names is not None:
-        missing = sorted(set(names) - set(present))
-        if missing:
-            raise FileNotFoundError(f"Snapshot not found: {', '.join(missing)}")
-        return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
+def readable_snapshots(spark: SparkSession, folder: str) -> tuple[FrameMap, list[str]]:
+    """Snapshots whose Parquet schema can be read, and the names of the others."""
     frames: FrameMap = {}
-    for name in present:
-        try:
+    names = _list_snapshots(spark, folder)
+    for name in names:
+        with suppress(PySparkException, Py4JJavaError):
             frames[name] = spark.read.parquet(f"{folder}/{name}.parquet")
-        except Exception:  # noqa: BLE001 - an unreadable snapshot must not hide the others
-            continue
-    return frames
+    return frames, [n for n in names if n not in frames]
+
+
+def load_snapshots(
+    spark: SparkSession, folder: str, names: list[str] | None = None, strict: bool = False
+) -> FrameMap:
+    """The named snapshots, or the readable ones of a folder.
+
+    A named snapshot must be there and readable; with ``strict`` all must.
+    """
+    frames, unreadable = readable_snapshots(spark, folder)
+    wanted = [*frames, *unreadable] if names is None else names
+    failed = sorted(n for n in wanted if n not in frames)
+    if failed and (strict or names is not None):
+        kind = ValueError if set(failed) <= set(unreadable) else FileNotFoundError
+        raise kind(f"Snapshots absent or unreadable in {folder}: {', '.join(failed)}")
+    return {n: frames[n] for n in wanted if n in frames}

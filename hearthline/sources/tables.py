@@ -126,3 +126,10 @@ def beneficiaries(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderdate").alias("date_insert"),
         (F.col("o_orderstatus") == "O").alias("actif"),
     )
+
+
+def silent_households(spark: SparkSession, folder: str) -> DataFrame:
+    """Households that never had a score: suppliers, numbered above the customers."""
+    return table(spark, folder, "supplier").select(
+        (F.col("s_suppkey") + F.lit(1_000_000_000)).cast("long").alias("menage_ano")
+    )

@@ -151,3 +151,35 @@ def test_quality_metrics_with_empty_inputs(spark):
     events = spark.createDataFrame([], "menage_ano long, programme string")
     rows = qc_metrics(raw, raw, homes, homes, events).collect()
     assert len(rows) == 7 and all(r["before"] == 0 and r["pct_dropped"] == 0.0 for r in rows)
+
+
+def test_quotes_and_broken_lines(spark, tmp_path):
+    path = write(tmp_path / "b.csv", 'menage_ano,partner_id,motif,date_insert,actif\n'
+                 '1,a,"dit ""oui"", puis non",2025-01-01,True\n2,b,"""entre"" guillemets",2025-01-02,False\n'
+                 '3,c,"une ligne\net la suite",2025-01-03,True\n4,d,5" de long,2025-01-04,True\n5,e,x,2025-01-05,True,trop\n')
+    rows = csv.load_beneficiaries(spark, path).orderBy("menage_ano").collect()
+    assert [(r["menage_ano"], r["motif"]) for r in rows] == [
+        (1, 'dit "oui", puis non'), (2, '"entre" guillemets'), (4, '5" de long')]
+    assert csv.rejected_lines(spark, path).count() == 3
+    whole = csv.load_csv(spark, path, csv.BENEFICIARY_TYPES, multi_line=True).orderBy("menage_ano").collect()
+    assert [r["motif"] for r in whole][2] == "une ligne\net la suite" and len(whole) == 4
+
+
+def test_files_with_their_own_headers(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    write(folder / "a.csv", "menage_ano,score_id_ano,score_calcule\n1,10,5.0\n")
+    write(folder / "b.csv", "score_id_ano,menage_ano,type_demande\n20,2,radiation\n")
+    rows = csv.load_csv(spark, str(folder), csv.SCORE_TYPES).orderBy("menage_ano").collect()
+    assert [(r["menage_ano"], r["score_id_ano"], r["score_calcule"], r["type_demande"]) for r in rows] == [
+        (1, 10, 5.0, None), (2, 20, None, "radiation")]
+
+
+def test_characters_missing_words_and_dates(spark, tmp_path):
+    utf8 = "menage_ano,partner_id,motif,date_insert,actif\n1,a,فاس cœur,01/02/2025,True\n2,N/A,NULL,13/02/2025 10:30,None\n".encode()
+    latin = "3,c,déjà œuvre,2025-01-01T10:00:00+02:00,nan\n4,d,Nantes,2025-01-01 10:00:00,True\n".encode("cp1252")
+    (tmp_path / "u.csv").write_bytes(utf8 + latin)
+    rows = csv.load_beneficiaries(spark, str(tmp_path / "u.csv")).orderBy("menage_ano").collect()
+    assert [(r["partner_id"], r["motif"], str(r["date_insert"]), r["actif"]) for r in rows] == [
+        ("A", "فاس cœur", "2025-01-02 00:00:00", True), (None, None, "2025-02-13 10:30:00", None),
+        ("C", "déjà œuvre", "2025-01-01 08:00:00", None), ("D", "Nantes", "2025-01-01 10:00:00", True)]
