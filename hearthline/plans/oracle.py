@@ -6,6 +6,8 @@ not with the moves used by the Spark operators.
 
 from __future__ import annotations
 
+from hearthline.sources.tables import PRIORITY_TYPES
+
 
 def r(expr: str, digits: int) -> str:
     """Rounded value without negative zero."""
@@ -347,14 +349,6 @@ _DELTA = (
     "menage_ano, date_calcul, score_id_ano, programme, score_avant, score_apres, date_avant, "
     '"delta_ISE", abs_delta, days_between, side_avant, side_apres, status_change'
 )
-_TYPES = (
-    "inscription",
-    "mise à jour du dossier",
-    "radiation",
-    "révision de score",
-    "Préinscription",
-    "réclamation",
-)
 _SCORE_COLS = "menage_ano, score_id_ano, type_demande, score_corrige, score_calcule, date_calcul, score_final, was_corrected"
 
 
@@ -432,7 +426,7 @@ def _churn_parts(keys: str, where: str) -> str:
 
 def _pivot(agg: str) -> str:
     cols = []
-    for t in _TYPES:
+    for t in PRIORITY_TYPES.values():  # the types present in the given tables
         if agg == "last":
             cell = f"ARG_MAX(score_final, (date_calcul, programme, score_id_ano)) FILTER (WHERE type_demande = '{t}')"
         else:

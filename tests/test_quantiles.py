@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from hearthline.operators.quantiles import value_profile
+from hearthline.operators.quantiles import split_cells, value_profile
 
 PROBS = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p99": 0.99}
 
@@ -61,3 +61,20 @@ def test_extras_ride_along(spark):
         extras={"falls": F.when(F.col("neg"), F.col("c")).otherwise(F.lit(0))},
     ).collect()[0]
     assert (row["n"], row["falls"]) == (4, 2)
+
+
+def test_distinct_values_within_one_cell(spark):
+    """All values of a group lie in one cell; parts of it are ranked alone."""
+    rng = random.Random(3)
+    data = [(g, 5 + rng.random() / 101) for g in ("a", "b", None) for _ in range(4000)]
+    frame = spark.createDataFrame(data, "g string, x double")
+    found = {r["g"]: r for r in value_profile(frame, ["g"], F.col("x"), PROBS, 0.01).collect()}
+    for g in ("a", "b", None):
+        v = [x for k, x in data if k == g]
+        assert (found[g]["low"], found[g]["high"]) == (min(v), max(v))
+        for name, p in PROBS.items():
+            assert found[g][name] == pytest.approx(quantile(v, p), abs=1e-12)
+    counts = frame.groupBy("g", F.lit(500).alias("cell"), F.col("x").alias("v")).agg(F.count("*").alias("c"))
+    wanted = counts.withColumns({"before": F.lit(0), "i": F.lit(0), "low": F.lit(2000), "high": F.lit(2000), "weight": F.lit(0.0)})
+    per_part = split_cells(wanted, ["g"], 0.01).groupBy("g").count().collect()
+    assert len(per_part) == 3 and all(r["count"] < 40 for r in per_part)
