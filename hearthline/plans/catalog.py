@@ -212,6 +212,41 @@ def load_beneficiaries(r: Registry) -> DataFrame:
     )
 
 
+def load_csv_quoted(r: Registry) -> DataFrame:
+    """Reasons with quotation marks and commas in them."""
+    said = F.concat(F.lit('dit "'), "motif", F.lit('", puis non'))
+    path = r.stored_csv(r.beneficiaries.withColumn("motif", said), "quoted")
+    return csv.load_beneficiaries(r.spark, path).select(*BENEFICIARY_TYPES)
+
+
+def load_csv_mixed_headers(r: Registry) -> DataFrame:
+    """Two score files, one with its columns in another order and without the correction."""
+    rows = tables.score_rows(r.spark, r.folder)
+    odd = F.col("score_id_ano") % 2 == 1
+    turned = [c for c in reversed(SCORE_TYPES) if c != "score_corrige"]
+    paths = [
+        r.stored_csv(rows.where(~odd), "scores-plain"),
+        r.stored_csv(rows.where(odd).select(*turned), "scores-turned"),
+    ]
+    return csv.load_csv(r.spark, paths, SCORE_TYPES).select(*SCORE_TYPES)
+
+
+def load_csv_utf8(r: Registry) -> DataFrame:
+    """Whole texts in UTF-8, without a mark that would tell the encoding."""
+    flat = F.regexp_replace("text", "[\\r\\n]+", " ")
+    path = r.stored_csv(r.table("documents").select("doc_id", flat.alias("text")), "utf8")
+    return csv.load_csv(r.spark, path, {"doc_id": "long"}).select("doc_id", F.md5("text").alias("digest"))
+
+
+def load_csv_missing_words(r: Registry) -> DataFrame:
+    """Reasons of which some are words for a missing value."""
+    words = F.array(*[F.lit(w) for w in ("NULL", "N/A", "NaN", "None", "nan")])
+    missing = F.element_at(words, (F.col("menage_ano") % 5 + 1).cast("int"))
+    motif = F.when(F.col("menage_ano") % 3 == 0, missing).otherwise(F.col("motif"))
+    path = r.stored_csv(r.beneficiaries.withColumn("motif", motif), "missing")
+    return csv.load_beneficiaries(r.spark, path).select(*BENEFICIARY_TYPES)
+
+
 def frame_map_load(r: Registry) -> DataFrame:
     frames = snapshots.load_frames(
         r.spark, {"orders": f"{r.folder}/orders.parquet", "menage": r.households}
@@ -381,6 +416,10 @@ BUILDERS: dict[str, Callable[[Registry], DataFrame]] = {
     # sources, cleaning, sinks
     "load_csv_coerced": load_csv_coerced,
     "coerce_types": coerce_types,
+    "load_csv_quoted": load_csv_quoted,
+    "load_csv_mixed_headers": load_csv_mixed_headers,
+    "load_csv_utf8": load_csv_utf8,
+    "load_csv_missing_words": load_csv_missing_words,
     "load_households": load_households,
     "load_scores": load_scores,
     "score_postprocess": lambda r: r.scores,

@@ -486,6 +486,19 @@ _QUERIES: dict[str, tuple[str, str]] = {
         CASE o_orderkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS b,
         CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS d FROM orders""",
     ),
+    "load_csv_quoted": ("benef", """SELECT * REPLACE ('dit "' || motif || '", puis non' AS motif) FROM benef"""),
+    "load_csv_mixed_headers": (
+        "score_rows",
+        "SELECT * REPLACE (CASE WHEN score_id_ano % 2 = 0 THEN score_corrige END AS score_corrige) FROM score_rows",
+    ),
+    "load_csv_utf8": (
+        "",
+        r"SELECT doc_id, md5(regexp_replace(text, '[\r\n]+', ' ', 'g')) AS digest FROM documents",
+    ),
+    "load_csv_missing_words": (
+        "benef",
+        "SELECT * REPLACE (CASE WHEN menage_ano % 3 <> 0 THEN motif END AS motif) FROM benef",
+    ),
     "load_households": (
         "menage",
         """SELECT menage_ano, milieu, region_id, region, province_id, province, commune_id, commune, type_menage,

@@ -80,7 +80,8 @@ def _broken(header: tuple[str, ...], sep: str, multi_line: bool) -> Column:
     if multi_line:
         return too_many
     mark = re.escape(sep)
-    rest = F.regexp_replace(_RAW, rf'(^|{mark})"(?:[^"]|"")*"(?={mark}|$)', "$1")
+    single = F.replace(_RAW, F.lit('""'), F.lit(""))
+    rest = F.regexp_replace(single, rf'(^|{mark})"[^"]*+"(?={mark}|$)', "$1")
     opened = rest.rlike(rf'(?:^|{mark})"')
     closed = rest.rlike(rf'"(?:{mark}|$)') & F.col(f"`{header[-1]}`").isNull()
     return too_many | F.coalesce(F.col(_RAW).contains('"') & (opened | closed), F.lit(False))
