@@ -42,7 +42,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     consumers need is computed once.
     """
     path = working_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

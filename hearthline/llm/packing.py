@@ -11,9 +11,13 @@ two, which need no padding.
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,7 @@ SHARD = 512 * WINDOW
 #: Pieces of one shard, should they be very short.
 SHARD_PIECES = 8192
 #: Distinct words whose ids a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 K1, B = 1.2, 0.75
 VOCABULARY = 1 << 16
 
@@ -55,23 +59,32 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        # Spark runs as many tasks as there are cores; threads below them only get in the way.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        # A Python worker runs many tasks; what it has learned outlives each of them.
+        kept = sys.modules.setdefault("hearthline_worker", ModuleType("hearthline_worker")).__dict__
+        if path not in kept:
+            kept[path] = (Tokenizer.from_file(path), {"": b""})
+        self.tokenizer, self.known = kept[path]
 
     def __call__(self, text: str) -> np.ndarray:
         """Ids of the text, ``END_ID`` appended."""
+        if "<|" not in text:
+            # The tokenizer lower-cases anyway, except for its special tokens.
+            text = text.encode("utf-8", "replace").lower().decode()
         words = _GAP.split(text)
-        new = list({w for w in words if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {"": b""}
-            new = list(set(words) - {""})
+        new = [w for w in set(words) if w not in self.known]
+        known = self.known
+        if len(known) + len(new) > REMEMBERED:
+            # What came first stays: frequent words are among it.
+            known = {w: known[w] for w in set(words) - set(new)}
         for start in range(0, len(new), 4096):
             some = new[start : start + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-        joined = b"".join(map(self.known.__getitem__, words))
+            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[word] = array("I", found.ids).tobytes()
+        joined = b"".join(map(known.__getitem__, words))
         return np.append(np.frombuffer(joined, "<u4"), np.uint32(END_ID))
 
 
