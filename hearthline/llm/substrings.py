@@ -86,11 +86,11 @@ def runs(parts: list[str]) -> list[tuple[int, int, int]]:
 def spans(docs: DataFrame) -> DataFrame:
     """(run, doc_id, text_id, first, last) of every run of every text.
 
-    ``text_id`` tells texts of one id apart; rows with the same id and text are
-    one document.
+    ``text_id`` (32 bits) tells texts of one id apart; rows with the same id and
+    text are one document.
     """
     schema = pa.schema(
-        [("run", pa.int64()), ("doc_id", pa.int64()), ("text_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]
+        [("run", pa.int64()), ("doc_id", pa.int64()), ("text_id", pa.int32()), ("first", pa.int32()), ("last", pa.int32())]
     )
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +115,8 @@ def spans(docs: DataFrame) -> DataFrame:
                     [pa.array(c, f.type) for c, f in zip((hashes, docs_, ids, lows, highs), schema)], schema=schema
                 )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInArrow(
-        rows, "run long, doc_id long, text_id long, first int, last int"
+    return docs.select("doc_id", F.hash("text").alias("text_id"), "text").mapInArrow(
+        rows, "run long, doc_id long, text_id int, first int, last int"
     )
 
 
@@ -128,8 +128,8 @@ def _repeated(found: DataFrame) -> DataFrame:
     )
     again = (
         found.groupBy("run")
-        .agg(F.min(place).alias("origin"), F.max(place).alias("end"))
-        .filter("origin <> end")
+        .agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("times"))
+        .filter("times > 1")
         .select(F.col("run").alias("again"), "origin")
     )
     later = found.join(again, F.col("run") == F.col("again")).filter(place != F.col("origin"))
@@ -164,7 +164,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text")
     joined = rows.join(
         named,
-        F.col("doc_id").eqNullSafe(F.col("cut_doc")) & (F.xxhash64("text") == F.col("cut_text")),
+        F.col("doc_id").eqNullSafe(F.col("cut_doc")) & (F.hash("text") == F.col("cut_text")),
         "left",
     ).select("doc_id", "text", "cuts")
     schema = pa.schema(
