@@ -1,17 +1,16 @@
-"""Substring de-duplication by sliding sentence spans.
-
-A text is a row of sentences. From every sentence on, and back from every
-sentence, the shortest run of consecutive sentences with at least
-``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words is hashed. A run depends only
-on its own sentences, so a passage that occurs in two documents gives the same
-runs in both, and runs in both directions cover all its whole sentences. Runs
-that occur again are removed wherever they are not the first occurrence.
-
-A sentence is what stands between two marks (. ! ? , ; :) before white space,
-line ends, or places where a capital follows a lower-case word without a mark,
-so that a passage pasted into a sentence soon begins one of its own. A stretch
-of ``LONG`` words without any of these is cut after the words that a hash picks,
-wherever they stand, so that copies of unmarked text are cut alike.
+"""Substring de-duplication by runs of words, wherever they begin and end.
+
+A run is ``RUN`` consecutive words in lower case. A word goes where it lies in a
+run that occurred before, if such runs together take at least ``MIN_WORDS`` words
+in a row. Sentences, line ends and marks play no part, so a passage is found
+wherever it was pasted.
+
+Not every run is compared. First, of every ``WINDOW`` runs in a row, the one with
+the least hash is taken: ``MIN_WORDS`` equal words hold a whole window, of which
+the same run is taken in every copy, and runs taken one after the other overlap
+or touch. So copies differ at most in fewer than ``WINDOW`` words before the first
+such run and behind the last. There, where the neighbours of a repeated run are
+not the same in all its copies, every run is compared in a second step.
 """
 
 from __future__ import annotations
@@ -22,151 +21,242 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm.common import batches, prepare, stored, texts
 
-MIN_SENTENCES, MIN_WORDS = 2, 30
-#: Words of a stretch that is cut further, and one in how many words ends a part of it.
-LONG, ONE_IN = 40, 8
+#: Words of a run (a power of two), and words that must be repeated in a row.
+RUN, MIN_WORDS = 16, 30
+#: Runs of which one is taken; ``MIN_WORDS`` words hold a whole window.
+WINDOW = MIN_WORDS - RUN + 1
 
-# Fixed by the definition of a sentence above: where one ends and the next begins.
-_WORD = re.compile(r"\S+\s*")
+# Fixed by the definition of a word: characters of scripts without spaces stand alone.
+_ALONE = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+_SCRIPT = re.compile(f"[{_ALONE}]")
+_WORD = re.compile(rf"[{_ALONE}]|[^\s{_ALONE}]+")
+# A sentence is counted between marks (. ! ? , ; :) before white space, line ends,
+# and places where a capital follows a lower-case word without a mark.
 _BREAK = re.compile(r"(?<=[.!?,;:])\s+|\s*\n\s*|(?<=[a-zß-öø-ÿ]) (?=[A-ZÀ-ÖØ-Þ])")
+# Odd factors for the hash of a run, one per doubling of its length.
+_ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
 
 
-def sentences(text: str) -> tuple[list[str], list[str]]:
-    """Sentences of a text and the gap behind each (the last one's is empty)."""
-    parts, gaps, at = [], [], 0
-    for found in _BREAK.finditer(text):
-        _add(text[at : found.start()], found.group(), parts, gaps)
-        at = found.end()
-    _add(text[at:], "", parts, gaps)
-    return parts, gaps
-
-
-def _add(part: str, gap: str, parts: list[str], gaps: list[str]) -> None:
-    if len(part) > 2 * LONG and part.count(" ") >= LONG:
-        at = 0
-        for found in _WORD.finditer(part):
-            word = found.group()
-            bare = word.rstrip()
-            if len(bare) < len(word) and xxhash.xxh3_64_intdigest(bare.lower()) % ONE_IN == 0:
-                parts.append(part[at : found.start() + len(bare)])
-                gaps.append(word[len(bare) :])
-                at = found.end()
-        part = part[at:]
-    parts.append(part)
-    gaps.append(gap)
-
-
-def runs(parts: list[str]) -> list[tuple[int, int, int]]:
-    """(hash, first, last) of the shortest runs from and back from every sentence."""
-    n = len(parts)
-    if n < MIN_SENTENCES:
-        return []
-    # Words of a sentence in lower case; a run is the row of its sentences' hashes.
-    split = [p.lower().split() for p in parts]
-    sizes = np.concatenate([[0], np.cumsum([len(s) for s in split])])
-    marks = np.array([xxhash.xxh3_64_intdigest(" ".join(s)) for s in split], np.uint64)
-    starts = np.arange(n)
-    ends = np.maximum(np.searchsorted(sizes, sizes[:-1] + MIN_WORDS) - 1, starts + MIN_SENTENCES - 1)
-    firsts = np.minimum(
-        np.searchsorted(sizes, sizes[1:] - MIN_WORDS, side="right") - 1, starts - MIN_SENTENCES + 1
-    )
-    spans = {(int(a), int(b)) for a, b in zip(starts, ends) if b < n}
-    spans |= {(int(a), int(b)) for a, b in zip(firsts, starts) if a >= 0}
-    raw = marks.tobytes()
-    return [
-        (xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b + 8]) - (1 << 63), a, b) for a, b in sorted(spans)
-    ]
+def words(text: str) -> list[str]:
+    """The words of a text, as they stand."""
+    if text.isascii() or not _SCRIPT.search(text):
+        return text.split()
+    return _WORD.findall(text)
+
+
+def run_hashes(text: str) -> np.ndarray:
+    """Hash of the run that begins at each word; empty for texts that cannot lose any."""
+    split = words(text)
+    if len(split) < MIN_WORDS:
+        return np.zeros(0, np.uint64)
+    got = np.array([xxhash.xxh3_64_intdigest(w.lower()) for w in split], np.uint64)
+    for turn in range(RUN.bit_length() - 1):
+        half = 1 << turn
+        got = got[:-half] * np.uint64(_ODD[turn % 4]) + (got[half:] ^ (got[half:] >> np.uint64(29)))
+        got ^= got >> np.uint64(32)
+    return got
+
+
+def taken(hashes: np.ndarray) -> np.ndarray:
+    """Places of the runs that are the least of a window (the first of equal ones)."""
+    if len(hashes) < WINDOW:
+        return np.zeros(0, np.int64)
+    views = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
+    return np.unique(views.argmin(axis=1) + np.arange(len(views)))
+
+
+def _emit(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, text_id, arrays of equal length with their nulls)."""
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        sizes = [len(r[2][0][0]) for r in held]
+        ids = [np.repeat([r[0] or 0 for r in held], sizes), np.repeat([r[0] is None for r in held], sizes)]
+        keys = [np.repeat([r[1] for r in held], sizes), None]
+        columns = [tuple(np.concatenate(c) for c in zip(*pairs)) for pairs in zip(*[r[2] for r in held])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(v, f.type, mask=m) for (v, m), f in zip([ids, keys, *columns], schema, strict=True)], schema=schema
+        )
+
+    for row in rows:
+        held.append(row)
+        size += len(row[2][0][0])
+        if size > 50_000:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """(run, doc_id, text_id, first, last) of every run of every text.
+def runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_id, run, at, before, behind) of the runs taken first, with their neighbours.
 
     ``text_id`` (32 bits) tells texts of one id apart; rows with the same id and
-    text are one document.
+    text are one document. Neighbours are 32 bits of their hash, null at an end.
     """
     schema = pa.schema(
-        [("run", pa.int64()), ("doc_id", pa.int64()), ("text_id", pa.int32()), ("first", pa.int32()), ("last", pa.int32())]
-    )
+        [("doc_id", pa.int64()), ("text_id", pa.int32()), ("run", pa.int64()), ("at", pa.int32()),
+         ("before", pa.int32()), ("behind", pa.int32())]
+    )
 
-    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for part in parts:
-            hashes, docs_, ids, lows, highs = [], [], [], [], []
             for doc, key, text in zip(part.column(0), part.column(1), texts(part.column(2)), strict=True):
-                found = runs(sentences(text)[0])
-                if found:
-                    run, low, high = zip(*found)
-                    hashes.extend(run)
-                    lows.extend(low)
-                    highs.extend(high)
-                    docs_.extend([doc.as_py()] * len(run))
-                    ids.extend([key.as_py()] * len(run))
-                if len(hashes) > 50_000:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, f.type) for c, f in zip((hashes, docs_, ids, lows, highs), schema)], schema=schema
-                    )
-                    hashes, docs_, ids, lows, highs = [], [], [], [], []
-            if hashes:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip((hashes, docs_, ids, lows, highs), schema)], schema=schema
-                )
+                hashes = run_hashes(text)
+                at = taken(hashes)
+                if not len(at):
+                    continue
+                run = hashes[at].view(np.int64)
+                short = run.astype(np.int32)
+                none = np.zeros(len(at), bool)
+                first, last = none.copy(), none.copy()
+                first[0] = last[-1] = True
+                yield doc.as_py(), key.as_py(), [
+                    (run, none), (at.astype(np.int32), none), (np.roll(short, 1), first), (np.roll(short, -1), last)
+                ]
+
+    def batched(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _emit(rows(parts), schema)
 
     return docs.select("doc_id", F.hash("text").alias("text_id"), "text").mapInArrow(
-        rows, "run long, doc_id long, text_id int, first int, last int"
+        batched, "doc_id long, text_id int, run long, at int, before int, behind int"
+    )
+
+
+def _place() -> Column:
+    """Ids first, null last; within an id by text, within a text by place."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "at")
+
+
+def _with(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Documents with what was found for their id and text."""
+    named = found.withColumnsRenamed({"doc_id": "found_doc", "text_id": "found_text"})
+    return docs.select("doc_id", "text").join(
+        named,
+        F.col("doc_id").eqNullSafe(F.col("found_doc")) & (F.hash("text") == F.col("found_text")),
+        how,
     )
 
 
 def _repeated(found: DataFrame) -> DataFrame:
-    """Sentences to remove: (doc_id, text_id, cuts), cuts an array of (first, last)."""
-    # Ids first, null last; within an id by text, within a text by place.
-    place = F.struct(
-        F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", F.col("first").alias("low")
+    """(doc_id, text_id, at, later, left, right) of the repeated runs among those taken first.
+
+    ``left`` and ``right``: the neighbour there is not the same in all copies.
+    """
+
+    def varies(side: str) -> Column:
+        return (F.count(side) < F.count(F.lit(1))) | (F.min(side) != F.max(side))
+
+    again = (
+        found.groupBy("run")
+        .agg(
+            F.min(_place()).alias("origin"), F.count(F.lit(1)).alias("times"),
+            varies("before").alias("left"), varies("behind").alias("right"),
+        )
+        .filter("times > 1")
+        .select(F.col("run").alias("again"), "origin", "left", "right")
+    )
+    later = _place() != F.col("origin")
+    return (
+        found.join(again, F.col("run") == F.col("again"))
+        .select("doc_id", "text_id", "at", later.alias("later"), "left", "right")
+        .filter("later or left or right")
+    )
+
+
+def _border_runs(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, text_id, run, at) of every run near a repeated one whose neighbours differ."""
+    # A text has no more hits than words.
+    edges = (
+        hits.filter("left or right")
+        .groupBy("doc_id", "text_id")
+        .agg(F.collect_set(F.struct("at", "left", "right")).alias("edges"))
     )
+    schema = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int32()), ("run", pa.int64()), ("at", pa.int32())])
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for part in parts:
+            for doc, key, text, edges in zip(*part.columns, strict=True):
+                doc, key, text = doc.as_py(), key.as_py(), text.as_py()
+                hashes = run_hashes(text)
+                near = np.zeros(len(hashes), bool)
+                for edge in edges.as_py():
+                    at = edge["at"]
+                    if edge["left"]:
+                        near[max(0, at - WINDOW + 1) : at] = True
+                    if edge["right"]:
+                        near[at + 1 : at + WINDOW] = True
+                places = np.flatnonzero(near)
+                if len(places):
+                    none = np.zeros(len(places), bool)
+                    yield doc, key, [(hashes[places].view(np.int64), none), (places.astype(np.int32), none)]
+
+    def batched(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _emit(rows(parts), schema)
+
+    return (
+        _with(docs, edges, "inner")
+        .select("doc_id", F.col("found_text").alias("text_id"), "text", "edges")
+        .mapInArrow(batched, "doc_id long, text_id int, run long, at int")
+    )
+
+
+def _later(found: DataFrame) -> DataFrame:
+    """(doc_id, text_id, at) of runs that occurred before."""
     again = (
         found.groupBy("run")
-        .agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("times"))
+        .agg(F.min(_place()).alias("origin"), F.count(F.lit(1)).alias("times"))
         .filter("times > 1")
         .select(F.col("run").alias("again"), "origin")
     )
-    later = found.join(again, F.col("run") == F.col("again")).filter(place != F.col("origin"))
-    # Runs of one text that overlap are one cut; a text has no more cuts than sentences.
-    return later.groupBy("doc_id", "text_id").agg(
-        F.array_sort(F.collect_set(F.struct("first", "last"))).alias("cuts")
-    )
+    joined = found.join(again, F.col("run") == F.col("again"))
+    return joined.filter(_place() != F.col("origin")).select("doc_id", "text_id", "at")
 
 
-def _without(text: str, cuts: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """Text without the cut sentences, number of sentences, number removed."""
-    parts, gaps = sentences(text)
-    keep = np.ones(len(parts), bool)
-    for low, high in cuts:
-        keep[low : high + 1] = False
-    left = "".join(p + g for p, g, k in zip(parts, gaps, keep) if k).rstrip()
-    return left, len(parts), int((~keep).sum())
+def _without(text: str, cuts: list[int]) -> tuple[str, int, int]:
+    """Text without the repeated words, number of sentences, number of those that lost words."""
+    breaks = [m.start() for m in _BREAK.finditer(text)]
+    spans = [m.span() for m in _WORD.finditer(text)] if cuts else []
+    gone = np.zeros(len(spans) + 2, bool)
+    for at in cuts:
+        gone[at + 1 : at + RUN + 1] = True
+    # The words first to last - 1 of every row of repeated ones.
+    steps = np.flatnonzero(np.diff(gone))
+    rows = [(a, b) for a, b in zip(steps[::2].tolist(), steps[1::2].tolist()) if b - a >= MIN_WORDS]
+    if not rows:
+        return text, len(breaks) + 1, 0
+    kept, at, lost = [], 0, set()
+    for first, last in rows:
+        kept.append(text[at : spans[first][0]])
+        at = spans[last][0] if last < len(spans) else len(text)
+        low, high = np.searchsorted(breaks, [spans[first][0], spans[last - 1][1] - 1], side="right")
+        lost.update(range(low, high + 1))
+    return ("".join(kept) + text[at:]).rstrip(), len(breaks) + 1, len(lost)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` with repeated passages cut: doc_id, text, n_sentences, n_removed.
 
     The first occurrence is the one with the smallest id (null ids last), then
-    the first in the text; it stays whole. Rows that repeat id and text are one
-    document and come out alike. Null texts stay null, empty ones empty, with no
-    sentences. An exact copy of a long enough document loses all its text. Other
-    columns are not returned.
+    the first in the text; it stays. Rows that repeat id and text are one
+    document and come out alike. ``n_removed`` counts the sentences that lost
+    words. Null texts stay null, empty ones empty, with no sentences. An exact
+    copy of a document of ``MIN_WORDS`` words loses all its text. Words of
+    scripts without spaces are their characters. Other columns are not returned.
     """
     prepare(docs.sparkSession)
-    cuts = stored(_repeated(spans(docs)), "span-cuts")
-    named = cuts.select(F.col("doc_id").alias("cut_doc"), F.col("text_id").alias("cut_text"), "cuts")
-    rows = docs.select("doc_id", "text")
-    joined = rows.join(
-        named,
-        F.col("doc_id").eqNullSafe(F.col("cut_doc")) & (F.hash("text") == F.col("cut_text")),
-        "left",
-    ).select("doc_id", "text", "cuts")
+    hits = stored(_repeated(runs(docs)), "run-hits")
+    border = stored(_border_runs(docs, hits), "border-runs")
+    places = hits.filter("later").select("doc_id", "text_id", "at").unionByName(_later(border))
+    cuts = stored(
+        places.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set("at")).alias("cuts")), "run-cuts"
+    )
+    joined = _with(docs, cuts, "left").select("doc_id", "text", "cuts")
     schema = pa.schema(
         [("doc_id", pa.int64()), ("text", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64())]
     )
@@ -178,8 +268,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 if not text:
                     yield doc, text, 0, 0
                     continue
-                cut = [(c["first"], c["last"]) for c in found.as_py() or ()]
-                yield (doc, *_without(text, cut))
+                yield (doc, *_without(text, found.as_py() or []))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(result(parts), schema)

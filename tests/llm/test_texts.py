@@ -57,6 +57,59 @@ def test_repeated_passages_go_but_the_first(spark):
     assert substrings.deduplicate(frame(spark, [])).collect() == []
 
 
+def test_passages_spliced_at_any_word_go_whole(spark):
+    """51 words without marks, between and within sentences, with and without spaces."""
+    rng = random.Random(8)
+    own = lambda n: [rng.choice(WORDS) + rng.choice(["", "", "", ",", "."]) for _ in range(n)]
+    signs = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(60))
+    rows, expected = [], {}
+    for k in range(40):
+        passage = own(51)
+        if k % 2:
+            passage = [w.strip(",.") for w in passage]
+        for c in range(3):
+            before, behind = own(rng.randrange(5, 60)), own(rng.randrange(5, 60))
+            before.append(f"b{k}x{c}")
+            behind[0] = f"e{k}x{c}"
+            rows.append((10 * k + c, " ".join(before + passage + behind)))
+            expected[10 * k + c] = rows[-1][1] if c == 0 else " ".join(before + behind)
+    for c in range(2):
+        edge = "甲乙丙丁"[2 * c : 2 * c + 2]
+        rows.append((900 + c, edge[0] + signs + edge[1]))
+    expected |= {900: rows[-2][1], 901: "丙丁"}
+    found = substrings.deduplicate(frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["text"] for r in found} == expected
+
+
+def test_every_repeated_row_of_words_goes(spark):
+    """Near copies: comparing every row of words with every other finds nothing more."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(12):
+        words = [rng.choice(WORDS) for _ in range(rng.choice([29, 30, 31, 80, 200]))]
+        for _ in range(4):
+            changed = list(words)
+            for _ in range(len(words) // 45):
+                changed[rng.randrange(len(words))] = rng.choice(WORDS)
+            rows.append((len(rows), " ".join(changed)))
+    seen, expected = set(), {}
+    for doc, text in rows:
+        words = text.split()
+        gone = [False] * len(words)
+        for at in range(len(words) - substrings.MIN_WORDS + 1):
+            row = tuple(words[at : at + substrings.MIN_WORDS])
+            if row in seen:
+                gone[at : at + substrings.MIN_WORDS] = [True] * substrings.MIN_WORDS
+            seen.add(row)
+        expected[doc] = {at for at, g in enumerate(gone) if g}
+    for r in substrings.deduplicate(frame(spark, rows)).collect():
+        left = r["text"].split()
+        kept = [w for at, w in enumerate(rows[r["doc_id"]][1].split()) if at not in expected[r["doc_id"]]]
+        rest = iter(kept)
+        # Every row of MIN_WORDS that occurred before is gone; shorter ones that touch it may go too.
+        assert all(w in rest for w in left), r["doc_id"]
+
+
 def linked(rows, k, percent):
     """Components by comparing all pairs; per distinct (id, text)."""
 
