@@ -53,12 +53,18 @@ def qc_metrics(
     households: DataFrame,
     master: DataFrame,
     max_score: float = MAX_SCORE,
+    rejected: DataFrame | None = None,
+    records: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Rows before and after each cleaning step.
 
     ``raw_scores`` are the score rows as read, with ``score_final`` computed but
-    nothing removed; scores above the limit are counted there.
+    nothing removed; scores above the limit are counted there. ``rejected`` has
+    the ``source`` of every record that could not be read: those of scores and
+    households are part of the raw rows, and each source in ``records`` (one-row
+    frames with its number of physical records) gets a line of its own.
     """
+    records = records or {}
     unclassified = F.when(F.col("programme") == UNCLASSIFIED, F.col("menage_ano"))
     raw = raw_scores.agg(
         F.count("*").alias("n"), F.count_if(F.col("score_final") > max_score).alias("over")
@@ -76,12 +82,15 @@ def qc_metrics(
             "no_score": row_count(households_without_score(households, master)),
             "seen": seen.select("n"),
             "unclassified": seen.select("none"),
+            **{f"records_{name}": df for name, df in records.items()},
+            **{f"rejected_{name}": row_count(rejected.where(F.col("source") == name)) for name in records},
         }
     )
     c = F.col
     zero = F.lit(0).cast("long")
     lost_scores = F.greatest(c("raw_scores") - c("scores"), zero)
     lost_households = F.greatest(c("raw_households") - c("households"), zero)
+    unread = {name: c(f"rejected_{name}") if name in records else zero for name in ("scores", "menage")}
 
     def line(metric: str, before: Column, after: Column, dropped: Column) -> Column:
         label, note = QC_TEXTS[metric]
@@ -98,14 +107,17 @@ def qc_metrics(
     raw_s, raw_h, h = c("raw_scores"), c("raw_households"), c("households")
     over, lonely, loose = c("over_limit"), c("no_score"), c("unclassified")
     lines = [
-        line("scores_raw_rows", raw_s, c("scores"), lost_scores),
+        line("scores_raw_rows", raw_s + unread["scores"], c("scores"), lost_scores + unread["scores"]),
         line("scores_duplicate_rows", raw_s, raw_s - lost_scores, lost_scores),
         line("scores_aberrant", raw_s, raw_s - over, over),
-        line("menage_raw_rows", raw_h, h, lost_households),
+        line("menage_raw_rows", raw_h + unread["menage"], h, lost_households + unread["menage"]),
         line("menage_duplicate_ids", raw_h, h, lost_households),
         line("menage_no_score", h, h - lonely, lonely),
         line("menage_non_classifie", c("seen"), c("seen") - loose, loose),
     ]
+    for name in records:
+        before, lost = c(f"records_{name}"), c(f"rejected_{name}")
+        lines.append(line(f"{name}_rejected_rows", before, before - lost, lost))
     return counts.select(F.inline(F.array(*lines)))
 
 

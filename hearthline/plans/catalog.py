@@ -98,14 +98,14 @@ class Registry:
     def weekly(self) -> DataFrame:
         return stats.score_ts_weekly(self.score_series)
 
-    def stored_csv(self, df: DataFrame, label: str, order: str | None = None) -> str:
+    def stored_csv(self, df: DataFrame, label: str, order: str | None = None, **options: object) -> str:
         """Write a frame as CSV files whose name order is the row order."""
         path = working_path(self.spark, label)
         if order is not None:
             df = df.repartitionByRange(order).sortWithinPartitions(order).drop(order)
         texts = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
         texts.write.options(
-            header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"'
+            header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"', **options
         ).csv(path)
         return path
 
@@ -238,6 +238,14 @@ def load_csv_utf8(r: Registry) -> DataFrame:
     return csv.load_csv(r.spark, path, {"doc_id": "long"}).select("doc_id", F.md5("text").alias("digest"))
 
 
+def load_csv_line_breaks(r: Registry) -> DataFrame:
+    """Whole texts with their line breaks, quoted."""
+    rows = r.table("documents").select("doc_id", "text")
+    path = r.stored_csv(rows, "line-breaks", quoteAll=True)
+    loaded = csv.load_csv(r.spark, path, {"doc_id": "long"}, multi_line=True)
+    return loaded.select("doc_id", F.md5("text").alias("digest"))
+
+
 def load_csv_missing_words(r: Registry) -> DataFrame:
     """Reasons of which some are words for a missing value."""
     words = F.array(*[F.lit(w) for w in ("NULL", "N/A", "NaN", "None", "nan")])
@@ -419,6 +427,7 @@ BUILDERS: dict[str, Callable[[Registry], DataFrame]] = {
     "load_csv_quoted": load_csv_quoted,
     "load_csv_mixed_headers": load_csv_mixed_headers,
     "load_csv_utf8": load_csv_utf8,
+    "load_csv_line_breaks": load_csv_line_breaks,
     "load_csv_missing_words": load_csv_missing_words,
     "load_households": load_households,
     "load_scores": load_scores,

@@ -9,7 +9,7 @@ import argparse
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearthline.functions.columns import category_values
 from hearthline.operators import asof, flows, history, master, quality
@@ -31,13 +31,17 @@ PROFILES = ("dashboard", "full")
 
 @dataclass
 class Sources:
-    """Where the raw files are; a path may be a folder or a glob."""
+    """Where the raw files are; a path may be a folder or a glob.
+
+    ``multi_line``: quoted fields of the CSV files may hold line breaks.
+    """
 
     scores: list[str]
     households: str | None = None
     programmes: str | None = None
     programme_lists: dict[str, str] = field(default_factory=dict)
     beneficiaries: str | None = None
+    multi_line: bool = False
 
 
 class SnapshotWriter:
@@ -57,25 +61,61 @@ class SnapshotWriter:
         return self.spark.read.parquet(path)
 
 
+def csv_paths(paths: list[str]) -> list[str]:
+    """Score files that are not Parquet."""
+    return [p for p in paths if not p.rstrip("/").endswith(".parquet")]
+
+
+def csv_sources(sources: Sources) -> dict[str, list[str]]:
+    """The CSV files that the job reads, by the name of their source."""
+    lists = list(sources.programme_lists.values())
+    found = {
+        "scores": csv_paths(sources.scores),
+        "menage": [sources.households] if sources.households else [],
+        "programmes": [sources.programmes] if sources.programmes else lists,
+        "beneficiaire": [sources.beneficiaries] if sources.beneficiaries else [],
+    }
+    return {name: paths for name, paths in found.items() if paths}
+
+
+def read_rejected(spark: SparkSession, sources: Sources) -> DataFrame:
+    """(source, path, line) of the records that could not be read."""
+    parts = [
+        csv.rejected_lines(spark, paths, multi_line=sources.multi_line).select(
+            F.lit(name).alias("source"), "path", "line"
+        )
+        for name, paths in csv_sources(sources).items()
+    ]
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "source string, path string, line string"))
+
+
+def count_records(spark: SparkSession, sources: Sources) -> dict[str, DataFrame]:
+    """Physical records per CSV source, rejected ones included."""
+    return {
+        name: csv.record_count(spark, paths, multi_line=sources.multi_line)
+        for name, paths in csv_sources(sources).items()
+    }
+
+
 def read_scores(
-    spark: SparkSession, paths: list[str], max_score: float, work: str
+    spark: SparkSession, paths: list[str], max_score: float, work: str, multi_line: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Score rows as read, and cleaned; Parquet scores are taken as they are.
 
     With Parquet and CSV paths together the latest version of an id counts.
     """
-    stored = [p for p in paths if p.rstrip("/").endswith(".parquet")]
-    plain = [p for p in paths if p not in stored]
+    plain = csv_paths(paths)
+    stored = [p for p in paths if p not in plain]
     parts = []
     if stored:
         ready = spark.read.parquet(*stored)
         parts.append((ready, ready))
     if len(plain) == 1:
-        raw = csv.load_raw_scores(spark, plain).drop(csv.LINE)
-        parts.append((raw, csv.load_scores(spark, plain[0], max_score)))
+        raw = csv.load_raw_scores(spark, plain, multi_line).drop(csv.LINE)
+        parts.append((raw, csv.load_scores(spark, plain[0], max_score, multi_line)))
     elif plain:
-        raw = csv.load_raw_scores(spark, plain).drop(csv.LINE)
-        parts.append((raw, csv.merge_score_files(spark, plain, work, max_score)))
+        raw = csv.load_raw_scores(spark, plain, multi_line).drop(csv.LINE)
+        parts.append((raw, csv.merge_score_files(spark, plain, work, max_score, multi_line)))
     both = zip(*parts)
     raw, clean = (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), p) for p in both)
     return raw, csv.keep_latest_scores(clean) if stored and plain else clean
@@ -84,9 +124,9 @@ def read_scores(
 def read_programmes(spark: SparkSession, sources: Sources) -> DataFrame:
     """Membership from the consolidated file, else from one list per programme."""
     if sources.programmes:
-        return csv.load_programme_table(spark, sources.programmes)
+        return csv.load_programme_table(spark, sources.programmes, sources.multi_line)
     if sources.programme_lists:
-        return csv.load_all_programmes(spark, sources.programme_lists)
+        return csv.load_all_programmes(spark, sources.programme_lists, sources.multi_line)
     return spark.createDataFrame([], struct_of(PROGRAMME_TYPES))
 
 
@@ -119,22 +159,27 @@ def run_job(
     out = SnapshotWriter(spark, output)
 
     if sources.households:
-        raw_households = csv.read_text_table(spark, sources.households)
-        households = csv.load_households(spark, sources.households)
+        raw_households = csv.read_text_table(spark, sources.households, multi_line=sources.multi_line)
+        households = csv.load_households(spark, sources.households, sources.multi_line)
     else:
         raw_households = households = csv.empty_households(spark)
     households = out.store("raw_menage", households)
     work = f"{output.rstrip('/')}/_work"
-    raw_scores, scores = read_scores(spark, sources.scores, max_score, work)
+    raw_scores, scores = read_scores(spark, sources.scores, max_score, work, sources.multi_line)
     # the light profile has no score snapshot, but the cleaned scores are still needed twice
     aside = SnapshotWriter(spark, work)
     scores = (out if full else aside).store("raw_scores", scores)
     programmes = out.store("raw_programmes", read_programmes(spark, sources))
     beneficiaries = None
     if sources.beneficiaries:
-        loaded = csv.load_beneficiaries(spark, sources.beneficiaries)
+        loaded = csv.load_beneficiaries(spark, sources.beneficiaries, sources.multi_line)
         beneficiaries = out.store("raw_beneficiaire", loaded)
 
+    # Always written, so that none of an earlier run stays; named only where there are any.
+    rejected = out.store("rejected_lines", read_rejected(spark, sources))
+    if rejected.isEmpty():
+        out.names.remove("rejected_lines")
+
     events = master.build_master_events(scores, households, programmes)
     events = out.store("master_events", clustered(events))
 
@@ -154,7 +199,10 @@ def run_job(
     out.store("reentry_summary", flows.build_reentry_summary(detail))
     out.store(
         "qc_summary",
-        quality.qc_metrics(raw_scores, scores, raw_households, households, events, max_score),
+        quality.qc_metrics(
+            raw_scores, scores, raw_households, households, events, max_score,
+            rejected, count_records(spark, sources),
+        ),
     )
     # programme names are a short list, one snapshot each
     for name in category_values(programmes, "programme"):
@@ -199,6 +247,9 @@ def parse_arguments(argv: list[str] | None = None) -> argparse.Namespace:
         "--programme", action="append", default=[], metavar="NAME=PATH", help="one list"
     )
     parser.add_argument("--beneficiaries")
+    parser.add_argument(
+        "--multi-line", action="store_true", help="quoted fields may hold line breaks (files are not split)"
+    )
     parser.add_argument("--output", required=True)
     parser.add_argument("--kpi-output")
     parser.add_argument("--snapshot-profile", choices=PROFILES, default="dashboard")
@@ -216,6 +267,7 @@ def main(argv: list[str] | None = None) -> None:
         programmes=args.programmes,
         programme_lists=dict(item.split("=", 1) for item in args.programme),
         beneficiaries=args.beneficiaries,
+        multi_line=args.multi_line,
     )
     freq = DAILY if args.timeseries_freq == "daily" else WEEKLY
     frames = run_job(spark, sources, args.output, args.snapshot_profile, freq)

@@ -495,6 +495,7 @@ _QUERIES: dict[str, tuple[str, str]] = {
         "",
         r"SELECT doc_id, md5(regexp_replace(text, '[\r\n]+', ' ', 'g')) AS digest FROM documents",
     ),
+    "load_csv_line_breaks": ("", "SELECT doc_id, md5(text) AS digest FROM documents"),
     "load_csv_missing_words": (
         "benef",
         "SELECT * REPLACE (CASE WHEN menage_ano % 3 <> 0 THEN motif END AS motif) FROM benef",

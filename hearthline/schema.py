@@ -85,6 +85,7 @@ SNAPSHOT_LABELS = {
     "programme_ASD": "Événements du programme ASD",
     "programme_AMOA": "Événements du programme AMOA",
     "raw_programmes": "Listes d'affiliation aux programmes",
+    "rejected_lines": "Lignes des fichiers sources rejetées à la lecture",
 }
 # metric -> (label, note)
 QC_TEXTS = {
@@ -116,6 +117,22 @@ QC_TEXTS = {
         "Ménages non classifiés",
         "Ménages non appariés aux listes programme AMOT/ASD/AMOA.",
     ),
+    "scores_rejected_rows": (
+        "Lignes illisibles (scores)",
+        "Enregistrements de score.csv rejetés à la lecture, conservés dans rejected_lines.",
+    ),
+    "menage_rejected_rows": (
+        "Lignes illisibles (menage)",
+        "Enregistrements de menage.csv rejetés à la lecture, conservés dans rejected_lines.",
+    ),
+    "programmes_rejected_rows": (
+        "Lignes illisibles (programmes)",
+        "Enregistrements de programmes.csv rejetés à la lecture, conservés dans rejected_lines.",
+    ),
+    "beneficiaire_rejected_rows": (
+        "Lignes illisibles (beneficiaire)",
+        "Enregistrements de beneficiaire.csv rejetés à la lecture, conservés dans rejected_lines.",
+    ),
 }
 
 HOUSEHOLD_TYPES = {

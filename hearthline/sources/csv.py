@@ -48,11 +48,14 @@ def present(text: Column) -> Column:
     return F.when(~F.trim(text).isin(*MISSING_WORDS), text)
 
 
-def _headers(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+def _headers(
+    spark: SparkSession, path: str | list[str], multi_line: bool = False
+) -> dict[tuple[str, ...], list[str]]:
     """Files by their header line, which is read once per file."""
     found: dict[tuple[str, ...], list[str]] = {}
     for file in sorted(spark.read.text(path).inputFiles()):
-        names = spark.read.options(header=True, encoding="ISO-8859-1", escape='"').csv(file).columns
+        options = {"header": True, "encoding": "ISO-8859-1", "escape": '"', "multiLine": multi_line}
+        names = spark.read.options(**options).csv(file).columns
         if names:
             fixed = [n.removeprefix("\u00ef\u00bb\u00bf").strip() for n in names]
             found.setdefault(tuple(fixed), []).append(file)
@@ -74,11 +77,14 @@ def _broken(header: tuple[str, ...], sep: str, multi_line: bool) -> Column:
     """Too many fields, or one half of a record that a quoted line break cut in two.
 
     Without its properly quoted fields, the first half still opens a quote; the
-    second half is short and closes one.
+    second half is short and closes one. With ``multi_line``, a record whose quote
+    is never closed runs on over the lines behind it: short, with an odd quote.
     """
     too_many = F.col(_OVERFLOW).isNotNull()
     if multi_line:
-        return too_many
+        odd = F.length(F.regexp_replace(_RAW, '[^"]', "")) % 2 == 1
+        short = F.col(f"`{header[-1]}`").isNull()
+        return too_many | F.coalesce(short & odd & F.col(_RAW).rlike("[\\r\\n]"), F.lit(False))
     mark = re.escape(sep)
     single = F.replace(_RAW, F.lit('""'), F.lit(""))
     rest = F.regexp_replace(single, rf'(^|{mark})"[^"]*+"(?={mark}|$)', "$1")
@@ -94,7 +100,7 @@ def _parts(
         "header": True, "encoding": encoding or "ISO-8859-1", "sep": sep, "escape": '"', "enforceSchema": True,
         "mode": "PERMISSIVE", "multiLine": multi_line, "columnNameOfCorruptRecord": _RAW, "columnPruning": False,
     }
-    return [(h, _lines(spark, files, h, options)) for h, files in _headers(spark, path).items()]
+    return [(h, _lines(spark, files, h, options)) for h, files in _headers(spark, path, multi_line).items()]
 
 
 def read_text_table(
@@ -141,6 +147,16 @@ def rejected_lines(
     return reduce(DataFrame.unionByName, tables, empty)
 
 
+def record_count(
+    spark: SparkSession, path: str | list[str], sep: str = ",", multi_line: bool = False
+) -> DataFrame:
+    """Records of the files, kept or rejected, as a one-row frame."""
+    tables = [rows.select(LINE) for _, rows in _parts(spark, path, None, sep, multi_line)]
+    if not tables:
+        return spark.range(1).select(F.lit(0).cast("long").alias("n"))
+    return reduce(DataFrame.unionByName, tables).groupBy().agg(F.count("*").alias("n"))
+
+
 def raw_row_count(spark: SparkSession, path: str) -> DataFrame:
     """Physical lines without one header line per file, as a one-row frame."""
     lines = spark.read.text(path).groupBy(F.col("_metadata.file_path")).agg(
@@ -224,9 +240,12 @@ def clean_households(df: DataFrame, order: Column) -> DataFrame:
     return keep_one(out, ["menage_ano"], [order.asc()]) if "menage_ano" in out.columns else out
 
 
-def load_households(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def load_households(
+    spark: SparkSession, path: str | list[str], multi_line: bool = False
+) -> DataFrame:
     """Household file: typed, repaired, normalised, first row per id."""
-    return clean_households(load_csv(spark, path, HOUSEHOLD_TYPES), F.col(LINE)).drop(LINE)
+    rows = load_csv(spark, path, HOUSEHOLD_TYPES, multi_line=multi_line)
+    return clean_households(rows, F.col(LINE)).drop(LINE)
 
 
 def empty_households(spark: SparkSession) -> DataFrame:
@@ -260,16 +279,22 @@ def dedup_scores(df: DataFrame, order: Column) -> DataFrame:
     return keep_one(df, [c for c in subset if c in df.columns], [order.asc()])
 
 
-def load_raw_scores(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def load_raw_scores(
+    spark: SparkSession, path: str | list[str], multi_line: bool = False
+) -> DataFrame:
     """Score file as read, typed, with the final score; nothing removed."""
-    return final_score(load_csv(spark, path, SCORE_TYPES, columns=list(SCORE_TYPES)))
+    rows = load_csv(spark, path, SCORE_TYPES, columns=list(SCORE_TYPES), multi_line=multi_line)
+    return final_score(rows)
 
 
 def load_scores(
-    spark: SparkSession, path: str | list[str], max_score: float | None = MAX_SCORE
+    spark: SparkSession,
+    path: str | list[str],
+    max_score: float | None = MAX_SCORE,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Score file: outliers are removed before duplicates, as a removed row must not win."""
-    rows = load_csv(spark, path, SCORE_TYPES, columns=list(SCORE_TYPES))
+    rows = load_csv(spark, path, SCORE_TYPES, columns=list(SCORE_TYPES), multi_line=multi_line)
     return dedup_scores(score_postprocess(rows, max_score), F.col(LINE)).drop(LINE)
 
 
@@ -281,19 +306,25 @@ def keep_latest_scores(df: DataFrame) -> DataFrame:
 
 
 def merge_score_files(
-    spark: SparkSession, paths: list[str], output: str, max_score: float | None = MAX_SCORE
+    spark: SparkSession,
+    paths: list[str],
+    output: str,
+    max_score: float | None = MAX_SCORE,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Union several score files, keep the latest version per id, write and read back."""
-    parts = [load_scores(spark, p, max_score) for p in paths]
+    parts = [load_scores(spark, p, max_score, multi_line) for p in paths]
     merged = keep_latest_scores(reduce(DataFrame.unionByName, parts))
     target = f"{output}/scores_merged.parquet"
     merged.write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
 
-def load_programme(spark: SparkSession, path: str | list[str], name: str) -> DataFrame:
+def load_programme(
+    spark: SparkSession, path: str | list[str], name: str, multi_line: bool = False
+) -> DataFrame:
     """Membership list of one programme."""
-    rows = load_csv(spark, path, {"menage_ano": "long"})
+    rows = load_csv(spark, path, {"menage_ano": "long"}, multi_line=multi_line)
     return rows.select("menage_ano", F.lit(name.upper()).alias("programme"))
 
 
@@ -302,23 +333,29 @@ def union_programmes(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def load_all_programmes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+def load_all_programmes(
+    spark: SparkSession, paths: dict[str, str], multi_line: bool = False
+) -> DataFrame:
     """Membership lists of several programmes; an empty typed frame without any."""
     if not paths:
         return spark.createDataFrame([], struct_of(PROGRAMME_TYPES))
-    return union_programmes([load_programme(spark, p, n) for n, p in paths.items()])
+    return union_programmes([load_programme(spark, p, n, multi_line) for n, p in paths.items()])
 
 
-def load_programme_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def load_programme_table(
+    spark: SparkSession, path: str | list[str], multi_line: bool = False
+) -> DataFrame:
     """Consolidated membership file with its own programme column."""
-    rows = load_csv(spark, path, PROGRAMME_TYPES)
+    rows = load_csv(spark, path, PROGRAMME_TYPES, multi_line=multi_line)
     named = rows.select("menage_ano", F.upper(F.trim("programme")).alias("programme"))
     return named.where(F.col("programme").isNotNull()).distinct()
 
 
-def load_beneficiaries(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def load_beneficiaries(
+    spark: SparkSession, path: str | list[str], multi_line: bool = False
+) -> DataFrame:
     """Beneficiary status file, partner in upper case."""
-    rows = load_csv(spark, path, BENEFICIARY_TYPES).drop(LINE)
+    rows = load_csv(spark, path, BENEFICIARY_TYPES, multi_line=multi_line).drop(LINE)
     if "partner_id" not in rows.columns:
         return rows
     return rows.withColumn("partner_id", F.upper("partner_id"))

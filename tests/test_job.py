@@ -79,3 +79,19 @@ def test_command_line():
     )
     assert args.scores == ["a.csv", "b.csv"]
     assert (args.snapshot_profile, args.timeseries_freq) == ("full", "daily")
+
+
+def test_rejected_records_are_stored_and_counted(spark, tmp_path):
+    header = "menage_ano,score_id_ano,type_demande,score_corrige,score_calcule,date_calcul\n"
+    (tmp_path / "s.csv").write_text(
+        header + '1,10,"ins\ncription",,5.0,2025-01-01\n2,20,a,,6.0,2025-01-01\n3,30,a,,6.0,2025-01-01,trop\n'
+    )
+    for multi_line, rejected, kept in ((False, 3, 1), (True, 1, 2)):
+        sources = Sources(scores=[str(tmp_path / "s.csv")], multi_line=multi_line)
+        frames = run_job(spark, sources, str(tmp_path / f"snap{multi_line}"), profile="full")
+        assert frames["raw_scores"].count() == kept
+        assert {r["source"] for r in frames["rejected_lines"].collect()} == {"scores"}
+        assert frames["rejected_lines"].count() == rejected
+        lines = {r["metric"]: (r["before"], r["after"], r["dropped"]) for r in frames["qc_summary"].collect()}
+        assert lines["scores_rejected_rows"] == lines["scores_raw_rows"] == (kept + rejected, kept, rejected)
+    assert parse_arguments(["--scores", "a.csv", "--output", "o", "--multi-line"]).multi_line

@@ -183,3 +183,27 @@ def test_characters_missing_words_and_dates(spark, tmp_path):
     assert [(r["partner_id"], r["motif"], str(r["date_insert"]), r["actif"]) for r in rows] == [
         ("A", "فاس cœur", "2025-01-02 00:00:00", True), (None, None, "2025-02-13 10:30:00", None),
         ("C", "déjà œuvre", "2025-01-01 08:00:00", None), ("D", "Nantes", "2025-01-01 10:00:00", True)]
+
+
+def test_line_breaks_in_every_loader(spark, tmp_path):
+    scores = write(tmp_path / "s.csv", HEADER + '1,10,"ins\ncription",,5.0,2025-01-01\n2,20,a,,6.0,2025-01-01\n')
+    assert csv.load_scores(spark, scores).count() == 1
+    assert csv.load_scores(spark, scores, multi_line=True).count() == 2
+    assert csv.load_raw_scores(spark, scores, multi_line=True).count() == 2
+    assert csv.merge_score_files(spark, [scores], str(tmp_path), multi_line=True).count() == 2
+    homes = write(tmp_path / "m.csv", 'menage_ano,region,milieu\n1,"Fès\r\nMeknès",rural\n')
+    assert csv.load_households(spark, homes, multi_line=True).collect()[0]["region"] == "Fès\r\nMeknès"
+    lists = write(tmp_path / "p.csv", 'menage_ano,programme,note\n1,amot,"a\nb"\n2,asd,c\n')
+    assert csv.load_programme_table(spark, lists, multi_line=True).count() == 2
+    assert csv.load_all_programmes(spark, {"amot": lists}, multi_line=True).count() == 2
+    people = write(tmp_path / "b.csv", 'menage_ano,partner_id,motif\n1,a,"une\nligne"\n2,b,c\n')
+    rows = csv.load_beneficiaries(spark, people, multi_line=True).orderBy("menage_ano").collect()
+    assert [r["motif"] for r in rows] == ["une\nligne", "c"]
+
+
+def test_unclosed_quote_is_rejected_and_not_swallowed(spark, tmp_path):
+    path = write(tmp_path / "b.csv", 'menage_ano,motif,actif\n1,"a\nb",True\n2,"jamais fermé,True\n3,c,True\n')
+    rows = csv.load_csv(spark, path, {"menage_ano": "long"}, multi_line=True).collect()
+    lost = [r["line"] for r in csv.rejected_lines(spark, path, multi_line=True).collect()]
+    assert [r["menage_ano"] for r in rows] == [1]
+    assert len(lost) == 1 and "jamais fermé" in lost[0] and "3,c,True" in lost[0]
