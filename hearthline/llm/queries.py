@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import jaccard, language, mixing, neardup, packing, pii, quality, substrings, topk, warc
+from hearthline.llm import (
+    jaccard,
+    language,
+    mixing,
+    neardup,
+    packing,
+    periodic,
+    pii,
+    quality,
+    substrings,
+    suffixes,
+    topk,
+    variants,
+    warc,
+)
 from hearthline.llm.common import remainder, table
 
 
@@ -74,6 +89,56 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def with_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of one document in ten with a periodic end, by the crc32 of its id."""
+    if doc_id is None or not words:
+        return words
+    digest = zlib.crc32(b"%d" % doc_id)
+    if digest % 10:
+        return words
+    g, n = digest // 10, len(words)
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    root = words[start : start + period]
+    return words[:start] + (root * ((n - start) // period + 1))[: n - start]
+
+
+def op11_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.collapse(table(spark, folder, "documents"), with_period)
+
+    def greater(best: Column, run: Column) -> Column:
+        return F.when(run["length"] * best["period"] > best["length"] * run["period"], run).otherwise(best)
+
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    # Runs come by start, then period, so the first of equal ones stays.
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), greater)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.call_function("div", 1000 * best["length"], best["period"]).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", line), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.group(table(spark, folder, "documents"), variants.DAMAGED)
+
+
+def op13_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.deduplicate(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_neardup": op2_neardup,
@@ -85,6 +150,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_language": op10_language,
+    "op11_periodic": op11_periodic,
+    "op12_variants": op12_variants,
+    "op13_suffixes": op13_suffixes,
 }
 
 SQL: dict[str, str] = {
