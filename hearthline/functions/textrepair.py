@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -40,8 +41,8 @@ _C1_ANY = "[\x80-\x9f]"
 
 
 def looks_damaged(text: Column) -> Column:
-    """Whether a value contains one of the suspicious marks."""
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in SUSPICIOUS])
+    """Whether a value contains one of the suspicious marks, none of which is ASCII."""
+    return ~_is_ascii(text) & text.rlike("|".join(map(_literal, SUSPICIOUS)))
 
 
 def _is_ascii(text: Column) -> Column:
@@ -60,6 +61,11 @@ def _literal(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def redecode(text: Column) -> Column:
     """Undo one wrong single-byte decoding.
 
@@ -85,9 +91,8 @@ def repair_text(text: Column, extra: dict[str, str] | None = None) -> Column:
     control = {bad: good for bad, good in mapping.items() if re.search(_C1_ANY, bad)}
     ascii_only = {bad: good for bad, good in mapping.items() if bad.isascii()}
     prepared = F.when(text.rlike(_C1_ANY), _replace_all(text, control)).otherwise(text)
-    return F.when(_is_ascii(text), _replace_all(text, ascii_only)).otherwise(
-        _replace_all(redecode(prepared), mapping)
-    )
+    decoded = _bound(prepared, lambda p: _bound(redecode(p), lambda d: _replace_all(d, mapping)))
+    return F.when(_is_ascii(text), _replace_all(text, ascii_only)).otherwise(decoded)
 
 
 def text_columns(df: DataFrame) -> list[str]:

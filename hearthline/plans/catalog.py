@@ -246,6 +246,27 @@ def load_csv_line_breaks(r: Registry) -> DataFrame:
     return loaded.select("doc_id", F.md5("text").alias("digest"))
 
 
+def load_csv_stray_quotes(r: Registry) -> DataFrame:
+    """Unquoted reasons that end with, begin behind or are full of quotes, in front of empty fields."""
+    key = F.col("menage_ano") % 4
+    said = (
+        F.when(key == 0, F.concat(F.lit('dit "'), "motif", F.lit('"')))
+        .when(key == 1, F.concat("motif", F.lit('"')))
+        .when(key == 2, F.concat(F.lit('5" de "'), "motif"))
+        .otherwise(F.col("motif"))
+    )
+    rows = r.beneficiaries.withColumns({"motif": said, "actif": F.lit(None).cast("boolean")})
+    kept = ["menage_ano", "partner_id", "date_insert", "motif", "actif"]
+    # Written as plain lines: a CSV writer would quote these fields.
+    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in kept])
+    path = working_path(r.spark, "stray")
+    heads = r.spark.range(1).select(F.lit(",".join(kept)).alias("value"))
+    for part in range(3):
+        own = rows.where(F.col("menage_ano") % 3 == part).select(line.alias("value"))
+        heads.unionByName(own).coalesce(1).write.mode("append").text(path)
+    return csv.load_csv(r.spark, path, BENEFICIARY_TYPES).select("menage_ano", "partner_id", "date_insert", "motif", "actif")
+
+
 def load_csv_missing_words(r: Registry) -> DataFrame:
     """Reasons of which some are words for a missing value."""
     words = F.array(*[F.lit(w) for w in ("NULL", "N/A", "NaN", "None", "nan")])
@@ -429,6 +450,7 @@ BUILDERS: dict[str, Callable[[Registry], DataFrame]] = {
     "load_csv_utf8": load_csv_utf8,
     "load_csv_line_breaks": load_csv_line_breaks,
     "load_csv_missing_words": load_csv_missing_words,
+    "load_csv_stray_quotes": load_csv_stray_quotes,
     "load_households": load_households,
     "load_scores": load_scores,
     "score_postprocess": lambda r: r.scores,

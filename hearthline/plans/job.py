@@ -78,55 +78,73 @@ def csv_sources(sources: Sources) -> dict[str, list[str]]:
     return {name: paths for name, paths in found.items() if paths}
 
 
-def read_rejected(spark: SparkSession, sources: Sources) -> DataFrame:
-    """(source, path, line) of the records that could not be read."""
-    parts = [
-        csv.rejected_lines(spark, paths, multi_line=sources.multi_line).select(
-            F.lit(name).alias("source"), "path", "line"
-        )
-        for name, paths in csv_sources(sources).items()
-    ]
-    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "source string, path string, line string"))
-
-
-def count_records(spark: SparkSession, sources: Sources) -> dict[str, DataFrame]:
-    """Physical records per CSV source, rejected ones included."""
-    return {
-        name: csv.record_count(spark, paths, multi_line=sources.multi_line)
-        for name, paths in csv_sources(sources).items()
-    }
+class ParsedSources:
+    """The CSV files of the job as stored text tables, each file parsed once.
+
+    Raw rows, clean rows, rejected records and record counts are all read from
+    these tables. Several score files stay apart, as each is cleaned by itself.
+    """
+
+    def __init__(self, spark: SparkSession, sources: Sources, work: SnapshotWriter):
+        self.spark = spark
+        self.tables = {
+            name: [
+                work.store(f"text_{name}_{i}", csv.parse(spark, path, multi_line=sources.multi_line))
+                for i, path in enumerate(paths)
+            ]
+            for name, paths in csv_sources(sources).items()
+        }
+
+    def kept(self, name: str) -> list[DataFrame]:
+        """Records of a source that could be read, by file."""
+        return [csv.kept_records(t) for t in self.tables.get(name, [])]
+
+    def rejected(self) -> DataFrame:
+        """(source, path, line) of the records that could not be read."""
+        parts = [
+            csv.rejected_records(t).select(F.lit(name).alias("source"), "path", "line")
+            for name, tables in self.tables.items()
+            for t in tables
+        ]
+        return reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], "source string, path string, line string"))
+
+    def counts(self) -> dict[str, DataFrame]:
+        """Physical records per source, rejected ones included."""
+        return {
+            name: reduce(DataFrame.unionByName, [t.select(csv.LINE) for t in tables]).groupBy().agg(F.count("*").alias("n"))
+            for name, tables in self.tables.items()
+        }
 
 
 def read_scores(
-    spark: SparkSession, paths: list[str], max_score: float, work: str, multi_line: bool = False
+    spark: SparkSession, paths: list[str], texts: list[DataFrame], max_score: float
 ) -> tuple[DataFrame, DataFrame]:
     """Score rows as read, and cleaned; Parquet scores are taken as they are.
 
-    With Parquet and CSV paths together the latest version of an id counts.
+    With several files, or Parquet and CSV paths together, the latest version of
+    an id counts.
     """
-    plain = csv_paths(paths)
-    stored = [p for p in paths if p not in plain]
+    stored = [p for p in paths if p not in csv_paths(paths)]
     parts = []
     if stored:
         ready = spark.read.parquet(*stored)
         parts.append((ready, ready))
-    if len(plain) == 1:
-        raw = csv.load_raw_scores(spark, plain, multi_line).drop(csv.LINE)
-        parts.append((raw, csv.load_scores(spark, plain[0], max_score, multi_line)))
-    elif plain:
-        raw = csv.load_raw_scores(spark, plain, multi_line).drop(csv.LINE)
-        parts.append((raw, csv.merge_score_files(spark, plain, work, max_score, multi_line)))
+    if texts:
+        raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [csv.raw_scores_of(t).drop(csv.LINE) for t in texts])
+        clean = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [csv.scores_of(t, max_score) for t in texts])
+        parts.append((raw, clean if len(texts) == 1 else csv.keep_latest_scores(clean)))
     both = zip(*parts)
     raw, clean = (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), p) for p in both)
-    return raw, csv.keep_latest_scores(clean) if stored and plain else clean
+    return raw, csv.keep_latest_scores(clean) if stored and texts else clean
 
 
-def read_programmes(spark: SparkSession, sources: Sources) -> DataFrame:
+def read_programmes(spark: SparkSession, sources: Sources, texts: list[DataFrame]) -> DataFrame:
     """Membership from the consolidated file, else from one list per programme."""
     if sources.programmes:
-        return csv.load_programme_table(spark, sources.programmes, sources.multi_line)
+        return csv.programme_table_of(texts[0])
     if sources.programme_lists:
-        return csv.load_all_programmes(spark, sources.programme_lists, sources.multi_line)
+        lists = zip(sources.programme_lists, texts, strict=True)
+        return csv.union_programmes([csv.programme_of(t, name) for name, t in lists])
     return spark.createDataFrame([], struct_of(PROGRAMME_TYPES))
 
 
@@ -153,30 +171,30 @@ def run_job(
     if profile not in PROFILES:
         raise ValueError(f"Unknown profile: {profile}")
     if not sources.scores:
-        raise ValueError("Missing scores input source")
+        raise ValueError("No path of a scores file was given")
     configure(spark)
     full = profile == "full"
     out = SnapshotWriter(spark, output)
 
+    work = f"{output.rstrip('/')}/_work"
+    aside = SnapshotWriter(spark, work)
+    parsed = ParsedSources(spark, sources, aside)
     if sources.households:
-        raw_households = csv.read_text_table(spark, sources.households, multi_line=sources.multi_line)
-        households = csv.load_households(spark, sources.households, sources.multi_line)
+        (raw_households,) = parsed.kept("menage")
+        households = csv.households_of(raw_households)
     else:
         raw_households = households = csv.empty_households(spark)
     households = out.store("raw_menage", households)
-    work = f"{output.rstrip('/')}/_work"
-    raw_scores, scores = read_scores(spark, sources.scores, max_score, work, sources.multi_line)
+    raw_scores, scores = read_scores(spark, sources.scores, parsed.kept("scores"), max_score)
     # the light profile has no score snapshot, but the cleaned scores are still needed twice
-    aside = SnapshotWriter(spark, work)
     scores = (out if full else aside).store("raw_scores", scores)
-    programmes = out.store("raw_programmes", read_programmes(spark, sources))
+    programmes = out.store("raw_programmes", read_programmes(spark, sources, parsed.kept("programmes")))
     beneficiaries = None
     if sources.beneficiaries:
-        loaded = csv.load_beneficiaries(spark, sources.beneficiaries, sources.multi_line)
-        beneficiaries = out.store("raw_beneficiaire", loaded)
+        beneficiaries = out.store("raw_beneficiaire", csv.beneficiaries_of(parsed.kept("beneficiaire")[0]))
 
     # Always written, so that none of an earlier run stays; named only where there are any.
-    rejected = out.store("rejected_lines", read_rejected(spark, sources))
+    rejected = out.store("rejected_lines", parsed.rejected())
     if rejected.isEmpty():
         out.names.remove("rejected_lines")
 
@@ -201,12 +219,15 @@ def run_job(
         "qc_summary",
         quality.qc_metrics(
             raw_scores, scores, raw_households, households, events, max_score,
-            rejected, count_records(spark, sources),
+            rejected, parsed.counts(),
         ),
     )
-    # programme names are a short list, one snapshot each
+    # One pass over the events for all programmes; each becomes a snapshot of its own.
+    by_programme = f"{work}/by_programme"
+    events.withColumn("_part", F.col("programme")).write.partitionBy("_part").mode("overwrite").parquet(by_programme)
+    parts = spark.read.parquet(by_programme)
     for name in category_values(programmes, "programme"):
-        out.store(f"programme_{name}", master.build_programme_frame(events, name))
+        out.store(f"programme_{name}", master.build_programme_frame(parts.where(F.col("_part") == name).drop("_part"), name))
     if full:
         types = master.pivot_values(events)
         out.store("pivot_wide", master.build_pivot_wide(events, values=types))

@@ -496,6 +496,11 @@ _QUERIES: dict[str, tuple[str, str]] = {
         r"SELECT doc_id, md5(regexp_replace(text, '[\r\n]+', ' ', 'g')) AS digest FROM documents",
     ),
     "load_csv_line_breaks": ("", "SELECT doc_id, md5(text) AS digest FROM documents"),
+    "load_csv_stray_quotes": (
+        "benef",
+        """SELECT menage_ano, partner_id, date_insert, CASE menage_ano % 4 WHEN 0 THEN 'dit "' || motif || '"'
+        WHEN 1 THEN motif || '"' WHEN 2 THEN '5" de "' || motif ELSE motif END AS motif, CAST(NULL AS BOOLEAN) AS actif FROM benef""",
+    ),
     "load_csv_missing_words": (
         "benef",
         "SELECT * REPLACE (CASE WHEN menage_ano % 3 <> 0 THEN motif END AS motif) FROM benef",

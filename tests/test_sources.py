@@ -207,3 +207,65 @@ def test_unclosed_quote_is_rejected_and_not_swallowed(spark, tmp_path):
     lost = [r["line"] for r in csv.rejected_lines(spark, path, multi_line=True).collect()]
     assert [r["menage_ano"] for r in rows] == [1]
     assert len(lost) == 1 and "jamais fermé" in lost[0] and "3,c,True" in lost[0]
+
+
+def test_stray_quotes_in_front_of_empty_fields(spark, tmp_path):
+    """Unquoted fields may hold quotes anywhere; only a line that leaves a field open is a half."""
+    head = "menage_ano,partner_id,motif,date_insert,actif\n"
+    good = '1,asd,dit "oui",2025-01-01,\n2,a,"x",,\n3,b,fin",,\n5,asd,fin "x",,\n6,"",""" """,,\n7,c,"a"b",,\n8,d\n'
+    path = write(tmp_path / "a.csv", head + good)
+    rows = csv.load_beneficiaries(spark, path).orderBy("menage_ano").collect()
+    assert [r["menage_ano"] for r in rows] == [1, 2, 3, 5, 6, 7, 8]
+    assert [r["motif"] for r in rows][:5] == ['dit "oui"', "x", 'fin"', 'fin "x"', '" "']
+    assert csv.rejected_lines(spark, path).isEmpty()
+    # The same lines around real halves: a field over two, three and four lines, and one never closed.
+    halves = '20,a,"une\nligne",,\n21,a,"et\n\ndeux",,\n22,a,"x\n23,y,z\n24,""u""\nv",,True\n'
+    path = write(tmp_path / "b.csv", head + good + halves + good + '30,a,"jamais,,\n31,a,b,,\n32,d\n')
+    rows = csv.load_beneficiaries(spark, path).collect()
+    assert sorted(r["menage_ano"] for r in rows) == sorted([1, 2, 3, 5, 6, 7, 8] * 2 + [31, 32])
+    lost = [r["line"] for r in csv.rejected_lines(spark, path).collect()]
+    assert sorted(lost) == sorted(['20,a,"une', 'ligne",,', '21,a,"et', 'deux",,', '22,a,"x', "23,y,z", '24,""u""', 'v",,True', '30,a,"jamais,,'])
+
+
+def test_quotes_open_over_block_borders(spark, tmp_path):
+    """The state is carried from block to block of a split file."""
+    lines = []
+    for i in range(4000):
+        lines.append(f'{i},a,"x{i}\nsuite {i}",,True' if i % 7 == 0 else f'{i},a,"y",,True' if i % 2 else f"{i},a,z,,True")
+    path = write(tmp_path / "big.csv", "menage_ano,partner_id,motif,date_insert,actif\n" + "\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        found = [r[0] for r in csv.load_beneficiaries(spark, path).select("menage_ano").collect()]
+        lost = csv.rejected_lines(spark, path).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(found) == [i for i in range(4000) if i % 7]
+    assert lost == 2 * len(range(0, 4000, 7))
+
+
+def test_many_files_take_a_constant_number_of_jobs(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(200):
+        head = "menage_ano,motif\n" if i % 2 else "motif;x,menage_ano\n"
+        write(folder / f"f {i}.csv", head + (f"{i},a\n" if i % 2 else f"b,{i}\n"))
+    (folder / "empty.csv").write_text("")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("many-files", "")
+    try:
+        frame = csv.load_csv(spark, str(folder), {"menage_ano": "long"})
+        found = frame.collect()
+        jobs = len(tracker.getJobIdsForGroup("many-files"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert sorted(r["menage_ano"] for r in found) == list(range(200))
+    assert jobs <= 12
+
+
+def test_header_names(spark, tmp_path):
+    names = csv._header_names('﻿a,"b, c",a,,é\r\n'.encode(), ",")
+    assert names == ("a", "b, c", "a.1", "Unnamed: 3", "é")
+    assert csv._header_names("région,x".encode("cp1252"), ",") == ("région", "x")
