@@ -1,11 +1,12 @@
 """Exact, linearly interpolated quantiles with bounded work per task.
 
 The built-in ``percentile`` merges all distinct values of a group in one task.
-Here equal values are first collapsed into counts (map-side), a coarse histogram
-of those counts tells in which cells the wanted ranks fall, a second one inside
-these cells tells in which thousandth, and only the values of these are ranked.
-However many distinct values a group has, the part of it that one task ranks is
-a millionth or so, unless the values crowd together more closely than that.
+Here equal values are first collapsed into counts (map-side), a histogram of those
+counts tells in which cells the wanted ranks fall, and only the values of these
+cells are ranked. Cells are ``FINE`` times narrower than the width a caller asks
+for: the histogram stays report-sized (its rows are bounded by the range of the
+values, not by their number), and however many distinct values a group has, one
+task ranks a hundred-thousandth of them or so.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from hearthline.functions.columns import same
 RANK = ("i", "low", "high", "weight")
 #: Parts of a kept cell.
 SPLIT = 1024
+#: Cells of the histogram per width.
+FINE = 64
 
 
 def cell_of(value: Column, width: float) -> Column:
@@ -190,7 +193,7 @@ def value_profile(
     ``extras`` are further sums per group, written over the value ``v``, its
     multiplicity ``c`` and the flags in ``carry``.
     """
-    keys = groups or ["_all"]
+    keys, width = groups or ["_all"], width / FINE
     carry, extras = carry or {}, extras or {}
     names, levels = list(probs), list(probs.values())
     group_columns = [F.col(f"`{k}`") for k in groups] or [F.lit(1).alias("_all")]
@@ -221,7 +224,7 @@ def value_profile(
         F.col("counts.v"),
         F.col("counts.c"),
     )
-    found = pick_values(split_cells(narrowed, keys, width), keys, levels, totals)
+    found = pick_values(narrowed, keys, levels, totals)
     return found.select(
         *groups,
         "n_rows",
