@@ -17,6 +17,10 @@ can lose a link:
 3. Candidates of one index entry are compared with a hub of the entry first.
    What is linked to it is connected; only pairs between different components
    are left for a last, complete round.
+4. Sketches. A sketch has one bit per class of tokens, the parity of their number.
+   Sets whose sketches differ in d bits differ in d tokens or more. The last round
+   compares sketches within an entry, in blocks of bounded size, and hands on only
+   pairs that may be linked.
 
 Every candidate is verified on the whole sets.
 """
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import prepare, scalar, stored, texts
+from hearthline.llm.common import batches, prepare, scalar, stored, texts
 from hearthline.llm.components import components
 
 #: A token in more sets than this is frequent.
@@ -42,6 +46,8 @@ PER_CLASS = 32
 COUNTED, VERIFIED = 1_000_000, 1024
 #: Rounds that compare with hubs before the complete one.
 HUB_ROUNDS = 2
+#: Bits of a sketch, sets of one entry that are compared with each other at a time.
+SKETCH, BLOCK = 1024, 1024
 #: Words whose hashes a task remembers, tokens it collects before it passes them on.
 REMEMBERED, COLLECTED = 300_000, 1_000_000
 
@@ -117,6 +123,10 @@ def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int) ->
     order = np.lexsort((tokens, counts))
     tokens, counts = tokens[order], counts[order]
     alone = size - len(tokens)
+    first = max(0, size - shared + 1 - alone)
+    if first == 0 or counts[first - 1] <= RARE:
+        # The rarest shared token lies in this prefix and is rare, so the other set has it by itself too.
+        return np.sort(tokens[:first])
     out = []
     for power in class_exponents(n, percent):
         classes = 1 << power if power >= 0 else 0
@@ -159,6 +169,12 @@ def _blobs(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
     )
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parity of the number of tokens of each of ``SKETCH`` classes."""
+    which = (_mixed(tokens) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(which, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
 def sets(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, text_hash, n_shingles, set_id); set_id is null for the empty set."""
 
@@ -329,7 +345,7 @@ def _indexed(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(set_id, n, tokens) of the wanted sets, each from its representative document."""
+    """(set_id, n, tokens, sketch) of the wanted sets, each from its representative document."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -339,24 +355,24 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 tokens = shingles(text, k, known)
                 # Another text under the same id is not the one meant.
                 if len(tokens) and set_number(tokens) == number:
-                    # 40 bits tell the tokens of two sets apart.
-                    rows.append((number, len(tokens), _planes(tokens >> np.uint64(24), 5)))
+                    rows.append((number, len(tokens), _planes(tokens, 8), sketch(tokens)))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
-                    names=["set_id", "n", "tokens"],
+                    names=["set_id", "n", "tokens", "sketch"],
                 )
 
     joined = docs.select("doc_id", "text").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
-    found = joined.select("set_id", "text").mapInArrow(run, "set_id long, n long, tokens binary")
-    return found.groupBy("set_id").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    found = joined.select("set_id", "text").mapInArrow(run, "set_id long, n long, tokens binary, sketch binary")
+    return found.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "sketch")])
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, percent: int, parts: int) -> DataFrame:
     """Those of the pairs (hub, other) that are linked."""
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / VERIFIED).cast("int").alias("salts"))
     salted = pairs.join(sizes, "hub").withColumn("salt", F.pmod(F.xxhash64("other"), F.col("salts")).cast("int"))
+    whole = whole.drop("sketch")
     others = salted.select(F.col("other").alias("set_id"), "hub", "salt").join(whole, "set_id")
     hubs = sizes.select(
         F.col("hub").alias("set_id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
@@ -371,7 +387,7 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int, parts: int) -> D
             found = []
             lists = [part.column(i).to_pylist() for i in range(5)]
             for hub, salt, turn, number, n, data in zip(*lists, part.column(5), strict=True):
-                own = _unplanes(data.as_py(), 5)
+                own = _unplanes(data.as_py(), 8)
                 if turn == 0:
                     key, tokens, size = (hub, salt), own, n
                 elif key == (hub, salt):
@@ -412,25 +428,76 @@ def _hub_pairs(entries: DataFrame, turn: int, percent: int) -> DataFrame:
     return best.select(F.col("best.hub").alias("hub"), "other")
 
 
-def _left_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs of sets of an entry that are in different components."""
+def _may_link(n: np.ndarray, marks: np.ndarray, first: slice, percent: int) -> np.ndarray:
+    """Whether sizes and sketches let each set of the slice be linked with each set."""
+    a, b = n[first, None], n[None, :]
+    both = -(-percent * (a + b) // (100 + percent))
+    fits = np.minimum(a, b) * 100 >= np.maximum(a, b) * percent
+    differing = np.zeros(fits.shape, np.int64)
+    for word in range(marks.shape[1]):
+        differing += np.bitwise_count(marks[first, word, None] ^ marks[None, :, word])
+    return fits & (differing <= a + b - 2 * both)
+
+
+def _left_pairs(entries: DataFrame, whole: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs of sets of an entry that are in different components and may be linked.
+
+    The sets of an entry are dealt to blocks of ``block`` sets, and each two blocks
+    meet in a unit of work of their own; pairs do not leave the task that compares
+    them unless their sketches allow a link.
+    """
     mixed = (
         entries.groupBy("entry")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
         .filter("low <> high")
-        .select("entry")
+        .select("entry", "blocks")
     )
-    some = entries.join(mixed, "entry")
-    other = some.select(
-        "entry", F.col("set_id").alias("other"), F.col("n").alias("m"), F.col("component").alias("c")
-    )
-    return (
-        some.join(other, "entry")
-        .filter((F.col("component") < F.col("c")) & _fits("n", "m", percent))
-        .select(F.col("set_id").alias("hub"), "other")
-        .distinct()
+    own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met")
+    units = (
+        entries.join(mixed, "entry")
+        .select("entry", "set_id", "component", own.alias("own"), each)
+        .join(whole.select("set_id", "n", "sketch"), "set_id")
+        .select("entry", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "set_id", "component", "n", "sketch")
     )
 
+    def close(key: tuple, held: list[tuple], known: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        own, number, component, n, data = zip(*held)
+        own, number, component, n = (np.array(x, np.int64) for x in (own, number, component, n))
+        if (component == component[0]).all():
+            return
+        marks = np.frombuffer(b"".join(data), np.uint64).reshape(len(n), -1)
+        for start in range(0, len(n), 256):
+            first = slice(start, start + 256)
+            hit = _may_link(n, marks, first, percent) & (component[first, None] < component[None, :])
+            if key[1] != key[2]:
+                hit &= own[first, None] != own[None, :]
+            for a, b in zip(*(x.tolist() for x in np.nonzero(hit))):
+                pair = (int(number[start + a]), int(number[b]))
+                if pair not in known:
+                    known.add(pair)
+                    yield pair
+
+    def pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+        now, held, known = None, [], set()
+        for part in parts:
+            for entry, i, j, *row in zip(*[part.column(c).to_pylist() for c in range(8)], strict=True):
+                if (entry, i, j) != now and held:
+                    yield from close(now, held, known)
+                    held = []
+                now = (entry, i, j)
+                held.append(tuple(row))
+            if len(known) > 500_000:
+                known.clear()
+        if held:
+            yield from close(now, held, known)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(pairs(parts), pa.schema([("hub", pa.int64()), ("other", pa.int64())]), size=50_000)
+
+    dealt = units.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
+    return dealt.mapInArrow(run, "hub long, other long").distinct()
+
 
 def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) per row; linked at ``percent`` of the union or more.
@@ -470,7 +537,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
             now = entries.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select(
                 "entry", "set_id", "n", own
             )
-        pairs = _hub_pairs(now, turn, percent) if turn < HUB_ROUNDS else _left_pairs(now, percent)
+        pairs = _hub_pairs(now, turn, percent) if turn < HUB_ROUNDS else _left_pairs(now, whole, percent, BLOCK)
         pairs = stored(pairs, f"shingle-pairs{turn}")
         found = stored(_verified(pairs, whole, percent, ranges), f"shingle-links{turn}")
         links = found if links is None else links.unionByName(found)

@@ -160,9 +160,12 @@ def corpus(seed, groups, copies):
                        (None, rows[0]), (5006, rows[0]), (5006, rows[0]), (5006, rows[-1]), (5007, "w " * 30_000)]
 
 
-@pytest.mark.parametrize(("rare", "k", "percent"), [(64, 4, 85), (2, 5, 80)])
-def test_join_equals_all_pairs(spark, rare, k, percent, monkeypatch):
+@pytest.mark.parametrize(("rare", "k", "percent", "hubs", "block"), [(64, 4, 85, 2, 1024), (2, 5, 80, 2, 3), (2, 4, 85, 0, 4)])
+def test_join_equals_all_pairs(spark, rare, k, percent, hubs, block, monkeypatch):
+    """Also without any hubs, when all links come from pairs within blocks."""
     monkeypatch.setattr(jaccard, "RARE", rare)
+    monkeypatch.setattr(jaccard, "HUB_ROUNDS", hubs)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "PER_CLASS", 8)
     rows = corpus(rare, 40, 9)
     found = jaccard.join(frame(spark, rows), k, percent).collect()
@@ -184,6 +187,23 @@ def test_representatives(spark):
     assert jaccard.join(docs.limit(0)).collect() == []
 
 
+def test_sketches_leave_no_link_out():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 40, 300, 3000):
+        sets = [np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64))]
+        for share in (0.0, 0.02, 0.05, 0.09, 0.2, 0.6):
+            fresh = rng.random(n) < share
+            sets.append(np.where(fresh, rng.integers(0, 1 << 63, n).astype(np.uint64), sets[0])[: n - rng.integers(0, n // 9 + 1)])
+        marks = np.frombuffer(b"".join(map(jaccard.sketch, sets)), np.uint64).reshape(len(sets), -1)
+        may = jaccard._may_link(np.array([len(s) for s in sets]), marks, slice(0, len(sets)), 85)
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                both = len(np.intersect1d(x, y))
+                linked = 100 * both >= 85 * (len(x) + len(y) - both)
+                assert may[i, j] or not linked
+                assert linked or n != 300 or both > 0.8 * n or not may[i, j]
+
+
 def test_signatures_lose_no_pair():
     """Prefix filters on random sets: linked pairs always share an entry."""
     rng = np.random.default_rng(4)
