@@ -18,9 +18,11 @@ can lose a link:
    What is linked to it is connected; only pairs between different components
    are left for a last, complete round.
 4. Sketches. A sketch has one bit per class of tokens, the parity of their number.
-   Sets whose sketches differ in d bits differ in d tokens or more. The last round
-   compares sketches within an entry, in blocks of bounded size, and hands on only
-   pairs that may be linked.
+   Sets whose sketches differ in d bits differ in d tokens or more. After the hubs,
+   sketches are compared within an entry, in blocks of bounded size: first every set
+   names its nearest ones of other components that may be linked, which joins
+   nearly all of a family of copies; then all pairs that may be linked and are
+   still in different components are handed on.
 
 Every candidate is verified on the whole sets.
 """
@@ -44,8 +46,9 @@ RARE = 64
 PER_CLASS = 32
 #: Tokens that one task counts, and pairs of one hub that one task verifies, on average.
 COUNTED, VERIFIED = 1_000_000, 1024
-#: Rounds that compare with hubs before the complete one.
-HUB_ROUNDS = 2
+#: Rounds that compare with hubs, rounds that compare with the nearest sets, and how many
+#: of these a task names for a set, before the complete round.
+HUB_ROUNDS, NEAREST_ROUNDS, NEAREST = 1, 1, 3
 #: Bits of a sketch, sets of one entry that are compared with each other at a time.
 SKETCH, BLOCK = 1024, 1024
 #: Words whose hashes a task remembers, tokens it collects before it passes them on.
@@ -428,20 +431,23 @@ def _hub_pairs(entries: DataFrame, turn: int, percent: int) -> DataFrame:
     return best.select(F.col("best.hub").alias("hub"), "other")
 
 
-def _may_link(n: np.ndarray, marks: np.ndarray, first: slice, percent: int) -> np.ndarray:
-    """Whether sizes and sketches let each set of the slice be linked with each set."""
+def _may_link(n: np.ndarray, marks: np.ndarray, first: slice, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sizes and sketches let each set of the slice be linked with each set, and differing bits."""
     a, b = n[first, None], n[None, :]
     both = -(-percent * (a + b) // (100 + percent))
     fits = np.minimum(a, b) * 100 >= np.maximum(a, b) * percent
     differing = np.zeros(fits.shape, np.int64)
     for word in range(marks.shape[1]):
         differing += np.bitwise_count(marks[first, word, None] ^ marks[None, :, word])
-    return fits & (differing <= a + b - 2 * both)
+    return fits & (differing <= a + b - 2 * both), differing
 
 
-def _left_pairs(entries: DataFrame, whole: DataFrame, percent: int, block: int) -> DataFrame:
+def _left_pairs(entries: DataFrame, whole: DataFrame, percent: int, block: int, nearest: int = 0) -> DataFrame:
     """Pairs of sets of an entry that are in different components and may be linked.
 
+    With ``nearest``, only so many for each set that a task meets, those with the
+    most similar sketches.
+
     The sets of an entry are dealt to blocks of ``block`` sets, and each two blocks
     meet in a unit of work of their own; pairs do not leave the task that compares
     them unless their sketches allow a link.
@@ -461,7 +467,7 @@ def _left_pairs(entries: DataFrame, whole: DataFrame, percent: int, block: int)
         .select("entry", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "set_id", "component", "n", "sketch")
     )
 
-    def close(key: tuple, held: list[tuple], known: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    def close(key: tuple, held: list[tuple]) -> Iterator[tuple[int, int, int]]:
         own, number, component, n, data = zip(*held)
         own, number, component, n = (np.array(x, np.int64) for x in (own, number, component, n))
         if (component == component[0]).all():
@@ -469,31 +475,55 @@ def _left_pairs(entries: DataFrame, whole: DataFrame, percent: int, block: int)
         marks = np.frombuffer(b"".join(data), np.uint64).reshape(len(n), -1)
         for start in range(0, len(n), 256):
             first = slice(start, start + 256)
-            hit = _may_link(n, marks, first, percent) & (component[first, None] < component[None, :])
+            hit, differing = _may_link(n, marks, first, percent)
+            hit &= component[first, None] != component[None, :]
             if key[1] != key[2]:
                 hit &= own[first, None] != own[None, :]
-            for a, b in zip(*(x.tolist() for x in np.nonzero(hit))):
-                pair = (int(number[start + a]), int(number[b]))
-                if pair not in known:
-                    known.add(pair)
-                    yield pair
-
-    def pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
-        now, held, known = None, [], set()
+            if not nearest:
+                hit &= component[first, None] < component[None, :]
+            elif len(n) > nearest:
+                differing = np.where(hit, differing, 1 << 40)
+                last = np.partition(differing, nearest - 1, axis=1)[:, nearest - 1 : nearest]
+                hit &= differing <= last
+            at, to = np.nonzero(hit)
+            yield from zip(number[start + at].tolist(), number[to].tolist(), differing[at, to].tolist())
+
+    def pairs(found: Iterator[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+        known: set[tuple[int, int]] = set()
+        best: dict[int, list[tuple[int, int]]] = {}
+        for a, b, distance in found:
+            if nearest:
+                mine = best.setdefault(a, [])
+                if (distance, b) not in mine:
+                    mine.append((distance, b))
+                    mine.sort()
+                    del mine[nearest:]
+                if len(best) < 200_000:
+                    continue
+            elif (a, b) not in known:
+                known.add((a, b))
+                yield a, b
+                if len(known) > 500_000:
+                    known.clear()
+                continue
+            yield from ((min(x, y), max(x, y)) for x, mine in best.items() for _, y in mine)
+            best.clear()
+        yield from ((min(x, y), max(x, y)) for x, mine in best.items() for _, y in mine)
+
+    def groups(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int]]:
+        now, held = None, []
         for part in parts:
             for entry, i, j, *row in zip(*[part.column(c).to_pylist() for c in range(8)], strict=True):
                 if (entry, i, j) != now and held:
-                    yield from close(now, held, known)
+                    yield from close(now, held)
                     held = []
                 now = (entry, i, j)
                 held.append(tuple(row))
-            if len(known) > 500_000:
-                known.clear()
         if held:
-            yield from close(now, held, known)
+            yield from close(now, held)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches(pairs(parts), pa.schema([("hub", pa.int64()), ("other", pa.int64())]), size=50_000)
+        yield from batches(pairs(groups(parts)), pa.schema([("hub", pa.int64()), ("other", pa.int64())]), size=50_000)
 
     dealt = units.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
     return dealt.mapInArrow(run, "hub long, other long").distinct()
@@ -529,7 +559,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     wanted = entries.select("set_id").distinct().join(classes.select("set_id", "rep"), "set_id")
     whole = stored(_whole_sets(docs, wanted, k), "shingle-whole")
     links, groups = None, None
-    for turn in range(HUB_ROUNDS + 1):
+    for turn in range(HUB_ROUNDS + NEAREST_ROUNDS + 1):
         if groups is None:
             now = entries.withColumn("component", F.col("set_id"))
         else:
@@ -537,7 +567,11 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
             now = entries.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select(
                 "entry", "set_id", "n", own
             )
-        pairs = _hub_pairs(now, turn, percent) if turn < HUB_ROUNDS else _left_pairs(now, whole, percent, BLOCK)
+        if turn < HUB_ROUNDS:
+            pairs = _hub_pairs(now, turn, percent)
+        else:
+            nearest = NEAREST if turn < HUB_ROUNDS + NEAREST_ROUNDS else 0
+            pairs = _left_pairs(now, whole, percent, BLOCK, nearest)
         pairs = stored(pairs, f"shingle-pairs{turn}")
         found = stored(_verified(pairs, whole, percent, ranges), f"shingle-links{turn}")
         links = found if links is None else links.unionByName(found)
