@@ -48,7 +48,7 @@ PER_CLASS = 32
 COUNTED, VERIFIED = 1_000_000, 1024
 #: Rounds that compare with hubs, rounds that compare with the nearest sets, and how many
 #: of these a task names for a set, before the complete round.
-HUB_ROUNDS, NEAREST_ROUNDS, NEAREST = 1, 1, 3
+HUB_ROUNDS, NEAREST_ROUNDS, NEAREST = 1, 1, 1
 #: Bits of a sketch, sets of one entry that are compared with each other at a time.
 SKETCH, BLOCK = 1024, 1024
 #: Words whose hashes a task remembers, tokens it collects before it passes them on.
@@ -506,9 +506,9 @@ def _left_pairs(entries: DataFrame, whole: DataFrame, percent: int, block: int,
                 if len(known) > 500_000:
                     known.clear()
                 continue
-            yield from ((min(x, y), max(x, y)) for x, mine in best.items() for _, y in mine)
+            yield from {(min(x, y), max(x, y)) for x, mine in best.items() for _, y in mine}
             best.clear()
-        yield from ((min(x, y), max(x, y)) for x, mine in best.items() for _, y in mine)
+        yield from {(min(x, y), max(x, y)) for x, mine in best.items() for _, y in mine}
 
     def groups(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int]]:
         now, held = None, []

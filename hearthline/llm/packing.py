@@ -15,13 +15,11 @@ import os
 import re
 import sys
 import zlib
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +34,11 @@ SHARD = 512 * WINDOW
 SHARD_PIECES = 8192
 #: Distinct words whose ids a task remembers.
 REMEMBERED = 500_000
+#: One piece in so many is looked at to balance shards.
+ESTIMATED = 16
 K1, B = 1.2, 0.75
 VOCABULARY = 1 << 16
 
-# White space that every tokenizer here treats as a gap between words.
-_GAP = re.compile(r"[ \t\n\r\x0b\x0c]+")
-
 PIECES = pa.schema(
     [
         ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
@@ -51,11 +48,21 @@ PIECES = pa.schema(
 )
 
 
+# Fixed by the tokenizer: how it parts lower-cased text of the first 256 characters
+# (letters, single digits, marks, and the endings of contractions).
+_LETTER, _DIGIT = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
+#: Texts of these characters only are parted here; all others go to the tokenizer whole.
+_PLAIN = re.compile("[\t-\r -~\xa1-\xff]*")
+
+
 class Encoder:
-    """Token ids of whole texts for a tokenizer that never joins words across white space.
+    """Token ids of whole texts, for the tokenizer whose parts ``_PART`` names.
 
-    Words come again and again, so their ids are remembered; what is not known
-    is encoded in one call. The memory is bounded.
+    The parts of a text are encoded one by one whatever stands beside them, and
+    come again and again, so their ids are remembered. New parts go to the
+    tokenizer in one text, with a digit between them that none of them holds.
+    The memory is bounded.
     """
 
     def __init__(self, path: str) -> None:
@@ -66,26 +73,53 @@ class Encoder:
         # A Python worker runs many tasks; what it has learned outlives each of them.
         kept = sys.modules.setdefault("hearthline_worker", ModuleType("hearthline_worker")).__dict__
         if path not in kept:
-            kept[path] = (Tokenizer.from_file(path), {"": b""})
+            kept[path] = (Tokenizer.from_file(path), {})
         self.tokenizer, self.known = kept[path]
-
-    def __call__(self, text: str) -> np.ndarray:
-        """Ids of the text, ``END_ID`` appended."""
-        if "<|" not in text:
-            # The tokenizer lower-cases anyway, except for its special tokens.
-            text = text.encode("utf-8", "replace").lower().decode()
-        words = _GAP.split(text)
-        new = [w for w in set(words) if w not in self.known]
+        (self.between,) = self.encoded("0")
+        # Only a tokenizer that parts text in this way may be given parts.
+        sample = "ab'll c9\xb2 \xdf\xe9.,'s"
+        parts = [i for part in _PART.findall(sample) for i in self.encoded(part)]
+        self.by_parts = parts == self.encoded(sample) and self.encoded("A\xc9") == self.encoded("a\xe9")
+
+    def encoded(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def learn(self, parts: list[str]) -> None:
+        """Remember the ids of new parts."""
+        digits = [p for p in parts if p[0].isnumeric()]
+        for part in digits:
+            self.known[part] = np.array(self.encoded(part), "<u4").tobytes()
+        others = [p for p in parts if not p[0].isnumeric()]
+        for start in range(0, len(others), 8192):
+            some = others[start : start + 8192]
+            ids = np.array(self.encoded(" 0 ".join(some)), "<u4")
+            ends = np.append(np.flatnonzero(ids == self.between), len(ids))
+            if len(ends) != len(some):
+                raise ValueError("parts are not encoded one by one")
+            at = 0
+            for part, end in zip(some, ends.tolist()):
+                self.known[part] = ids[at:end].tobytes()
+                at = end + 1
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, ``END_ID`` appended."""
+        plain = [self.by_parts and "<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts]
+        parted = [_PART.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
         known = self.known
-        if len(known) + len(new) > REMEMBERED:
-            # What came first stays: frequent words are among it.
-            known = {w: known[w] for w in set(words) - set(new)}
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[word] = array("I", found.ids).tobytes()
-        joined = b"".join(map(known.__getitem__, words))
-        return np.append(np.frombuffer(joined, "<u4"), np.uint32(END_ID))
+        every = set().union(*parted)
+        new = [w for w in every if w not in known]
+        self.learn(new)
+        end = np.array([END_ID], "<u4").tobytes()
+        for text, parts, fast in zip(texts, parted, plain):
+            if fast:
+                yield np.frombuffer(b"".join(map(known.__getitem__, parts)) + end, "<u4")
+            else:
+                # Lone surrogates cannot reach the tokenizer; Spark's strings hold none.
+                yield np.array([*self.encoded(text.encode("utf-8", "replace").decode()), END_ID], "<u4")
+        # What came first stays: frequent words are among it.
+        if len(known) > REMEMBERED:
+            for part in new:
+                del known[part]
 
 
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -97,13 +131,13 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         encode = Encoder(tokenizer)
         for part in parts:
-            for doc, text in zip(part.column(0), texts(part.column(1)), strict=True):
-                ids = encode(text)
+            found = encode(list(texts(part.column(1))))
+            for doc, ids in zip(part.column(0).to_pylist(), found, strict=True):
                 if ids.max() >= VOCABULARY:
                     raise ValueError("token ids beyond two bytes")
                 for start in range(0, len(ids), SEGMENT):
                     piece = ids[start : start + SEGMENT].astype("<u2").tobytes()
-                    yield doc.as_py(), start, len(ids), piece
+                    yield doc, start, len(ids), piece
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(rows(parts), schema)
@@ -158,14 +192,15 @@ class Weights:
 
 def _anchored(pieces: DataFrame, seen: np.ndarray) -> DataFrame:
     """Pieces with the two tokens that tell most about each, as their place in the order."""
-    shared = pieces.sparkSession.sparkContext.broadcast(Weights(seen))
+    shared = pieces.sparkSession.sparkContext.broadcast(seen)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Weights(shared.value)
         for part in parts:
             places = []
             for value in part.column("ids"):
-                terms, weights = shared.value.of(np.frombuffer(value.as_py(), "<u2"))
-                weights = np.where(shared.value.telling[terms] > 0, weights, 0)
+                terms, weights = known.of(np.frombuffer(value.as_py(), "<u2"))
+                weights = np.where(known.telling[terms] > 0, weights, 0)
                 top = np.argsort(-weights, kind="stable")[:2]
                 first, second = int(terms[top[0]]), int(terms[top[-1]])
                 places.append(first * VOCABULARY + second)
@@ -178,6 +213,37 @@ def _anchored(pieces: DataFrame, seen: np.ndarray) -> DataFrame:
     )
 
 
+def _sharded(pieces: DataFrame, seen: np.ndarray, shards: int) -> DataFrame:
+    """Pieces with their ``place``, ``tie`` and ``shard``, about ``shards`` shards of equal size.
+
+    One piece in ``ESTIMATED`` (by hash) tells how many tokens each first anchor
+    has; neighbouring anchors make up a shard, and an anchor that is larger than a
+    shard has several, among which its pieces are dealt by hash. The estimate
+    only balances shards, and is the same in every run.
+    """
+    pieces = pieces.withColumn("tie", F.xxhash64("doc_id", "start"))
+    if shards < 2:
+        return _anchored(pieces.drop("tie"), seen).select("*", F.xxhash64("doc_id", "start").alias("tie"), F.lit(0).alias("shard"))
+    some = _anchored(pieces.filter(F.pmod("tie", F.lit(ESTIMATED)) == 0).drop("tie"), seen)
+    sizes = np.zeros(VOCABULARY, np.int64)
+    first = F.shiftright("place", 16)
+    for row in some.groupBy(first.alias("first")).agg(F.sum(F.length("ids")).alias("size")).collect():
+        sizes[row["first"]] = row["size"]
+    target = max(1.0, float(sizes.sum()) / shards)
+    several = np.maximum(1, np.ceil(sizes / target)).astype(np.int64)
+    start = np.floor(np.cumsum(np.where(several > 1, 0, sizes)) / target).astype(np.int64)
+    # Anchors with shards of their own have them behind all others.
+    own = np.flatnonzero(several > 1)
+    start[own] = int(start.max()) + 1 + np.cumsum(several[own]) - several[own]
+    table = pieces.sparkSession.createDataFrame(
+        [(int(i), int(start[i]), int(several[i])) for i in np.flatnonzero(sizes)], "anchor int, shard_start int, shard_count int"
+    )
+    anchored = _anchored(pieces.drop("tie"), seen).withColumn("tie", F.xxhash64("doc_id", "start"))
+    joined = anchored.join(F.broadcast(table), first == F.col("anchor"), "left")
+    dealt = F.col("shard_start") + F.pmod(F.xxhash64("tie"), F.col("shard_count")).cast("int")
+    return joined.withColumn("shard", F.coalesce(dealt, (first % shards).cast("int"))).drop("anchor", "shard_start", "shard_count")
+
+
 class Shard:
     """An inverted index over the pieces of one shard, and the packing of them."""
 
@@ -277,18 +343,16 @@ def pack(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
     seen = _frequencies(pieces)
     shards = max(1, round(int(seen[VOCABULARY + 1]) / (4 * SHARD)))
     ordered = (
-        _anchored(pieces, seen)
-        .withColumn("tie", F.xxhash64("doc_id", "start"))
-        .repartitionByRange(shards, "place", "tie")
-        .sortWithinPartitions("place", "tie", "doc_id", "start", "doc_tokens", F.crc32("ids"))
+        _sharded(pieces, seen, shards)
+        .repartition(shards, "shard")
+        .sortWithinPartitions("shard", "place", "tie", "doc_id", "start", "doc_tokens", F.crc32("ids"))
     )
-    weights = spark.sparkContext.broadcast(Weights(seen))
+    counts = spark.sparkContext.broadcast(seen)
     columns = PIECES.names if with_ids else PIECES.names[:-1]
 
-    def packed(held: list[tuple], number: Callable[[], int]) -> Iterator[tuple]:
-        shard = Shard(held, weights.value)
-        for window in shard.sequences():
-            sequence, offset = number(), 0
+    def packed(held: list[tuple], weights: Weights, number: Iterator[int]) -> Iterator[tuple]:
+        for window in Shard(held, weights).sequences():
+            sequence, offset = next(number), 0
             for piece, begin, end in window:
                 doc, start, total, ids = held[piece]
                 raw = ids[begin:end].astype("<u4").tobytes()
@@ -297,27 +361,29 @@ def pack(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
                 offset += end - begin
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        context = TaskContext.get()
-        numbers = iter(range((context.partitionId() if context else 0) << 40, 1 << 62))
+        weights, now, numbers = Weights(counts.value), None, iter(())
         held: list[tuple] = []
         size = 0
         for part in parts:
-            lists = [part.column(i).to_pylist() for i in range(3)]
-            for doc, start, total, value in zip(*lists, part.column(3), strict=True):
+            lists = [part.column(i).to_pylist() for i in range(4)]
+            for shard, doc, start, total, value in zip(*lists, part.column(4), strict=True):
+                if held and (shard != now or size >= SHARD or len(held) >= SHARD_PIECES):
+                    yield from packed(held, weights, numbers)
+                    held, size = [], 0
+                if shard != now:
+                    # A shard lies in one task, so its numbers are its own wherever that runs.
+                    now, numbers = shard, iter(range(shard << 40, (shard + 1) << 40))
                 ids = np.frombuffer(value.as_py(), "<u2")
                 held.append((doc, start, total, ids))
                 size += len(ids)
-                if size >= SHARD or len(held) >= SHARD_PIECES:
-                    yield from packed(held, lambda: next(numbers))
-                    held, size = [], 0
         if held:
-            yield from packed(held, lambda: next(numbers))
+            yield from packed(held, weights, numbers)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = pa.schema([PIECES.field(c) for c in columns])
         yield from batches(rows(parts), fields, size=5000)
 
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return ordered.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(
+    return ordered.select("shard", "doc_id", "start", "doc_tokens", "ids").mapInArrow(
         run, kinds + (", ids binary" if with_ids else "")
     )

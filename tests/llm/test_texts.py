@@ -270,6 +270,31 @@ def test_packing_round_trip(spark, monkeypatch):
     assert packing.pack(frame(spark, []), path).collect() == []
 
 
+def test_ids_equal_those_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    tokenizer, rng = Tokenizer.from_file(path), random.Random(6)
+    encode = packing.Encoder(path)
+    assert encode.by_parts
+    signs = [chr(c) for c in range(9, 14)] + [chr(c) for c in range(32, 256)] + ["'s", "'LL", "İ", "e\u0301", "一", "\u2028", "\u00a0", "<|", "\x1f", "ǅ"]
+    texts = ["".join(rng.choice(signs[: rng.choice([230, len(signs)])]) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += [prose(rng, 30), "", " ", "ÀÉ'S 12²½ª", "<|endoftext|> x"]
+    for text, ids in zip(texts, encode(texts), strict=True):
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], repr(text)
+
+
+def test_packing_runs_agree_over_several_partitions(spark, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(packing, "SHARD", 4 * packing.WINDOW)
+    hot = " ".join(rng.choice(WORDS) for _ in range(30))
+    rows = [(i, (hot if i % 3 == 0 else "") + prose(rng, rng.randrange(1, 30))) for i in range(1500)]
+    docs = frame(spark, rows)
+    runs = [sorted(tuple(r) for r in packing.pack(d, tokenizer_path()).collect()) for d in (docs.repartition(3), docs.repartition(7))]
+    assert runs[0] == runs[1]
+    assert len({r[5] >> 40 for r in runs[0]}) >= 3
+
+
 def test_neighbours_share_windows():
     """Pieces about the same rare tokens are packed together."""
     rng = np.random.default_rng(0)
