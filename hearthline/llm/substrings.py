@@ -1,16 +1,15 @@
-"""Substring de-duplication by runs of words, wherever they begin and end.
-
-A run is ``RUN`` consecutive words in lower case. A word goes where it lies in a
-run that occurred before, if such runs together take at least ``MIN_WORDS`` words
-in a row. Sentences, line ends and marks play no part, so a passage is found
-wherever it was pasted.
-
-Not every run is compared. First, of every ``WINDOW`` runs in a row, the one with
-the least hash is taken: ``MIN_WORDS`` equal words hold a whole window, of which
-the same run is taken in every copy, and runs taken one after the other overlap
-or touch. So copies differ at most in fewer than ``WINDOW`` words before the first
-such run and behind the last. There, where the neighbours of a repeated run are
-not the same in all its copies, every run is compared in a second step.
+"""Substring de-duplication by sliding sentence spans.
+
+A text is cut into short sentences: behind a mark, at a line end, and behind any
+word whose hash is less than those of the two words on either side of it. Only a
+few neighbours decide, so a passage is cut alike wherever it was pasted, but for
+a few words at its ends. From every sentence on, the span of whole sentences that
+has ``SPAN_WORDS`` words or more is hashed. Spans that occur more than once are
+found by a global count of hashes; every occurrence but the first loses its
+sentences.
+
+Positions are only moved for spans whose hash occurs again (a Bloom filter of those
+hashes is broadcast; what it lets through wrongly goes in the exact count).
 """
 
 from __future__ import annotations
@@ -24,251 +23,201 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthline.llm import bloom
 from hearthline.llm.common import batches, prepare, stored, texts
 
-#: Words of a run (a power of two), and words that must be repeated in a row.
-RUN, MIN_WORDS = 16, 30
-#: Runs of which one is taken; ``MIN_WORDS`` words hold a whole window.
-WINDOW = MIN_WORDS - RUN + 1
+#: Words that a span of whole sentences has at least.
+SPAN_WORDS = 24
+#: Words whose hashes a task remembers.
+REMEMBERED = 300_000
 
 # Fixed by the definition of a word: characters of scripts without spaces stand alone.
-_ALONE = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+_ALONE = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 _SCRIPT = re.compile(f"[{_ALONE}]")
 _WORD = re.compile(rf"[{_ALONE}]|[^\s{_ALONE}]+")
-# A sentence is counted between marks (. ! ? , ; :) before white space, line ends,
-# and places where a capital follows a lower-case word without a mark.
-_BREAK = re.compile(r"(?<=[.!?,;:])\s+|\s*\n\s*|(?<=[a-zß-öø-ÿ]) (?=[A-ZÀ-ÖØ-Þ])")
-# Odd factors for the hash of a run, one per doubling of its length.
-_ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
-
-
-def words(text: str) -> list[str]:
-    """The words of a text, as they stand."""
-    if text.isascii() or not _SCRIPT.search(text):
-        return text.split()
-    return _WORD.findall(text)
-
-
-def run_hashes(text: str) -> np.ndarray:
-    """Hash of the run that begins at each word; empty for texts that cannot lose any."""
-    split = words(text)
-    if len(split) < MIN_WORDS:
-        return np.zeros(0, np.uint64)
-    got = np.array([xxhash.xxh3_64_intdigest(w.lower()) for w in split], np.uint64)
-    for turn in range(RUN.bit_length() - 1):
-        half = 1 << turn
-        got = got[:-half] * np.uint64(_ODD[turn % 4]) + (got[half:] ^ (got[half:] >> np.uint64(29)))
-        got ^= got >> np.uint64(32)
-    return got
-
-
-def taken(hashes: np.ndarray) -> np.ndarray:
-    """Places of the runs that are the least of a window (the first of equal ones)."""
-    if len(hashes) < WINDOW:
-        return np.zeros(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
-    return np.unique(views.argmin(axis=1) + np.arange(len(views)))
-
-
-def _emit(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Batches of (doc_id, text_id, arrays of equal length with their nulls)."""
-    held, size = [], 0
-
-    def batch() -> pa.RecordBatch:
-        sizes = [len(r[2][0][0]) for r in held]
-        ids = [np.repeat([r[0] or 0 for r in held], sizes), np.repeat([r[0] is None for r in held], sizes)]
-        keys = [np.repeat([r[1] for r in held], sizes), None]
-        columns = [tuple(np.concatenate(c) for c in zip(*pairs)) for pairs in zip(*[r[2] for r in held])]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(v, f.type, mask=m) for (v, m), f in zip([ids, keys, *columns], schema, strict=True)], schema=schema
-        )
-
-    for row in rows:
-        held.append(row)
-        size += len(row[2][0][0])
-        if size > 50_000:
-            yield batch()
-            held, size = [], 0
-    if held:
-        yield batch()
-
-
-def runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_id, run, at, before, behind) of the runs taken first, with their neighbours.
-
-    ``text_id`` (32 bits) tells texts of one id apart; rows with the same id and
-    text are one document. Neighbours are 32 bits of their hash, null at an end.
-    """
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("text_id", pa.int32()), ("run", pa.int64()), ("at", pa.int32()),
-         ("before", pa.int32()), ("behind", pa.int32())]
-    )
+#: A sentence ends behind a word that ends with one of these.
+MARKS = ".!?,;:…。！？、，；："
+
+_PLAIN = re.compile(r"\S+")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Marks(dict):
+    """Hash of a word in lower case, remembered; odd if the word ends with a mark."""
+
+    def __missing__(self, word: str) -> int:
+        value = xxhash.xxh3_64_intdigest(word.lower()) & ~1 | (word[-1] in MARKS)
+        if len(self) < REMEMBERED:
+            self[word] = value
+        return value
+
+
+def words(text: str) -> tuple[list[str], list[int]]:
+    """The words of a text, as they stand, and the number of words up to each line end."""
+    split = str.split if text.isascii() or not _SCRIPT.search(text) else _WORD.findall
+    out: list[str] = []
+    ends = []
+    for line in text.split("\n"):
+        out += split(line)
+        ends.append(len(out))
+    return out, ends
+
+
+def sentence_ends(marks: np.ndarray, line_ends: list[int]) -> np.ndarray:
+    """Number of words up to the end of each sentence; the last is the number of words."""
+    n = len(marks)
+    last = (marks & np.uint64(1)) == 1
+    if n >= 5:
+        inner = marks[2:-2]
+        last[2:-2] |= (inner < marks[:-4]) & (inner < marks[1:-3]) & (inner < marks[3:-1]) & (inner < marks[4:])
+    at = np.array(line_ends, np.int64)
+    last[at[at > 0] - 1] = True
+    return np.flatnonzero(last) + 1
+
+
+class Spans:
+    """Sentences and spans of texts."""
+
+    def __init__(self) -> None:
+        self.known = Marks()
+        self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first word, end) of the span from each sentence on, as far as there are any."""
+        split, line_ends = words(text)
+        if len(split) < SPAN_WORDS:
+            none = np.zeros(0, np.int64)
+            return none.view(np.uint64), none, none
+        marks = np.fromiter(map(self.known.__getitem__, split), np.uint64, len(split))
+        ends = sentence_ends(marks, line_ends)
+        starts = np.concatenate([[0], ends[:-1]])
+        place = np.searchsorted(ends, starts + SPAN_WORDS)
+        starts = starts[place < len(ends)]
+        stops = ends[place[place < len(ends)]]
+        if len(self.power) <= len(marks):
+            size = 2 * len(marks) + 1
+            self.power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, _ODD)]))
+            back = np.uint64(pow(int(_ODD), -1, 1 << 64))
+            self.inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, back)]))
+        mixed = (marks ^ (marks >> np.uint64(29))) * _ODD
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((mixed ^ (mixed >> np.uint64(32))) * self.power[: len(marks)])])
+        value = (prefix[stops] - prefix[starts]) * self.inverse[starts] + (stops - starts).astype(np.uint64)
+        value = (value ^ (value >> np.uint64(31))) * _ODD
+        return value ^ (value >> np.uint64(30)), starts, stops
+
+
+def _again(docs: DataFrame) -> DataFrame:
+    """(shard, hash) of the spans that occur more than once."""
 
-    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = Spans()
         for part in parts:
-            for doc, key, text in zip(part.column(0), part.column(1), texts(part.column(2)), strict=True):
-                hashes = run_hashes(text)
-                at = taken(hashes)
-                if not len(at):
-                    continue
-                run = hashes[at].view(np.int64)
-                short = run.astype(np.int32)
-                none = np.zeros(len(at), bool)
-                first, last = none.copy(), none.copy()
-                first[0] = last[-1] = True
-                yield doc.as_py(), key.as_py(), [
-                    (run, none), (at.astype(np.int32), none), (np.roll(short, 1), first), (np.roll(short, -1), last)
-                ]
-
-    def batched(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _emit(rows(parts), schema)
-
-    return docs.select("doc_id", F.hash("text").alias("text_id"), "text").mapInArrow(
-        batched, "doc_id long, text_id int, run long, at int, before int, behind int"
-    )
-
+            found = [np.zeros(0, np.uint64), *(spans.of(text)[0] for text in texts(part.column(0)))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["hash"])
 
-def _place() -> Column:
-    """Ids first, null last; within an id by text, within a text by place."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "at")
-
-
-def _with(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Documents with what was found for their id and text."""
-    named = found.withColumnsRenamed({"doc_id": "found_doc", "text_id": "found_text"})
-    return docs.select("doc_id", "text").join(
-        named,
-        F.col("doc_id").eqNullSafe(F.col("found_doc")) & (F.hash("text") == F.col("found_text")),
-        how,
-    )
+    seen = docs.select("text").mapInArrow(run, "hash long")
+    return seen.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit(0).alias("shard"), "hash")
 
 
-def _repeated(found: DataFrame) -> DataFrame:
-    """(doc_id, text_id, at, later, left, right) of the repeated runs among those taken first.
+def _places(docs: DataFrame, again: np.ndarray | None) -> DataFrame:
+    """(none, doc, text_id, at, span) of the spans that may occur again.
 
-    ``left`` and ``right``: the neighbour there is not the same in all copies.
+    ``none`` tells null ids. Rows with the same id and text are one document.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(again)
 
-    def varies(side: str) -> Column:
-        return (F.count(side) < F.count(F.lit(1))) | (F.min(side) != F.max(side))
-
-    again = (
-        found.groupBy("run")
-        .agg(
-            F.min(_place()).alias("origin"), F.count(F.lit(1)).alias("times"),
-            varies("before").alias("left"), varies("behind").alias("right"),
-        )
-        .filter("times > 1")
-        .select(F.col("run").alias("again"), "origin", "left", "right")
-    )
-    later = _place() != F.col("origin")
-    return (
-        found.join(again, F.col("run") == F.col("again"))
-        .select("doc_id", "text_id", "at", later.alias("later"), "left", "right")
-        .filter("later or left or right")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = Spans()
+        for part in parts:
+            which, at, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for i, text in enumerate(texts(part.column(3))):
+                value, start, _ = spans.of(text)
+                keep = bloom.held(shared.value, value)
+                which.append(np.full(int(keep.sum()), i))
+                at.append(start[keep])
+                values.append(value[keep])
+            rows = pa.array(np.concatenate(which))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(part.column(i).take(rows) for i in range(3)),
+                    pa.array(np.concatenate(at).astype(np.int32)),
+                    pa.array(np.concatenate(values).view(np.int64)),
+                ],
+                names=["none", "doc", "text_id", "at", "span"],
+            )
+
+    return _keyed(docs).select("none", "doc", "text_id", "text").mapInArrow(
+        run, "none boolean, doc long, text_id long, at int, span long"
     )
 
 
-def _border_runs(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """(doc_id, text_id, run, at) of every run near a repeated one whose neighbours differ."""
-    # A text has no more hits than words.
-    edges = (
-        hits.filter("left or right")
-        .groupBy("doc_id", "text_id")
-        .agg(F.collect_set(F.struct("at", "left", "right")).alias("edges"))
-    )
-    schema = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int32()), ("run", pa.int64()), ("at", pa.int32())])
-
-    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for part in parts:
-            for doc, key, text, edges in zip(*part.columns, strict=True):
-                doc, key, text = doc.as_py(), key.as_py(), text.as_py()
-                hashes = run_hashes(text)
-                near = np.zeros(len(hashes), bool)
-                for edge in edges.as_py():
-                    at = edge["at"]
-                    if edge["left"]:
-                        near[max(0, at - WINDOW + 1) : at] = True
-                    if edge["right"]:
-                        near[at + 1 : at + WINDOW] = True
-                places = np.flatnonzero(near)
-                if len(places):
-                    none = np.zeros(len(places), bool)
-                    yield doc, key, [(hashes[places].view(np.int64), none), (places.astype(np.int32), none)]
-
-    def batched(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _emit(rows(parts), schema)
-
-    return (
-        _with(docs, edges, "inner")
-        .select("doc_id", F.col("found_text").alias("text_id"), "text", "edges")
-        .mapInArrow(batched, "doc_id long, text_id int, run long, at int")
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """(none, doc, text_id, text): the first three tell documents apart."""
+    return docs.select(
+        *more,
+        F.col("doc_id").isNull().alias("none"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"),
+        F.xxhash64("text", F.length("text")).alias("text_id"),
+        "text",
     )
 
 
-def _later(found: DataFrame) -> DataFrame:
-    """(doc_id, text_id, at) of runs that occurred before."""
-    again = (
-        found.groupBy("run")
-        .agg(F.min(_place()).alias("origin"), F.count(F.lit(1)).alias("times"))
-        .filter("times > 1")
-        .select(F.col("run").alias("again"), "origin")
-    )
-    joined = found.join(again, F.col("run") == F.col("again"))
-    return joined.filter(_place() != F.col("origin")).select("doc_id", "text_id", "at")
-
-
-def _without(text: str, cuts: list[int]) -> tuple[str, int, int]:
-    """Text without the repeated words, number of sentences, number of those that lost words."""
-    breaks = [m.start() for m in _BREAK.finditer(text)]
-    spans = [m.span() for m in _WORD.finditer(text)] if cuts else []
-    gone = np.zeros(len(spans) + 2, bool)
-    for at in cuts:
-        gone[at + 1 : at + RUN + 1] = True
-    # The words first to last - 1 of every row of repeated ones.
+def _place() -> Column:
+    """Ids first, null last; within an id by text, within a text by place."""
+    return F.struct("none", "doc", "text_id", "at")
+
+
+def _without(text: str, cuts: list[int], spans: Spans) -> tuple[str, int, int]:
+    """Text without the sentences of the spans that begin at ``cuts``, and numbers of sentences."""
+    split, line_ends = words(text)
+    marks = np.fromiter(map(spans.known.__getitem__, split), np.uint64, len(split))
+    ends = sentence_ends(marks, line_ends)
+    if not cuts:
+        return text, len(ends), 0
+    _, starts, stops = spans.of(text)
+    gone = np.zeros(len(split) + 2, bool)
+    for at in np.searchsorted(starts, np.array(sorted(cuts))):
+        gone[starts[at] + 1 : stops[at] + 1] = True
+    places = [m.span() for m in (_WORD if _SCRIPT.search(text) else _PLAIN).finditer(text)]
     steps = np.flatnonzero(np.diff(gone))
-    rows = [(a, b) for a, b in zip(steps[::2].tolist(), steps[1::2].tolist()) if b - a >= MIN_WORDS]
-    if not rows:
-        return text, len(breaks) + 1, 0
-    kept, at, lost = [], 0, set()
-    for first, last in rows:
-        kept.append(text[at : spans[first][0]])
-        at = spans[last][0] if last < len(spans) else len(text)
-        low, high = np.searchsorted(breaks, [spans[first][0], spans[last - 1][1] - 1], side="right")
-        lost.update(range(low, high + 1))
-    return ("".join(kept) + text[at:]).rstrip(), len(breaks) + 1, len(lost)
+    kept, at = [], 0
+    for first, last in zip(steps[::2].tolist(), steps[1::2].tolist()):
+        kept.append(text[at : places[first][0]])
+        at = places[last][0] if last < len(places) else len(text)
+    return ("".join(kept) + text[at:]).rstrip(), len(ends), int(gone[ends].sum())
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with repeated passages cut: doc_id, text, n_sentences, n_removed.
-
-    The first occurrence is the one with the smallest id (null ids last), then
-    the first in the text; it stays. Rows that repeat id and text are one
-    document and come out alike. ``n_removed`` counts the sentences that lost
-    words. Null texts stay null, empty ones empty, with no sentences. An exact
-    copy of a document of ``MIN_WORDS`` words loses all its text. Words of
-    scripts without spaces are their characters. Other columns are not returned.
+    """Every row of ``docs`` without repeated sentences: doc_id, text, n_sentences, n_removed.
+
+    A sentence goes if it lies in a span that occurred before. The first occurrence
+    is the one with the smallest id (null ids last), then the first in the text;
+    it stays. Rows that repeat id and text are one document and come out alike.
+    Null texts stay null, empty ones empty, with no sentences. Texts of fewer than
+    ``SPAN_WORDS`` words lose nothing. Words of scripts without spaces are their
+    characters. An empty table gives no rows; other columns are not returned.
     """
     prepare(docs.sparkSession)
-    hits = stored(_repeated(runs(docs)), "run-hits")
-    border = stored(_border_runs(docs, hits), "border-runs")
-    places = hits.filter("later").select("doc_id", "text_id", "at").unionByName(_later(border))
+    again = stored(_again(docs), "spans-again")
+    shard = bloom.build(again).get(0)
+    places = stored(_places(docs, shard), "span-places")
+    first = places.groupBy("span").agg(F.min(_place()).alias("origin"), F.max(_place()).alias("last")).filter("origin < last")
+    later = places.join(first.select(F.col("span").alias("s"), "origin"), F.col("span") == F.col("s")).filter(_place() != F.col("origin"))
     cuts = stored(
-        places.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set("at")).alias("cuts")), "run-cuts"
-    )
-    joined = _with(docs, cuts, "left").select("doc_id", "text", "cuts")
+        later.groupBy("none", "doc", "text_id").agg(F.collect_set("at").alias("cuts")), "span-cuts"
+    ).withColumnsRenamed({"none": "x", "doc": "d", "text_id": "t"})
+    same = (F.col("none") == F.col("x")) & (F.col("doc") == F.col("d")) & (F.col("text_id") == F.col("t"))
+    joined = _keyed(docs, "doc_id").join(cuts, same, "left").select("doc_id", "text", "cuts")
     schema = pa.schema(
         [("doc_id", pa.int64()), ("text", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64())]
     )
 
     def result(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        spans = Spans()
         for part in parts:
             for doc, text, found in zip(*part.columns, strict=True):
                 doc, text = doc.as_py(), text.as_py()
-                if not text:
-                    yield doc, text, 0, 0
-                    continue
-                yield (doc, *_without(text, found.as_py() or []))
+                yield (doc, *_without(text, found.as_py() or [], spans)) if text else (doc, text, 0, 0)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(result(parts), schema)

@@ -57,12 +57,12 @@ def test_repeated_passages_go_but_the_first(spark):
     assert substrings.deduplicate(frame(spark, [])).collect() == []
 
 
-def test_passages_spliced_at_any_word_go_whole(spark):
+def test_passages_spliced_at_any_word_go(spark):
     """51 words without marks, between and within sentences, with and without spaces."""
     rng = random.Random(8)
     own = lambda n: [rng.choice(WORDS) + rng.choice(["", "", "", ",", "."]) for _ in range(n)]
     signs = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(60))
-    rows, expected = [], {}
+    rows, expected, parts = [], {}, {}
     for k in range(40):
         passage = own(51)
         if k % 2:
@@ -72,42 +72,71 @@ def test_passages_spliced_at_any_word_go_whole(spark):
             before.append(f"b{k}x{c}")
             behind[0] = f"e{k}x{c}"
             rows.append((10 * k + c, " ".join(before + passage + behind)))
-            expected[10 * k + c] = rows[-1][1] if c == 0 else " ".join(before + behind)
+            expected[10 * k + c], parts[10 * k + c] = c == 0, (before, passage, behind)
     for c in range(2):
         edge = "甲乙丙丁"[2 * c : 2 * c + 2]
         rows.append((900 + c, edge[0] + signs + edge[1]))
-    expected |= {900: rows[-2][1], 901: "丙丁"}
-    found = substrings.deduplicate(frame(spark, rows)).collect()
-    assert {r["doc_id"]: r["text"] for r in found} == expected
-
-
-def test_every_repeated_row_of_words_goes(spark):
-    """Near copies: comparing every row of words with every other finds nothing more."""
+        expected[900 + c], parts[900 + c] = c == 0, ([edge[0]], list(signs), [edge[1]])
+    found = {r["doc_id"]: r["text"] for r in substrings.deduplicate(frame(spark, rows)).collect()}
+    lost = []
+    for doc, (before, passage, behind) in parts.items():
+        kept = substrings.words(found[doc])[0]
+        assert kept[: len(before)] == before and kept[len(kept) - len(behind) :] == behind
+        left = kept[len(before) : len(kept) - len(behind)]
+        if expected[doc]:
+            assert left == passage
+            continue
+        # Only words of the sentences that the passage begins and ends within stay.
+        head = next(i for i in range(len(left) + 1) if i == len(left) or left[i] != passage[i])
+        assert left[head:] == passage[len(passage) - len(left) + head :]
+        lost.append(len(left))
+    assert max(lost) < 30 and np.mean(lost) < 9
+
+
+def spans_of(text):
+    """(words, sentences as (first, end)) by the rule, word by word."""
+    import xxhash
+
+    words, ends = [], set()
+    for line in text.split("\n"):
+        words += line.split()
+        ends.add(len(words))
+    marks = [xxhash.xxh3_64_intdigest(w.lower()) // 2 * 2 + (w[-1] in substrings.MARKS) for w in words]
+    for i, m in enumerate(marks):
+        others = [marks[j] for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(marks)]
+        if m % 2 or (len(others) == 4 and m < min(others)):
+            ends.add(i + 1)
+    ends = sorted(ends - {0})
+    return words, list(zip([0, *ends[:-1]], ends))
+
+
+def test_sentence_spans_equal_a_comparison_of_all_runs(spark):
+    """Every run of whole sentences, as words, in the order of the documents."""
     rng = random.Random(9)
-    rows = []
-    for _ in range(12):
-        words = [rng.choice(WORDS) for _ in range(rng.choice([29, 30, 31, 80, 200]))]
-        for _ in range(4):
-            changed = list(words)
-            for _ in range(len(words) // 45):
-                changed[rng.randrange(len(words))] = rng.choice(WORDS)
-            rows.append((len(rows), " ".join(changed)))
-    seen, expected = set(), {}
+    rows, stock = [], [[rng.choice(WORDS) + rng.choice(["", "", "", "", ".", ",", "\n"]) for _ in range(40)] for _ in range(12)]
+    for doc in range(90):
+        body = []
+        for _ in range(rng.randrange(6)):
+            part = rng.choice(stock)
+            low = rng.randrange(len(part))
+            body += part[low : low + rng.randrange(60)] if rng.random() < 0.7 else [rng.choice(WORDS) for _ in range(rng.randrange(30))]
+        rows.append((doc, " ".join(body).upper() if doc % 7 == 0 else " ".join(body)))
+    seen, expected = set(), []
     for doc, text in rows:
-        words = text.split()
+        words, sentences = spans_of(text)
         gone = [False] * len(words)
-        for at in range(len(words) - substrings.MIN_WORDS + 1):
-            row = tuple(words[at : at + substrings.MIN_WORDS])
-            if row in seen:
-                gone[at : at + substrings.MIN_WORDS] = [True] * substrings.MIN_WORDS
-            seen.add(row)
-        expected[doc] = {at for at, g in enumerate(gone) if g}
-    for r in substrings.deduplicate(frame(spark, rows)).collect():
-        left = r["text"].split()
-        kept = [w for at, w in enumerate(rows[r["doc_id"]][1].split()) if at not in expected[r["doc_id"]]]
-        rest = iter(kept)
-        # Every row of MIN_WORDS that occurred before is gone; shorter ones that touch it may go too.
-        assert all(w in rest for w in left), r["doc_id"]
+        for k, (first, _) in enumerate(sentences):
+            end = next((e for _, e in sentences[k:] if e - first >= substrings.SPAN_WORDS), None)
+            if end is not None:
+                span = tuple(w.lower() for w in words[first:end])
+                if span in seen:
+                    gone[first:end] = [True] * (end - first)
+                seen.add(span)
+        kept = [w for w, g in zip(words, gone) if not g]
+        expected.append((doc, kept, len(sentences), sum(gone[e - 1] for _, e in sentences)))
+    found = substrings.deduplicate(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"].split(), r["n_sentences"], r["n_removed"]) for r in found) == expected
+    assert sum(n for *_, n in expected) > 200
 
 
 def linked(rows, k, percent):
