@@ -32,8 +32,8 @@ SEGMENT = 16 * WINDOW
 SHARD = 512 * WINDOW
 #: Pieces of one shard, should they be very short.
 SHARD_PIECES = 8192
-#: Distinct words whose ids a task remembers.
-REMEMBERED = 500_000
+#: Distinct parts of words whose ids a worker remembers.
+REMEMBERED = 1_000_000
 #: One piece in so many is looked at to balance shards.
 ESTIMATED = 16
 K1, B = 1.2, 0.75
@@ -56,13 +56,30 @@ _PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETT
 _PLAIN = re.compile("[\t-\r -~\xa1-\xff]*")
 
 
+class Parts(dict):
+    """Ids of a part by the tokenizer's own model, remembered."""
+
+    def __init__(self, tokenizer: object) -> None:
+        super().__init__()
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.model = tokenizer.model
+        self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+
+    def __missing__(self, part: str) -> bytes:
+        spelled = part if part.isascii() else self.as_bytes(part)[0][0]
+        value = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        # What came first stays: frequent parts are among it.
+        if len(self) < REMEMBERED:
+            self[part] = value
+        return value
+
+
 class Encoder:
     """Token ids of whole texts, for the tokenizer whose parts ``_PART`` names.
 
     The parts of a text are encoded one by one whatever stands beside them, and
-    come again and again, so their ids are remembered. New parts go to the
-    tokenizer in one text, with a digit between them that none of them holds.
-    The memory is bounded.
+    come again and again, so their ids are remembered, within a bound.
     """
 
     def __init__(self, path: str) -> None:
@@ -73,53 +90,25 @@ class Encoder:
         # A Python worker runs many tasks; what it has learned outlives each of them.
         kept = sys.modules.setdefault("hearthline_worker", ModuleType("hearthline_worker")).__dict__
         if path not in kept:
-            kept[path] = (Tokenizer.from_file(path), {})
+            tokenizer = Tokenizer.from_file(path)
+            kept[path] = (tokenizer, Parts(tokenizer))
         self.tokenizer, self.known = kept[path]
-        (self.between,) = self.encoded("0")
         # Only a tokenizer that parts text in this way may be given parts.
-        sample = "ab'll c9\xb2 \xdf\xe9.,'s"
-        parts = [i for part in _PART.findall(sample) for i in self.encoded(part)]
-        self.by_parts = parts == self.encoded(sample) and self.encoded("A\xc9") == self.encoded("a\xe9")
+        sample = "AB'll c9\xb2 \xdf\xc9.,'s"
+        self.by_parts = self.joined(sample) == np.array(self.encoded(sample), "<u4").tobytes()
 
     def encoded(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn(self, parts: list[str]) -> None:
-        """Remember the ids of new parts."""
-        digits = [p for p in parts if p[0].isnumeric()]
-        for part in digits:
-            self.known[part] = np.array(self.encoded(part), "<u4").tobytes()
-        others = [p for p in parts if not p[0].isnumeric()]
-        for start in range(0, len(others), 8192):
-            some = others[start : start + 8192]
-            ids = np.array(self.encoded(" 0 ".join(some)), "<u4")
-            ends = np.append(np.flatnonzero(ids == self.between), len(ids))
-            if len(ends) != len(some):
-                raise ValueError("parts are not encoded one by one")
-            at = 0
-            for part, end in zip(some, ends.tolist()):
-                self.known[part] = ids[at:end].tobytes()
-                at = end + 1
-
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text, ``END_ID`` appended."""
-        plain = [self.by_parts and "<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts]
-        parted = [_PART.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
-        known = self.known
-        every = set().union(*parted)
-        new = [w for w in every if w not in known]
-        self.learn(new)
-        end = np.array([END_ID], "<u4").tobytes()
-        for text, parts, fast in zip(texts, parted, plain):
-            if fast:
-                yield np.frombuffer(b"".join(map(known.__getitem__, parts)) + end, "<u4")
-            else:
-                # Lone surrogates cannot reach the tokenizer; Spark's strings hold none.
-                yield np.array([*self.encoded(text.encode("utf-8", "replace").decode()), END_ID], "<u4")
-        # What came first stays: frequent words are among it.
-        if len(known) > REMEMBERED:
-            for part in new:
-                del known[part]
+    def joined(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, _PART.findall(text.lower())))
+
+    def __call__(self, text: str) -> np.ndarray:
+        """Ids of the text, ``END_ID`` appended."""
+        if self.by_parts and "<|" not in text and _PLAIN.fullmatch(text):
+            return np.append(np.frombuffer(self.joined(text), "<u4"), np.uint32(END_ID))
+        # Lone surrogates cannot reach the tokenizer; Spark's strings hold none.
+        return np.array([*self.encoded(text.encode("utf-8", "replace").decode()), END_ID], "<u4")
 
 
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -131,8 +120,8 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         encode = Encoder(tokenizer)
         for part in parts:
-            found = encode(list(texts(part.column(1))))
-            for doc, ids in zip(part.column(0).to_pylist(), found, strict=True):
+            for doc, text in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
+                ids = encode(text)
                 if ids.max() >= VOCABULARY:
                     raise ValueError("token ids beyond two bytes")
                 for start in range(0, len(ids), SEGMENT):

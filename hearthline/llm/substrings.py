@@ -52,9 +52,18 @@ class Marks(dict):
         return value
 
 
+def _alone(text: str) -> bool:
+    """Whether a text has characters that stand alone; none of the first 256 does."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _SCRIPT.search(text) is not None
+    return False
+
+
 def words(text: str) -> tuple[list[str], list[int]]:
     """The words of a text, as they stand, and the number of words up to each line end."""
-    split = str.split if text.isascii() or not _SCRIPT.search(text) else _WORD.findall
+    split = _WORD.findall if _alone(text) else str.split
     out: list[str] = []
     ends = []
     for line in text.split("\n"):
@@ -82,18 +91,26 @@ class Spans:
         self.known = Marks()
         self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first word, end) of the span from each sentence on, as far as there are any."""
+    def sentences(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(marks of the words, number of words up to the end of each sentence)."""
         split, line_ends = words(text)
-        if len(split) < SPAN_WORDS:
-            none = np.zeros(0, np.int64)
-            return none.view(np.uint64), none, none
         marks = np.fromiter(map(self.known.__getitem__, split), np.uint64, len(split))
-        ends = sentence_ends(marks, line_ends)
-        starts = np.concatenate([[0], ends[:-1]])
-        place = np.searchsorted(ends, starts + SPAN_WORDS)
-        starts = starts[place < len(ends)]
-        stops = ends[place[place < len(ends)]]
+        return marks, sentence_ends(marks, line_ends)
+
+    @staticmethod
+    def places(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, end) of the span from each sentence on, as far as there are any."""
+        starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
+        last = np.searchsorted(ends, starts + SPAN_WORDS)
+        found = last < len(ends)
+        return starts[found], ends[last[found]]
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, first word) of the span from each sentence on."""
+        marks, ends = self.sentences(text)
+        if len(marks) < SPAN_WORDS:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        starts, stops = self.places(ends)
         if len(self.power) <= len(marks):
             size = 2 * len(marks) + 1
             self.power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, _ODD)]))
@@ -103,7 +120,7 @@ class Spans:
         prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((mixed ^ (mixed >> np.uint64(32))) * self.power[: len(marks)])])
         value = (prefix[stops] - prefix[starts]) * self.inverse[starts] + (stops - starts).astype(np.uint64)
         value = (value ^ (value >> np.uint64(31))) * _ODD
-        return value ^ (value >> np.uint64(30)), starts, stops
+        return value ^ (value >> np.uint64(30)), starts
 
 
 def _again(docs: DataFrame) -> DataFrame:
@@ -131,7 +148,7 @@ def _places(docs: DataFrame, again: np.ndarray | None) -> DataFrame:
         for part in parts:
             which, at, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for i, text in enumerate(texts(part.column(3))):
-                value, start, _ = spans.of(text)
+                value, start = spans.of(text)
                 keep = bloom.held(shared.value, value)
                 which.append(np.full(int(keep.sum()), i))
                 at.append(start[keep])
@@ -169,16 +186,14 @@ def _place() -> Column:
 
 def _without(text: str, cuts: list[int], spans: Spans) -> tuple[str, int, int]:
     """Text without the sentences of the spans that begin at ``cuts``, and numbers of sentences."""
-    split, line_ends = words(text)
-    marks = np.fromiter(map(spans.known.__getitem__, split), np.uint64, len(split))
-    ends = sentence_ends(marks, line_ends)
+    marks, ends = spans.sentences(text)
     if not cuts:
         return text, len(ends), 0
-    _, starts, stops = spans.of(text)
-    gone = np.zeros(len(split) + 2, bool)
+    starts, stops = spans.places(ends)
+    gone = np.zeros(len(marks) + 2, bool)
     for at in np.searchsorted(starts, np.array(sorted(cuts))):
         gone[starts[at] + 1 : stops[at] + 1] = True
-    places = [m.span() for m in (_WORD if _SCRIPT.search(text) else _PLAIN).finditer(text)]
+    places = [m.span() for m in (_WORD if _alone(text) else _PLAIN).finditer(text)]
     steps = np.flatnonzero(np.diff(gone))
     kept, at = [], 0
     for first, last in zip(steps[::2].tolist(), steps[1::2].tolist()):
@@ -202,7 +217,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     shard = bloom.build(again).get(0)
     places = stored(_places(docs, shard), "span-places")
     first = places.groupBy("span").agg(F.min(_place()).alias("origin"), F.max(_place()).alias("last")).filter("origin < last")
-    later = places.join(first.select(F.col("span").alias("s"), "origin"), F.col("span") == F.col("s")).filter(_place() != F.col("origin"))
+    # Stored, so that the join deals both sides anew and can split a span that very many texts share.
+    first = stored(first.select(F.col("span").alias("s"), "origin"), "span-firsts")
+    later = places.join(first, F.col("span") == F.col("s")).filter(_place() != F.col("origin"))
     cuts = stored(
         later.groupBy("none", "doc", "text_id").agg(F.collect_set("at").alias("cuts")), "span-cuts"
     ).withColumnsRenamed({"none": "x", "doc": "d", "text_id": "t"})

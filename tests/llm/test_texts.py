@@ -309,7 +309,8 @@ def test_ids_equal_those_of_whole_texts():
     signs = [chr(c) for c in range(9, 14)] + [chr(c) for c in range(32, 256)] + ["'s", "'LL", "İ", "e\u0301", "一", "\u2028", "\u00a0", "<|", "\x1f", "ǅ"]
     texts = ["".join(rng.choice(signs[: rng.choice([230, len(signs)])]) for _ in range(rng.randrange(60))) for _ in range(3000)]
     texts += [prose(rng, 30), "", " ", "ÀÉ'S 12²½ª", "<|endoftext|> x"]
-    for text, ids in zip(texts, encode(texts), strict=True):
+    for text in texts:
+        ids = encode(text)
         assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
