@@ -7,6 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of the frame has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def round_to(value: Column, digits: int) -> Column:
     """Round half away from zero on the scaled value, as SQL engines do for doubles."""
     scale = float(10**digits)

@@ -321,6 +321,20 @@ def band_suffix(band: float) -> str:
     return f"{int(band * 100):03d}"
 
 
+def band_suffixes(bands: tuple[float, ...]) -> dict[float, str]:
+    """Suffix of each band; where truncation makes some equal, these get all their digits.
+
+    0.28 and 0.29 (0.28999… in binary) become 0280 and 0290, 0.105 stays 010
+    unless 0.10 is asked for too.
+    """
+    short = [band_suffix(b) for b in bands]
+    digits = max((len(repr(float(b)).partition(".")[2]) for b in bands), default=2)
+    return {
+        b: s if short.count(s) == 1 else f"{round(b * 10 ** max(3, digits)):0{max(3, digits) + 1}d}"
+        for b, s in zip(bands, short)
+    }
+
+
 def build_near_threshold_timeseries(
     master: DataFrame, bands: tuple[float, ...] = MASTER_BANDS, freq: str = WEEKLY
 ) -> DataFrame:
@@ -332,8 +346,7 @@ def build_near_threshold_timeseries(
     step = step_days(freq)
     dist = F.col("dist")
     series = [(F.lit(True), "total")]
-    for b in bands:
-        sfx = band_suffix(b)
+    for b, sfx in band_suffixes(tuple(dict.fromkeys(bands))).items():
         series += [
             (F.abs(dist) <= b, sfx),
             ((dist >= -b) & (dist < 0), f"{sfx}_neg"),

@@ -9,14 +9,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hearthline.functions.columns import unused
+
 
 def keep_one(df: DataFrame, keys: list, order: list[Column]) -> DataFrame:
     """First row per key in the given order; a null key is a key of its own."""
     pick = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_pick", F.row_number().over(pick)).where("_pick = 1").drop("_pick")
+    (number,) = unused(df, "_pick")
+    return df.withColumn(number, F.row_number().over(pick)).where(F.col(number) == 1).drop(number)
 
 
 def keep_one_keep_null(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """As :func:`keep_one`, but rows without a key are all kept, each a group of its own."""
     alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
-    return keep_one(df.withColumn("_alone", alone), [key, "_alone"], order).drop("_alone")
+    (own,) = unused(df, "_alone")
+    return keep_one(df.withColumn(own, alone), [key, own], order).drop(own)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthline.functions.columns import category_values, last_value, same, sequence_key, truth
+from hearthline.functions.columns import category_values, last_value, month_start, same, sequence_key, truth, unused
 from hearthline.schema import MASTER_BANDS, PROGRAMME_THRESHOLDS, UNCLASSIFIED
 
 
@@ -83,8 +83,11 @@ def build_programme_frame(master: DataFrame, programme: str) -> DataFrame:
 def build_beneficiary_events(master: DataFrame, beneficiaries: DataFrame) -> DataFrame:
     """Events with every earlier beneficiary record of the household.
 
-    Records are joined first and later ones dropped afterwards: an event of a
-    household that has only later records disappears, one without any stays.
+    An event of a household that has only later records disappears, one of a
+    household without any stays. Records lie in months; an event names the months
+    of its household's records up to its own and meets only the records of these,
+    so later records are never paired and a household with very many records is
+    dealt out by month.
     """
     renamed = {
         "partner_id": "beneficiaire_partner_id",
@@ -101,11 +104,29 @@ def build_beneficiary_events(master: DataFrame, beneficiaries: DataFrame) -> Dat
         for c in beneficiaries.columns
         if c != "menage_ano"
     ]
-    joined = left.join(right, same(left, right, ["menage_ano"]), "left").select("m.*", *kept)
     if "date_insert" not in beneficiaries.columns or "date_calcul" not in master.columns:
-        return joined
-    inserted = F.col("beneficiaire_date_insert")
-    return joined.where(inserted.isNull() | (inserted <= F.col("date_calcul")))
+        return left.join(right, same(left, right, ["menage_ano"]), "left").select("m.*", *kept)
+    # Records without a date belong to every event; they have a month of their own.
+    undated = F.lit("0001-01-01").cast("date")
+    month, event = unused(beneficiaries, "_month", "_event")
+    dated = beneficiaries.withColumn(month, F.coalesce(month_start(F.col("date_insert")).cast("date"), undated)).alias("b")
+    months = beneficiaries.groupBy("menage_ano").agg(
+        F.collect_set(F.coalesce(month_start(F.col("date_insert")).cast("date"), undated)).alias("months")
+    ).alias("n")
+    known = left.join(months, same(left, months, ["menage_ano"]), "left")
+    whole = F.struct("m.*").alias(event)
+    reached = F.filter("n.months", lambda x: (x == undated) | (x <= F.col("m.date_calcul").cast("date")))
+    alone = known.where(F.col("n.months").isNull()).select(whole)
+    met = known.where(F.col("n.months").isNotNull()).select(whole, F.explode(reached).alias("reached")).alias("e")
+    inserted = F.col("b.date_insert")
+    paired = met.join(
+        dated,
+        F.col(f"e.{event}.menage_ano").eqNullSafe(F.col("b.menage_ano"))
+        & (F.col("e.reached") == F.col(f"b.`{month}`"))
+        & (inserted.isNull() | (inserted <= F.col(f"e.{event}.date_calcul"))),
+    ).select(f"e.{event}", *kept)
+    both = paired.unionByName(alone, allowMissingColumns=True)
+    return both.select(f"{event}.*", *[F.col(f"`{c}`") for c in both.columns if c != event])
 
 
 def build_pivot_wide(

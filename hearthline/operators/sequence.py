@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hearthline.functions.columns import unused
+
 
 def with_previous(
     df: DataFrame,
@@ -21,23 +23,22 @@ def with_previous(
     of its key, each of which contributes a single row. A key that holds a large
     share of all rows is thus spread over as many tasks as it has hours.
     """
-    hour = [F.col(date).cast("date").alias("_day"), F.hour(F.col(date)).alias("_hour")]
+    day, hour, at, closing = helpers = unused(df, "_day", "_hour", "_at", "_closing")
+    clock = [F.col(date).cast("date").alias(day), F.hour(F.col(date)).alias(hour)]
     order = [F.col(date).asc_nulls_last(), *[F.col(t).asc_nulls_last() for t in ties]]
-    inside = Window.partitionBy(*keys, "_day", "_hour").orderBy(*order)
+    inside = Window.partitionBy(*keys, day, hour).orderBy(*order)
     whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     row = F.struct(*[F.col(f"`{v}`") for v in values])
-    cut = df.select("*", *hour).select(
+    cut = df.select("*", *clock).select(
         "*",
-        F.row_number().over(inside).alias("_at"),
+        F.row_number().over(inside).alias(at),
         F.lag(row).over(inside).alias(name),
-        F.last(row).over(whole).alias("_closing"),
-    )
-    follow = cut.where("_at > 1")
-    across = Window.partitionBy(*keys).orderBy(
-        F.col("_day").asc_nulls_last(), F.col("_hour").asc_nulls_last()
+        F.last(row).over(whole).alias(closing),
     )
-    lead = cut.where("_at = 1").withColumn(name, F.lag("_closing").over(across))
-    return follow.unionByName(lead).drop("_day", "_hour", "_at", "_closing")
+    follow = cut.where(F.col(at) > 1)
+    across = Window.partitionBy(*keys).orderBy(F.col(day).asc_nulls_last(), F.col(hour).asc_nulls_last())
+    lead = cut.where(F.col(at) == 1).withColumn(name, F.lag(closing).over(across))
+    return follow.unionByName(lead).drop(*helpers)
 
 
 def running_total(value: Column, groups: list[str], order: str) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,9 +11,11 @@ from hearthline.functions.columns import round_to
 from hearthline.functions.textrepair import repair_frame
 from hearthline.operators import asof, demography, flows, history, master, quality, stats
 from hearthline.operators.dedup import keep_one
+from hearthline.plans import job
 from hearthline.plans.calculations import run_aggregations, run_calculations
 from hearthline.schema import (
     BENEFICIARY_TYPES,
+    MAX_SCORE,
     PROGRAMMES,
     SCORE_TYPES,
 )
@@ -276,6 +278,27 @@ def load_csv_missing_words(r: Registry) -> DataFrame:
     return csv.load_beneficiaries(r.spark, path).select(*BENEFICIARY_TYPES)
 
 
+def parquet_scores(r: Registry) -> DataFrame:
+    """Scores that are stored as Parquet reach the job as they are."""
+    path = working_path(r.spark, "scores") + ".parquet"
+    tables.score_rows(r.spark, r.folder).write.parquet(path)
+    return job.read_scores(r.spark, [path], [], MAX_SCORE)[1]
+
+
+def job_snapshots(r: Registry) -> DataFrame:
+    """Rows of snapshots that the whole job writes from CSV files."""
+    sources = job.Sources(
+        scores=[r.stored_csv(tables.score_rows(r.spark, r.folder), "job-scores")],
+        households=r.stored_csv(r.households, "job-menage"),
+        programmes=r.stored_csv(r.programmes, "job-programmes"),
+        beneficiaries=r.stored_csv(r.beneficiaries, "job-benef"),
+    )
+    frames = job.run_job(r.spark, sources, working_path(r.spark, "job"), profile="dashboard")
+    names = ["raw_menage", "raw_programmes", "raw_beneficiaire", "master_events", "delta_frame", "churn_timeline"]
+    counted = [frames[n].agg(F.count("*").alias("lignes")).select(F.lit(n).alias("fichier"), "lignes") for n in names]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def frame_map_load(r: Registry) -> DataFrame:
     frames = snapshots.load_frames(
         r.spark, {"orders": f"{r.folder}/orders.parquet", "menage": r.households}
@@ -451,6 +474,8 @@ BUILDERS: dict[str, Callable[[Registry], DataFrame]] = {
     "load_csv_line_breaks": load_csv_line_breaks,
     "load_csv_missing_words": load_csv_missing_words,
     "load_csv_stray_quotes": load_csv_stray_quotes,
+    "parquet_scores": parquet_scores,
+    "job_snapshots": job_snapshots,
     "load_households": load_households,
     "load_scores": load_scores,
     "score_postprocess": lambda r: r.scores,

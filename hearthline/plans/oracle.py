@@ -496,6 +496,16 @@ _QUERIES: dict[str, tuple[str, str]] = {
         r"SELECT doc_id, md5(regexp_replace(text, '[\r\n]+', ' ', 'g')) AS digest FROM documents",
     ),
     "load_csv_line_breaks": ("", "SELECT doc_id, md5(text) AS digest FROM documents"),
+    "parquet_scores": ("score_rows", "SELECT * FROM score_rows"),
+    "job_snapshots": (
+        "menage programmes benef master delta churn",
+        """SELECT 'raw_menage' AS fichier, COUNT(*) AS lignes FROM menage
+        UNION ALL SELECT 'raw_programmes', COUNT(*) FROM programmes
+        UNION ALL SELECT 'raw_beneficiaire', COUNT(*) FROM benef
+        UNION ALL SELECT 'master_events', COUNT(*) FROM master
+        UNION ALL SELECT 'delta_frame', COUNT(*) FROM delta
+        UNION ALL SELECT 'churn_timeline', COUNT(*) FROM churn""",
+    ),
     "load_csv_stray_quotes": (
         "benef",
         """SELECT menage_ano, partner_id, date_insert, CASE menage_ano % 4 WHEN 0 THEN 'dit "' || motif || '"'

@@ -195,3 +195,9 @@ def test_no_dated_events_gives_no_rows(spark):
     frame = master.add_threshold_flags(events(spark, rows))
     assert asof.build_score_timeseries(frame).count() == 0
     assert asof.build_near_threshold_timeseries(frame).count() == 0
+
+
+def test_bands_that_truncate_alike_have_columns_of_their_own():
+    assert asof.band_suffixes((0.10, 0.25, 0.50)) == {0.10: "010", 0.25: "025", 0.50: "050"}
+    assert asof.band_suffixes((0.28, 0.29)) == {0.28: "0280", 0.29: "0290"}
+    assert asof.band_suffixes((0.1, 0.105, 1.0)) == {0.1: "0100", 0.105: "0105", 1.0: "100"}

@@ -110,6 +110,24 @@ def test_beneficiary_records_after_the_event_drop_it(spark):
     assert sorted(r["menage_ano"] for r in found) == [1, 1, 3]
 
 
+def test_household_with_very_many_records_is_dealt_by_month(spark):
+    """Every event with each earlier record and no other; records without a date always count."""
+    frame = events(spark, [(1, "AMOT", f"2025-{m:02}-15", m, "a", 9.0) for m in range(1, 13)] + [
+        (None, "AMOT", "2025-03-01", 90, "a", 9.0), (1, "AMOT", None, 91, "a", 9.0), (4, "AMOT", None, 92, "a", 9.0)])
+    records = [(1, "P", day(f"2025-{m:02}-{d:02}")) for m in range(1, 13) for d in (1, 15, 16, 28)]
+    records += [(1, "U", None), (None, "N", day("2025-01-01")), (None, "N", day("2026-01-01"))]
+    table = spark.createDataFrame(records, "menage_ano long, partner_id string, date_insert timestamp_ntz")
+    built = master.build_beneficiary_events(frame, table)
+    found = sorted((r["score_id_ano"], str(r["beneficiaire_date_insert"])) for r in built.collect())
+    expected = []
+    for e in frame.collect():
+        own = [d for h, _, d in records if h == e["menage_ano"]]
+        for d in own or [None]:
+            if d is None or (e["date_calcul"] is not None and d <= e["date_calcul"]):
+                expected.append((e["score_id_ano"], str(d)))
+    assert found == sorted(expected)
+
+
 def test_pivot_functions_and_unknown_types(spark):
     frame = events(spark, [(1, "AMOT", "2025-01-01", 1, "x", 9.0), (1, "AMOT", "2025-01-02", 2, "x", 7.0),
                            (1, "AMOT", "2025-01-03", 3, "y", None)])

@@ -269,3 +269,13 @@ def test_header_names(spark, tmp_path):
     names = csv._header_names('﻿a,"b, c",a,,é\r\n'.encode(), ",")
     assert names == ("a", "b, c", "a.1", "Unnamed: 3", "é")
     assert csv._header_names("région,x".encode("cp1252"), ",") == ("région", "x")
+
+
+def test_helper_columns_do_not_hide_those_of_the_user(spark):
+    from hearthline.operators.dedup import keep_one, keep_one_keep_null
+
+    frame = spark.createDataFrame([(1, "a", "p", "q"), (1, "b", "p", "q"), (None, "c", "p", "q")], "id int, v string, _pick string, _alone string")
+    for kept in (keep_one(frame, ["id"], [F.col("v")]), keep_one_keep_null(frame, "id", [F.col("v")])):
+        assert kept.columns == frame.columns
+        assert sorted(r["v"] for r in kept.collect()) == ["a", "c"]
+        assert {(r["_pick"], r["_alone"]) for r in kept.collect()} == {("p", "q")}
