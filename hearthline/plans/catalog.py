@@ -282,7 +282,7 @@ def parquet_scores(r: Registry) -> DataFrame:
     """Scores that are stored as Parquet reach the job as they are."""
     path = working_path(r.spark, "scores") + ".parquet"
     tables.score_rows(r.spark, r.folder).write.parquet(path)
-    return job.read_scores(r.spark, [path], [], MAX_SCORE)[1]
+    return job.read_scores(r.spark, [path], MAX_SCORE, working_path(r.spark, "scores-work"))[1]
 
 
 def job_snapshots(r: Registry) -> DataFrame:

@@ -117,13 +117,23 @@ class ParsedSources:
 
 
 def read_scores(
-    spark: SparkSession, paths: list[str], texts: list[DataFrame], max_score: float
+    spark: SparkSession,
+    paths: list[str],
+    max_score: float,
+    work: str,
+    multi_line: bool = False,
+    texts: list[DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Score rows as read, and cleaned; Parquet scores are taken as they are.
 
     With several files, or Parquet and CSV paths together, the latest version of
-    an id counts.
+    an id counts. ``texts`` are the text tables of the CSV paths where these are
+    parsed already; otherwise they are stored below ``work``.
     """
+    if texts is None:
+        aside = SnapshotWriter(spark, work)
+        parsed = [csv.parse(spark, p, multi_line=multi_line) for p in csv_paths(paths)]
+        texts = [csv.kept_records(aside.store(f"text_scores_{i}", t)) for i, t in enumerate(parsed)]
     stored = [p for p in paths if p not in csv_paths(paths)]
     parts = []
     if stored:
@@ -185,7 +195,7 @@ def run_job(
     else:
         raw_households = households = csv.empty_households(spark)
     households = out.store("raw_menage", households)
-    raw_scores, scores = read_scores(spark, sources.scores, parsed.kept("scores"), max_score)
+    raw_scores, scores = read_scores(spark, sources.scores, max_score, work, texts=parsed.kept("scores"))
     # the light profile has no score snapshot, but the cleaned scores are still needed twice
     scores = (out if full else aside).store("raw_scores", scores)
     programmes = out.store("raw_programmes", read_programmes(spark, sources, parsed.kept("programmes")))
