@@ -8,6 +8,7 @@ family; the votes of the machines decide, margins break ties.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -20,6 +21,8 @@ from hearthline.llm.features import has_letter, letter_counts, letter_vectors
 
 #: Documents that are learned from, in all; shared evenly between the languages.
 MAX_EXAMPLES = 2048
+#: Languages that can be learned; each further one is as many more machines.
+MAX_LANGUAGES = 128
 #: Passes over the examples of one machine and its regularisation.
 EPOCHS, REGULAR = 12, 1e-4
 UNDEFINED = "und"
@@ -58,23 +61,21 @@ def _machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+@dataclass
 class OneVersusOne:
-    """Votes of the machines of all pairs of classes."""
-
-    def __init__(self, x: np.ndarray, classes: list[str]) -> None:
-        self.names = sorted(set(classes))
-        label = np.array(classes)
-        self.pairs = list(combinations(range(len(self.names)), 2))
-        rows = []
-        for i, j in self.pairs:
-            own = (label == self.names[i]) | (label == self.names[j])
-            rows.append(_machine(x[own], np.where(label[own] == self.names[i], 1.0, -1.0)))
-        self.weights = np.array(rows).reshape(len(rows), x.shape[1] + 1)
+    """Votes of the machines of all pairs of classes; ``weights`` has a row per pair of ``names``."""
+
+    names: list[str]
+    weights: np.ndarray
+
+    @property
+    def pairs(self) -> list[tuple[int, int]]:
+        return list(combinations(range(len(self.names)), 2))
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the winning class and its confidence (0 to 1) per row."""
         n = len(x)
-        if not self.pairs:
+        if len(self.names) < 2:
             return np.zeros(n, int), np.ones(n)
         sure = 1 / (1 + np.exp(-4 * (x @ self.weights[:, :-1].T + self.weights[:, -1])))
         votes, support = np.zeros((n, len(self.names))), np.zeros((n, len(self.names)))
@@ -88,14 +89,30 @@ class OneVersusOne:
         return best, support[np.arange(n), best]
 
 
+def one_versus_one(x: np.ndarray, classes: list[str]) -> OneVersusOne:
+    """The machines of all pairs of the classes of the rows of ``x``."""
+    names, label = sorted(set(classes)), np.array(classes)
+    rows = []
+    for one, other in combinations(names, 2):
+        own = (label == one) | (label == other)
+        rows.append(_machine(x[own], np.where(label[own] == one, 1.0, -1.0)))
+    return OneVersusOne(names, np.array(rows).reshape(len(rows), x.shape[1] + 1))
+
+
+@dataclass
 class Model:
-    def __init__(self, x: np.ndarray, langs: list[str]) -> None:
-        families = [FAMILY_OF.get(code, code) for code in langs]
-        self.family = OneVersusOne(x, families)
-        self.within = {}
-        for name in self.family.names:
-            own = np.array([f == name for f in families])
-            self.within[name] = OneVersusOne(x[own], [c for c, f in zip(langs, own) if f])
+    """The machines between families, and those within each family."""
+
+    family: OneVersusOne
+    within: dict[str, OneVersusOne]
+
+    def plain(self) -> tuple:
+        """Lists and arrays only: a broadcast object would need its class on the executors' path."""
+        return vars(self.family), {name: vars(inner) for name, inner in self.within.items()}
+
+    @classmethod
+    def restored(cls, family: dict, within: dict[str, dict]) -> Model:
+        return cls(OneVersusOne(**family), {k: OneVersusOne(**v) for k, v in within.items()})
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         family, sure = self.family.predict(x)
@@ -111,32 +128,55 @@ class Model:
         return names, scores
 
 
-def train(docs: DataFrame, may_learn: Column) -> Model | None:
-    """Fit on at most ``MAX_EXAMPLES`` documents with a language and a text; None without any.
+def fit(x: np.ndarray, langs: list[str]) -> Model:
+    families = [FAMILY_OF.get(code, code) for code in langs]
+    family = one_versus_one(x, families)
+    within = {}
+    for name in family.names:
+        own = np.array([f == name for f in families])
+        within[name] = one_versus_one(x[own], [c for c, f in zip(langs, own) if f])
+    return Model(family, within)
+
+
+def examples(docs: DataFrame, may_learn: Column, max_languages: int = MAX_LANGUAGES) -> DataFrame:
+    """(lang, doc_id, text) that are learned from: ``MAX_EXAMPLES`` shared evenly, 16 a language at least.
 
-    Every language brings equally many, those with the smallest hashes of their
-    ids; rows of one id are one example.
+    Of each language the ids with the smallest hashes are taken. Rows of one id
+    and language are one example, the one with the smallest text. Rows without
+    an id, a language or a text are none. More than ``max_languages`` languages
+    are an error: none of them is left out.
     """
     usable = docs.select("doc_id", "lang", "text").filter(
-        may_learn & F.col("lang").isNotNull() & (F.length("text") > 0)
+        may_learn & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0)
     )
-    known = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # The most frequent codes, should a dirty column hold more than can be learned.
-    frequent = known.orderBy(F.desc("n"), "lang").limit(MAX_EXAMPLES // 16)
-    langs = [r["lang"] for r in frequent.collect()]
-    if not langs:
-        return None
-    each = max(MAX_EXAMPLES // len(langs), 16)
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    known = (
+        usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).limit(max_languages + 1).collect()
+    )
+    if len(known) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: clean the column or raise max_languages")
+    each = max(MAX_EXAMPLES // max(len(known), 1), 16)
+    # Where a language has very many ids, only the range of hashes that holds the
+    # smallest ones reaches the ordering: four times what is needed.
+    shares = docs.sparkSession.createDataFrame(
+        [(r["lang"], 4.0 * each / r["n"] if r["n"] > 4 * each else 1.0) for r in known], "lang string, share double"
+    )
+    place = (F.xxhash64("doc_id").cast("double") + 2.0**63) / 2.0**64
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (
-        usable.filter(F.col("lang").isin(langs))
+        usable.select("lang", "doc_id")
+        .join(F.broadcast(shares), "lang")
+        .filter(place <= F.col("share"))
         .select("lang", "doc_id")
-        .withColumn("turn", turn)
+        .distinct()
+        .withColumn("turn", F.row_number().over(order))
         .filter(F.col("turn") <= each)
         .select("lang", "doc_id")
-        .distinct()
     )
-    chosen = usable.join(F.broadcast(ids), ["lang", "doc_id"])
+    return usable.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+
+
+def train(docs: DataFrame, may_learn: Column) -> Model | None:
+    """Fit on the bounded :func:`examples`; None without any."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -146,15 +186,12 @@ def train(docs: DataFrame, may_learn: Column) -> Model | None:
                 names=["lang", "doc_id", "counts"],
             )
 
-    counted = chosen.select("lang", "doc_id", "text").mapInArrow(
-        count, "lang string, doc_id long, counts binary"
-    )
-    found = counted.limit(2 * each * len(langs)).collect()
+    counted = examples(docs, may_learn).mapInArrow(count, "lang string, doc_id long, counts binary")
+    found = sorted(counted.collect(), key=lambda r: (r["lang"], r["doc_id"]))
     if not found:
         return None
-    found.sort(key=lambda r: (r["lang"], r["doc_id"], r["counts"]))
     x = letter_vectors(np.stack([np.frombuffer(r["counts"], np.float32) for r in found]).astype(float))
-    return Model(x, [r["lang"] for r in found])
+    return fit(x, [r["lang"] for r in found])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -163,19 +200,20 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     Without a model everything is ``und``. The whole text counts, however long.
     """
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model.plain() if model else None)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Model.restored(*shared.value) if shared.value else None
         for part in parts:
-            model, langs = shared.value, [UNDEFINED] * part.num_rows
+            langs = [UNDEFINED] * part.num_rows
             scores = np.zeros(part.num_rows)
             rows, counts = [], []
             for i, text in enumerate(texts(part.column(1))):
-                if model is not None and has_letter(text):
+                if known is not None and has_letter(text):
                     rows.append(i)
                     counts.append(letter_counts(text))
             if rows:
-                names, sure = model.predict(letter_vectors(np.stack(counts)))
+                names, sure = known.predict(letter_vectors(np.stack(counts)))
                 scores[rows] = sure
                 for row, name in zip(rows, names):
                     langs[row] = name

@@ -11,6 +11,7 @@ similarity.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -54,32 +55,20 @@ def _counted(docs: DataFrame) -> DataFrame:
     )
 
 
+@dataclass
 class Model:
-    """The latent space, the labelled vectors in it, and the shares of the labels."""
-
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, shares: dict[int, float]) -> None:
-        blocks = quality_blocks(counts)
-        seen = (blocks > 0).sum(axis=0)
-        self.rarity = np.log((1 + len(blocks)) / (1 + seen)) + 1
-        weighed = blocks * self.rarity
-        # Subspace iteration; the start is fixed so that reruns agree.
-        width = min(DIMENSIONS, *weighed.shape)
-        basis = np.random.default_rng(7).standard_normal((weighed.shape[1], width))
-        for _ in range(6):
-            basis, _ = np.linalg.qr(weighed.T @ (weighed @ basis))
-        self.basis = basis
-        self.vectors = self.project(counts)
-        self.labels = labels
-        weight = {k: shares[k] / max((labels == k).sum(), 1) for k in shares}
-        self.weight = np.array([weight[k] for k in labels])
-        self.base = shares.get(1, 0.0)
-
-    def project(self, counts: np.ndarray) -> np.ndarray:
-        return unit_rows((quality_blocks(counts) * self.rarity) @ self.basis)
+    """The latent space, the labelled vectors in it with the weight of their votes, and the base rate."""
+
+    rarity: np.ndarray
+    basis: np.ndarray
+    vectors: np.ndarray
+    labels: np.ndarray
+    weight: np.ndarray
+    base: float
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         """Weighted share of the votes for label 1; the base rate where nothing is similar."""
-        vectors = self.project(counts)
+        vectors = project(counts, self.rarity, self.basis)
         near = vectors @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
         best = np.argpartition(-near, k - 1, axis=1)[:, :k]
@@ -90,6 +79,32 @@ class Model:
         return np.where(total > 0, ones / np.where(total > 0, total, 1), self.base)
 
 
+def project(counts: np.ndarray, rarity: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    return unit_rows((quality_blocks(counts) * rarity) @ basis)
+
+
+def fit(counts: np.ndarray, labels: np.ndarray, shares: dict[int, float]) -> Model:
+    """The model of labelled counts; ``shares`` are those of the labels among all labelled documents."""
+    blocks = quality_blocks(counts)
+    seen = (blocks > 0).sum(axis=0)
+    rarity = np.log((1 + len(blocks)) / (1 + seen)) + 1
+    weighed = blocks * rarity
+    # Subspace iteration; the start is fixed so that reruns agree.
+    width = min(DIMENSIONS, *weighed.shape)
+    basis = np.random.default_rng(7).standard_normal((weighed.shape[1], width))
+    for _ in range(6):
+        basis, _ = np.linalg.qr(weighed.T @ (weighed @ basis))
+    weight = {k: shares[k] / max((labels == k).sum(), 1) for k in shares}
+    return Model(
+        rarity,
+        basis,
+        project(counts, rarity, basis),
+        labels,
+        np.array([weight[k] for k in labels]),
+        shares.get(1, 0.0),
+    )
+
+
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model | None:
     """Fit on at most ``MAX_PER_LABEL`` labelled documents of each label; None without any.
 
@@ -113,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model | None
     found.sort(key=lambda r: (r["label"], r["doc_id"], r["counts"]))
     counts = np.stack([np.frombuffer(r["counts"], np.float32) for r in found]).astype(float)
     total = sum(totals.values())
-    return Model(
+    return fit(
         counts,
         np.array([r["label"] for r in found]),
         {k: n / total for k, n in totals.items()},
@@ -129,14 +144,16 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     spark = prepare(docs.sparkSession)
     if model is None:
         return docs.withColumn("score", F.lit(0.5))
-    shared = spark.sparkContext.broadcast(model)
+    # Plain arrays: a broadcast object would need its class on the executors' path.
+    shared = spark.sparkContext.broadcast(vars(model))
     schema = docs.select("*", F.lit(0.5).alias("score")).schema
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Model(**shared.value)
         for part in parts:
             if part.num_rows:
                 counts = np.stack([quality_counts(t) for t in texts(part.column("text"))])
-                scores = shared.value.score(counts)
+                scores = known.score(counts)
             else:
                 scores = np.zeros(0)
             yield pa.RecordBatch.from_arrays(
