@@ -8,21 +8,25 @@ Reading takes whole archive files (their size is bounded by the writer), walks
 from record to record by ``Content-Length`` and checks what it finds. After a
 failed check it searches for the next place where a record can begin (a version
 line, or the magic number of the next compressed member), goes on from there,
-and reports the bytes in between as a quarantined gap.
+and reports the bytes in between as a quarantined gap. The content of a
+compressed member is walked in the same way; of a damaged member, what can be
+unpacked before the damage is searched for records that their digest proves.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import batches, prepare, scalar, stored
+from hearthline.llm.common import batches, prepare, stored
 from hearthline.session import working_path
 
 #: Fixed values of the format.
@@ -33,7 +37,7 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 #: Payloads from this size on are written once.
 REVISIT_FROM = 100
-#: Bytes of one archive file, on average.
+#: An archive file is closed by the record that brings it to this size.
 FILE_BYTES = 16 << 20
 #: Bytes handed to the decompressor at a time.
 CHUNK = 1 << 16
@@ -43,6 +47,8 @@ RECORD = (
     "refers_to string, target_uri string, payload_digest string, payload_bytes long, "
     "payload binary, problem string, gap_bytes long"
 )
+LOG = logging.getLogger(__name__)
+
 _VERSION_LINE = re.compile(rb"WARC/[0-9]+\.[0-9]+\r?\n")
 _LENGTH = re.compile(rb"[0-9]{1,18}\Z")
 
@@ -103,16 +109,37 @@ def record_text(planned: DataFrame) -> DataFrame:
     return planned.select(F.concat(head, F.lit(END), block).alias("value"))
 
 
+def shelved(records: DataFrame, file_bytes: int) -> DataFrame:
+    """``shelf`` added: the number of the archive, within a task, that a record goes to.
+
+    A shelf is closed by the record that brings it to ``file_bytes``, so that no
+    run of large records makes a large archive.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shelf = held = 0
+        for part in parts:
+            shelves = []
+            for size in pc.binary_length(part.column(0)).to_pylist():
+                shelves.append(shelf)
+                held += size + len(END)
+                if held >= file_bytes:
+                    shelf, held = shelf + 1, 0
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(shelves, pa.int32())], names=["value", "shelf"]
+            )
+
+    return records.mapInArrow(run, "value string, shelf int")
+
+
 def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> str:
-    """Write one record per page below ``path``, in files of about ``file_bytes``.
+    """Write one record per page below ``path``, in files of ``file_bytes`` and one record at most.
 
     An empty table gives an archive without records.
     """
-    planned = plan_records(pages)
-    mean = scalar(pages.agg(F.avg(F.octet_length("html")))) or 0
-    per_file = max(1, int(file_bytes / (mean + 512)))
-    writer = record_text(planned).write.option("lineSep", END).option("maxRecordsPerFile", per_file)
-    writer.mode("errorifexists").text(path)
+    prepare(pages.sparkSession)
+    records = shelved(record_text(plan_records(pages)), file_bytes)
+    records.write.option("lineSep", END).partitionBy("shelf").mode("errorifexists").text(path)
     return path
 
 
@@ -156,73 +183,90 @@ def _one(data: bytes, at: int) -> tuple[int, dict[bytes, bytes], bytes] | str:
     return tail.end(), headers, payload
 
 
-def _inflate(data: bytes, at: int) -> tuple[int, bytes] | str:
-    """The compressed member at ``at``: (end, content), or what is wrong with it."""
+def _inflate(data: bytes, at: int) -> tuple[int, bytes, str]:
+    """The compressed member at ``at``: its end, its content, and what is wrong with it.
+
+    Of a damaged member the content is what comes out before the damage shows.
+    """
     if data[at : at + 3] != MEMBER:
-        return "no member"
+        return at, b"", "no member"
     engine, content, fed = zlib.decompressobj(31), [], at
-    try:
-        while not engine.eof and fed < len(data):
+    while not engine.eof and fed < len(data):
+        before = engine.copy()
+        try:
             content.append(engine.decompress(data[fed : fed + CHUNK]))
-            fed = min(fed + CHUNK, len(data))
-    except zlib.error:
-        return "damaged member"
-    if not engine.eof:
-        return "member is cut off"
-    return fed - len(engine.unused_data), b"".join(content)
+        except zlib.error:
+            # The chunk once more, byte by byte, up to the damage.
+            try:
+                for byte in range(fed, fed + CHUNK):
+                    content.append(before.decompress(data[byte : byte + 1]))
+            except zlib.error:
+                pass
+            return at, b"".join(content), "damaged member"
+        fed = min(fed + CHUNK, len(data))
+    wrong = "" if engine.eof else "member is cut off"
+    return fed - len(engine.unused_data), b"".join(content), wrong
+
+
+def _proven(headers: dict[bytes, bytes]) -> bool:
+    """Whether the payload was compared with a digest."""
+    stated = headers.get(b"warc-payload-digest", b"")
+    return stated.startswith(b"sha256:") and headers.get(b"warc-type") != b"revisit"
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
     """Records and gaps of one archive.
 
     Yields ("record", offset, headers, payload) and ("gap", offset, length,
-    problem); together they cover every byte. Offsets are those in the file;
-    records of one member share the member's offset.
+    problem). Offsets are those in the file, where records and gaps of a plain
+    archive cover every byte. Records and gaps within a compressed member share
+    the member's offset; the length of such a gap is in unpacked bytes, and its
+    problem tells the place in the content. A damaged member is a gap of its
+    whole length, also if records that it begins with could be kept.
     """
     packed = data[:2] == MEMBER[:2] or (
         not _VERSION_LINE.search(data) and data.find(MEMBER) >= 0
     )
+    return _members(data) if packed else _plain(data)
+
+
+def _plain(data: bytes) -> Iterator[tuple]:
     at, gap, problem = 0, 0, ""
     while at < len(data):
-        found = _member(data, at) if packed else _plain(data, at)
+        found = _one(data, at)
         if isinstance(found, str):
             problem = problem or found
-            if packed:
-                following = data.find(MEMBER, at + 1)
-            else:
-                later = _VERSION_LINE.search(data, at + 1)
-                following = later.start() if later else -1
-            at = following if following >= 0 else len(data)
+            later = _VERSION_LINE.search(data, at + 1)
+            at = later.start() if later else len(data)
             continue
         if gap < at:
-            yield "gap", gap, at - gap, problem or "not a record"
-        end, records = found
-        for headers, payload in records:
-            yield "record", at, headers, payload
-        at = gap = end
-        problem = ""
+            yield "gap", gap, at - gap, problem
+        end, headers, payload = found
+        yield "record", at, headers, payload
+        at, gap, problem = end, end, ""
     if gap < len(data):
-        yield "gap", gap, len(data) - gap, problem or "not a record"
+        yield "gap", gap, len(data) - gap, problem
 
 
-def _plain(data: bytes, at: int) -> tuple[int, list] | str:
-    found = _one(data, at)
-    return found if isinstance(found, str) else (found[0], [found[1:]])
-
-
-def _member(data: bytes, at: int) -> tuple[int, list] | str:
-    opened = _inflate(data, at)
-    if isinstance(opened, str):
-        return opened
-    end, content = opened
-    records, inner = [], 0
-    while inner < len(content):
-        found = _one(content, inner)
-        if isinstance(found, str):
-            return found
-        records.append(found[1:])
-        inner = found[0]
-    return end, records
+def _members(data: bytes) -> Iterator[tuple]:
+    at, gap, problem = 0, 0, ""
+    while at < len(data):
+        end, content, wrong = _inflate(data, at)
+        if wrong:
+            problem = problem or wrong
+            for kind, _, headers, payload in _plain(content):
+                if kind == "record" and _proven(headers):
+                    yield "record", at, headers, payload
+            following = data.find(MEMBER, at + 1)
+            at = following if following >= 0 else len(data)
+            continue
+        if gap < at:
+            yield "gap", gap, at - gap, problem
+        for kind, inner, a, b in _plain(content):
+            yield kind, at, a, f"at {inner} of the member: {b}" if kind == "gap" else b
+        at, gap, problem = end, end, ""
+    if gap < len(data):
+        yield "gap", gap, len(data) - gap, problem
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -265,14 +309,31 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(parse, RECORD)
 
 
-def page_digest(records: DataFrame) -> DataFrame:
+def quarantine(records: DataFrame, path: str) -> int:
+    """Append the gaps among ``records`` to the log at ``path``: (path, offset, gap_bytes, problem).
+
+    Returns how many there are; without any nothing is written.
+    """
+    gaps = records.filter(F.col("kind") == "gap").select("path", "offset", "gap_bytes", "problem")
+    count = gaps.count()
+    if count:
+        gaps.write.mode("append").parquet(path)
+        LOG.warning("%d damaged places of archives are listed in %s", count, path)
+    return count
+
+
+def page_digest(records: DataFrame, log: str | None = None) -> DataFrame:
     """What the archives say per page, from the records of :func:`read`.
 
     Size and digest of a response come from the payload that was read; a
-    revisit takes them from the response it refers to.
+    revisit takes them from the response it refers to, and has no size if that
+    was lost. Gaps go to the quarantine log, by default a table in the shared
+    folder.
     """
+    spark = records.sparkSession
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?[0-9]+)>$", 1)
-    kept = stored(records.filter(F.col("kind") == "record").select(
+    seen = stored(records.select(
+        "path", "offset", "kind", "problem", "gap_bytes",
         F.when(number(F.col("record_id")) != "", number(F.col("record_id")).cast("long")).alias("page_id"),
         "payload_bytes",
         F.sha2("payload", 256).alias("read_digest"),
@@ -280,6 +341,8 @@ def page_digest(records: DataFrame) -> DataFrame:
         "record_type",
         F.when(number(F.col("refers_to")) != "", number(F.col("refers_to")).cast("long")).alias("refers_to"),
     ), "warc-records")
+    quarantine(seen, log or working_path(spark, "warc-quarantine"))
+    kept = seen.filter(F.col("kind") == "record")
     responses = kept.filter(F.col("record_type") == "response").select(
         "page_id", "payload_bytes", F.col("read_digest").alias("payload_digest"), "record_type",
         F.lit(None).cast("long").alias("refers_to"),
@@ -305,7 +368,7 @@ def page_digest(records: DataFrame) -> DataFrame:
     return responses.unionByName(revisits)
 
 
-def archived(pages: DataFrame) -> DataFrame:
+def archived(pages: DataFrame, log: str | None = None) -> DataFrame:
     """Write the pages to the shared folder, read the archives back, one row per page."""
     path = write(pages, working_path(pages.sparkSession, "warc"))
-    return page_digest(read(pages.sparkSession, path))
+    return page_digest(read(pages.sparkSession, path), log)

@@ -88,3 +88,47 @@ def test_salvage_of_compressed_archives(spark, tmp_path):
     assert [r["kind"] for r in rows] == ["record", "gap", "record", "record", "record"]
     gap = rows[1]
     assert (gap["offset"], gap["gap_bytes"]) == (len(parts[0]), len(parts[1])) and gap["problem"]
+
+
+def test_files_are_closed_by_bytes(spark, tmp_path):
+    # Mostly tiny pages, then a run of large ones in the same task.
+    rows = [(i, "u", f"{i} " + "x" * (200_000 if i >= 900 else 10), "clash") for i in range(1000)]
+    pages = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    path = warc.write(pages, str(tmp_path / "archives"), file_bytes=1 << 20)
+    sizes = [f.stat().st_size for f in (tmp_path / "archives").rglob("part-*")]
+    assert len(sizes) >= 15 and max(sizes) < (1 << 20) + 201_000
+    found = warc.read(spark, path)
+    assert found.filter("kind = 'record'").select("record_id").distinct().count() == 1000 == found.count()
+
+
+def test_salvage_within_members():
+    parts = [record(i, b"payload %d " % i * 30) for i in range(6)]
+    content = bytearray(b"".join(parts))
+    start = len(parts[0]) + len(parts[1])
+    content[start + len(parts[2]) // 2] ^= 0xFF
+    # One sound member that holds a damaged record, then an undamaged one.
+    data = gzip.compress(bytes(content), mtime=0) + gzip.compress(record(9, b"last"), mtime=0)
+    found = list(warc.salvage(data))
+    assert names(found) == [b"<urn:page:%d>" % i for i in (0, 1, 3, 4, 5, 9)]
+    gap = covered(found, len(data))[0]
+    assert gap[1:3] == (0, len(parts[2])) and f"at {start} " in gap[3] and "digest" in gap[3]
+
+
+def test_salvage_of_a_single_damaged_member(spark, tmp_path):
+    random = __import__("random").Random(3)
+    parts = [record(i, bytes(random.randrange(32, 127) for _ in range(9000))) for i in range(40)]
+    parts[1] = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 2\r\n\r\nno\r\n\r\n"
+    whole = gzip.compress(b"".join(parts), mtime=0)
+    damaged = bytearray(whole)
+    damaged[len(whole) // 2 : len(whole) // 2 + 64] = b"\xff" * 64
+    for data in (bytes(damaged), whole[: len(whole) // 2]):
+        found = list(warc.salvage(data))
+        kept = names(found)
+        # Whole records before the damage, and none that nothing proves.
+        assert 15 <= len(kept) < 25 and kept == [b"<urn:page:%d>" % i for i in range(len(kept) + 1) if i != 1]
+        assert [(g[1], g[2]) for g in covered(found, len(data))] == [(0, len(data))]
+    (tmp_path / "one.warc.gz").write_bytes(bytes(damaged))
+    log = str(tmp_path / "log")
+    assert warc.page_digest(warc.read(spark, str(tmp_path / "one.warc.gz")), log).count() >= 15
+    (gap,) = spark.read.parquet(log).collect()
+    assert (gap["offset"], gap["gap_bytes"], gap["problem"]) == (0, len(damaged), "damaged member")
