@@ -4,12 +4,14 @@ With one more coordinate, largest inner product is nearest neighbour: data
 vectors x become (x, sqrt(M^2 - |x|^2)), M the largest length, queries (q, 0);
 then the squared distance is |q|^2 + M^2 - 2 q.x.
 
-Pivots cut the space into cells. Queries and data go to the cell of their
-nearest pivot. Summaries of the cells (largest radius of the queries, the k + 1
-smallest radii of the data) bound how far the k-th neighbour of any query of a
-cell can be; only data whose distance to its own pivot is compatible with this
-bound is sent to the queries of that cell. Groups of queries and chunks of data
-meet in bounded tasks, and their best k are merged.
+Pivots cut the space into cells, and the radius cuts large cells into bands.
+Queries and data go to the cell of their nearest pivot. Summaries of the cells
+(largest radius of the queries, the k + 1 smallest radii of the data, extremes
+and sizes of the bands) bound how far the k-th neighbour of any query of a cell
+can be; only data whose distance to its own pivot is compatible with this bound
+is sent to the queries of that cell. What reaches a cell is dealt into bins;
+blocks of its queries are copied to these bins and to no others, so that bounded
+groups meet in a task, and their best k are merged.
 """
 
 from __future__ import annotations
@@ -24,9 +26,12 @@ from pyspark.sql import functions as F
 from hearthline.llm.common import prepare, scalar, stored
 
 SCALE = 256
-PIVOTS = 16
 #: Queries and data rows that meet in one task, on average.
 QUERY_BLOCK, DATA_CHUNK = 512, 16384
+#: Pivots: one for QUERY_BLOCK queries, within these limits. Data is sent once per block
+#: of queries in any case, so more pivots cost nothing while their cells fill a block.
+#: The routes, at most BANDS times MAX_PIVOTS squared rows, pass the driver.
+MIN_PIVOTS, MAX_PIVOTS, BANDS = 16, 256, 8
 EXACT = float(1 << 53)
 
 
@@ -95,11 +100,34 @@ def _norms(data: DataFrame) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, c: a + c * c)
 
 
-def _reach(placed: DataFrame, queries: DataFrame, pivots: np.ndarray, k: int) -> list[tuple]:
-    """Rows (query cell, data cell, smallest and largest radius to send, query blocks).
+def _bands(placed: DataFrame) -> tuple[DataFrame, list[tuple]]:
+    """Edges of the bands per cell, and (cell, band, rows, smallest, largest radius) of every band.
 
-    At most PIVOTS squared of them, from summaries of PIVOTS cells.
+    Cells of up to DATA_CHUNK rows are one band, others as many as chunks, BANDS at most.
     """
+    steps = F.array(*[F.lit(i / BANDS) for i in range(1, BANDS)])
+    cells = placed.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("radius", steps, F.lit(1000)).alias("edges")
+    )
+    edges = F.when(F.col("n") > DATA_CHUNK, F.array_distinct("edges")).otherwise(F.lit([]).cast("array<double>"))
+    found = cells.select("cell", edges.alias("edges")).collect()
+    table = placed.sparkSession.createDataFrame(found, "cell int, edges array<double>")
+    summary = (
+        banded(placed, table)
+        .groupBy("cell", "band")
+        .agg(F.count(F.lit(1)), F.min("radius"), F.max("radius"))
+        .orderBy("cell", "band")
+    )
+    return table, [tuple(r) for r in summary.collect()]
+
+
+def banded(placed: DataFrame, edges: DataFrame) -> DataFrame:
+    below = F.filter("edges", lambda e: e < F.col("radius"))
+    return placed.join(F.broadcast(edges), "cell").withColumn("band", F.size(below)).drop("edges")
+
+
+def _bounds(placed: DataFrame, queries: DataFrame, apart: np.ndarray, k: int) -> list[tuple]:
+    """(query cell, largest radius of its queries, bound of their k-th distance, query blocks)."""
     order = Window.partitionBy("cell").orderBy("radius", "vec_id")
     near = (
         placed.select("cell", "radius", "vec_id")
@@ -109,20 +137,38 @@ def _reach(placed: DataFrame, queries: DataFrame, pivots: np.ndarray, k: int) ->
         .collect()
     )
     asked = queries.groupBy("query_cell").agg(F.max("query_radius"), F.count(F.lit(1))).collect()
-    apart = np.sqrt(np.maximum(((pivots[:, None] - pivots[None]) ** 2).sum(-1), 0))
-    slack = 1e-6 * (1 + apart.max(initial=0))
+    cells, radii = np.array([r["cell"] for r in near], int), np.array([r["radius"] for r in near])
     rows = []
     for cell, radius, n in asked:
         # Upper bounds of the distance to known data; one of these may be the query itself.
-        upper = sorted(radius + apart[cell, r["cell"]] + r["radius"] for r in near)
-        bound = upper[k] if len(upper) > k else np.inf
-        for j in range(len(pivots)):
-            low = apart[cell, j] - radius - bound - slack
-            high = apart[cell, j] + radius + bound + slack
-            rows.append((cell, j, float(low), float(high), -(-n // QUERY_BLOCK)))
+        upper = np.sort(radius + apart[cell, cells] + radii)
+        rows.append((cell, radius, upper[k] if len(upper) > k else np.inf, -(-n // QUERY_BLOCK)))
     return rows
 
 
+def routes(bounds: list[tuple], bands: list[tuple], apart: np.ndarray, slack: float) -> list[tuple]:
+    """(cell, band, to_cell, low, high, blocks, first bin, bins dealt to) of all bands that a cell needs.
+
+    Small bands share a bin up to DATA_CHUNK rows; larger ones get bins of their own.
+    """
+    out = []
+    for to_cell, radius, bound, blocks in bounds:
+        bin_, held = 0, 0
+        for cell, band, n, least, most in bands:
+            low = apart[to_cell, cell] - radius - bound - slack
+            high = apart[to_cell, cell] + radius + bound + slack
+            if most < low or least > high:
+                continue
+            own = -(-n // DATA_CHUNK)
+            if held and held + n > DATA_CHUNK:
+                bin_, held = bin_ + 1, 0
+            out.append((cell, band, to_cell, float(low), float(high), blocks, bin_, own))
+            held += n
+            if own > 1:
+                bin_, held = bin_ + own, 0
+    return out
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
     """(row, column) of the k best of each row, ties to the smaller id; columns sorted by id."""
     k = min(k, scores.shape[1])
@@ -152,33 +198,43 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     if not n or not dims:
         return empty
     longest = float(longest)
-    chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).select("embedding").collect()
+    asked = data.filter(is_query).count()
+    count = min(max(-(-asked // QUERY_BLOCK), MIN_PIVOTS), MAX_PIVOTS)
+    chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).select("embedding").collect()
     lists = pa.array([r["embedding"] for r in chosen], pa.list_(pa.float64()))
     p = whole(lists, dims)
     pivots = np.column_stack([p, np.sqrt(np.maximum(longest - (p * p).sum(1), 0))])
+    squares = (pivots * pivots).sum(1)
+    apart = np.sqrt(np.maximum(squares[:, None] + squares - 2 * (pivots @ pivots.T), 0))
+    # Rounding of squared distances, which are differences of squares up to the largest length.
+    slack = 8 * float(np.sqrt((dims + 1) * np.finfo(float).eps)) * (1 + longest**0.5)
     placed = stored(_placed(data, pivots, dims, longest), "topk-cells")
     queries = placed.filter(is_query)
-    reach = _reach(placed, queries, pivots, k)
-    if not reach:
+    edges, bands = _bands(placed)
+    ways = routes(_bounds(placed, queries, apart, k), bands, apart, slack)
+    if not ways:
         return empty
-    reach_table = spark.createDataFrame(
-        reach, "to_cell int, cell int, low double, high double, blocks int"
+    way_table = spark.createDataFrame(
+        ways, "cell int, band int, to_cell int, low double, high double, blocks int, first int, own int"
     )
-    chunks = max(1, -(-n // DATA_CHUNK))
-    chunk = F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")
+    spread = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("own")).cast("int")
     sent = (
-        placed.join(F.broadcast(reach_table), "cell")
+        banded(placed, edges)
+        .join(F.broadcast(way_table), ["cell", "band"])
         .filter(F.col("radius").between(F.col("low"), F.col("high")))
         .select(
             "to_cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-            chunk.alias("chunk"), F.col("vec_id").alias("vec_id"), F.col("embedding").alias("known"),
+            (F.col("first") + spread).alias("bin"), F.col("vec_id").alias("vec_id"),
+            F.col("embedding").alias("known"),
         )
     )
-    blocks = reach_table.select(F.col("to_cell").alias("query_cell"), "blocks").distinct()
-    asking = queries.join(F.broadcast(blocks), "query_cell").select(
+    reached = way_table.groupBy(F.col("to_cell").alias("query_cell"), "blocks").agg(
+        F.max(F.col("first") + F.col("own") - 1).alias("last")
+    )
+    asking = queries.join(F.broadcast(reached), "query_cell").select(
         F.col("query_cell").alias("to_cell"),
         F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
+        F.explode(F.sequence(F.lit(0), F.col("last"))).alias("bin"),
         F.col("vec_id").alias("query_id"),
         F.col("embedding").alias("asked"),
     )
@@ -205,7 +261,7 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
             [pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"]
         )
 
-    key = ["to_cell", "block", "chunk"]
+    key = ["to_cell", "block", "bin"]
     local = (
         asking.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(solve, "query_id long, vec_id long, score long")
     )

@@ -77,9 +77,10 @@ def test_odd_vectors(spark):
     assert top == {(8, 1): (1, 512 * 256), (8, 2): (3, 0), (8, 3): (7, 0), (8, 4): (9, 0)}
 
 
-def test_top_k_is_exact_with_ties(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
-    monkeypatch.setattr(topk, "DATA_CHUNK", 100)
+@pytest.mark.parametrize("block, chunk", [(16, 100), (2, 12)])
+def test_top_k_is_exact_with_ties(spark, monkeypatch, block, chunk):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", block)
+    monkeypatch.setattr(topk, "DATA_CHUNK", chunk)
     x = np.vstack([clusters(5, 6, 60, dims=8, spread=0.02), np.tile(clusters(6, 1, 1, dims=8), (80, 1))])
     ints = np.floor(256 * x.astype(float)).astype(int)
     rows = [(i * 3, v.tolist()) for i, v in enumerate(x)]
@@ -93,6 +94,17 @@ def test_top_k_is_exact_with_ties(spark, monkeypatch):
     assert got == expected
 
 
+def test_routes_leave_out_what_is_too_far(monkeypatch):
+    monkeypatch.setattr(topk, "DATA_CHUNK", 100)
+    apart = np.array([[0.0, 10.0, 50.0], [10.0, 0.0, 41.0], [50.0, 41.0, 0.0]])
+    bands = [(0, 0, 60, 0.0, 1.0), (1, 0, 90, 0.0, 2.0), (1, 1, 250, 2.0, 9.5), (2, 0, 30, 0.0, 3.0)]
+    # Neighbours within 2 of queries within 1 of pivot 0: its own cell, and of cell 1 radii from 7 on.
+    found = topk.routes([(0, 1.0, 2.0, 4), (2, 0.5, np.inf, 1)], bands, apart, 0.0)
+    assert [r for r in found if r[2] == 0] == [(0, 0, 0, -3.0, 3.0, 4, 0, 1), (1, 1, 0, 7.0, 13.0, 4, 1, 3)]
+    # Without a bound everything comes; 60 and 90 rows do not fit one bin, 250 take three.
+    assert [(r[0], r[1], r[6], r[7]) for r in found if r[2] == 2] == [(0, 0, 0, 1), (1, 0, 1, 1), (1, 1, 2, 3), (2, 0, 5, 1)]
+
+
 def test_big_components_stay_exact():
     q, d = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 1.0], [2.0**20, 3.0]])
     assert topk.products(q, d).tolist() == [[2**60 + 1, 2**60 + 3]]
