@@ -263,7 +263,11 @@ def run_kpis(
     """
     configure(spark)
     tables = build_kpis(load_snapshots(spark, snapshots, strict=not skip_unreadable))
-    tables["files"] = tables["files"].join(snapshot_files(spark, snapshots), "fichier", "left")
+    files = snapshot_files(spark, snapshots)
+    tables["files"] = tables["files"].join(files, "fichier", "left")
+    if "beneficiaire_stats" in tables:
+        records = files.where(F.col("fichier") == "raw_beneficiaire").agg(F.max("taille_mb"))
+        tables["beneficiaire_stats"] = tables["beneficiaire_stats"].withColumn("size_mb", records.scalar())
     save_frames(tables, output)
     return load_snapshots(spark, output, list(tables))
 

@@ -50,6 +50,8 @@ def test_full_profile_and_kpis(spark, files, tmp_path):
     rows = {r["fichier"]: r for r in kpis["files"].collect()}
     assert rows["master_events"]["lignes"] == frames["master_events"].count()
     assert rows["master_events"]["mis_a_jour"] is not None
+    (records,) = kpis["beneficiaire_stats"].collect()
+    assert records["size_mb"] == rows["raw_beneficiaire"]["taille_mb"] is not None
 
 
 def test_dashboard_profile_daily_has_fewer_snapshots(spark, files, tmp_path):
