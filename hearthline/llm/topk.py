@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import prepare, scalar, stored
+from hearthline.llm.common import prepare, stored
 
 SCALE = 256
 #: Queries and data rows that meet in one task, on average.
