@@ -4,7 +4,8 @@ A state holds from the first period point at or after its event until the next
 event of the same key takes effect. Instead of repeating a state at every point
 it covers, its start and end are recorded as +1/-1 moves in a (group, value cell)
 histogram. Counts, means and deviations follow from cumulative moves; only the
-states in the cells that hold a wanted quantile are laid out over points.
+states in the cells that hold a wanted quantile (of crowded cells, the distinct
+values of the parts that do) are laid out over points.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from hearthline.operators.quantiles import (
     RANK,
     cell_of,
     histogram_totals,
+    keep_parts,
     keep_wanted,
     offset,
+    part_of,
     pick_values,
     spread,
 )
@@ -41,6 +44,8 @@ from hearthline.schema import (
 WEEKLY = "W-MON"
 DAILY = "D"
 SEGMENTS = ("milieu", "region", "genre_cm")
+#: States of a cell at one point that one task may well look through.
+CROWDED = 1 << 16
 STATE_PROBS = {
     "low": 0.0,
     "p10": 0.10,
@@ -182,55 +187,106 @@ def programme_states(master: DataFrame, freq: str = WEEKLY) -> DataFrame:
     )
 
 
+def crowding(master: DataFrame, limit: int = CROWDED) -> int | None:
+    """``limit`` if any cell of scores has more events than that, else none.
+
+    Runs a job over the scores alone; a cell never has more states than events.
+    """
+    cells = master.where(F.col("score_final").isNotNull()).groupBy(cell_of(F.col("score_final"), SERIES_CELL))
+    most = cells.count().agg(F.max("count")).first()[0]
+    return limit if (most or 0) > limit else None
+
+
+def moved(states: DataFrame, keys: list[str], sums: dict[str, Column] | None = None) -> DataFrame:
+    """Changes, per key and point ``since``, of the number ``m`` of states and of sums over them."""
+    ends = F.array(
+        F.struct(F.col("start").alias("point"), F.lit(1).alias("sign")),
+        F.struct(F.col("stop").alias("point"), F.lit(-1).alias("sign")),
+    )
+    return (
+        states.select(*dict.fromkeys([*keys, "cell", "v"]), "final", F.explode(ends).alias("move"))
+        .where(F.col("move.point") <= F.col("final"))
+        .groupBy(*keys, "final", F.col("move.point").alias("since"))
+        .agg(
+            F.sum("move.sign").alias("m"),
+            *[F.sum(F.col("move.sign") * x).alias(name) for name, x in (sums or {}).items()],
+        )
+    )
+
+
+def steady(moves: DataFrame, keys: list[str], step: int, sums: list[str] | None = None) -> DataFrame:
+    """Spans of points, ``since`` to ``upto``, in which the count ``m`` of a key does not change.
+
+    ``moves`` has the key, the last point ``final``, ``since``, and the changes of
+    ``m`` and of the ``sums`` at that point. Spans with a count of 0 are left out.
+    """
+    time = Window.partitionBy(*keys).orderBy("since")
+    run = time.rowsBetween(Window.unboundedPreceding, 0)
+    return moves.select(
+        *keys,
+        "since",
+        F.coalesce(F.date_sub(F.lead("since").over(time), step), F.col("final")).alias("upto"),
+        *[F.sum(c).over(run).alias(c) for c in ["m", *(sums or [])]],
+    ).where("m > 0")
+
+
+def _met(spans: DataFrame, kept: DataFrame, keys: list[str], own: str, size: str) -> DataFrame:
+    """Kept cells or parts with the spans that cover their point: their value ``own`` and ``size``."""
+    left, right = spans.alias("spans"), kept.alias("kept")
+    covers = F.col("kept.point").between(F.col("spans.since"), F.col("spans.upto"))
+    return left.join(right, same(left, right, keys) & covers).select(
+        *[F.col(f"kept.{c}") for c in kept.columns if c != own],
+        F.col(f"spans.{own}"),
+        F.col("spans.m").alias(size),
+    )
+
+
+def _by_parts(
+    placed: DataFrame, crowded: DataFrame, groups: list[str], step: int, width: float
+) -> DataFrame:
+    """Value counts of crowded cells, for the parts that hold the wanted rank.
+
+    A second histogram over time tells the sizes of the parts at the points where
+    the cell is crowded; distinct values of a part meet only the points that want it.
+    """
+    left = placed.alias("placed")
+    # Report-sized: at most one row per group and histogram cell. Without crowded cells
+    # adaptive execution drops this whole branch before it reads a state.
+    full = F.broadcast(crowded.select(*groups, "cell").distinct()).alias("full")
+    parted = left.join(full, same(left, full, [*groups, "cell"]), "left_semi").withColumn(
+        "part", part_of(F.col("v"), F.col("cell"), width).cast("int")
+    )
+    part = [*groups, "cell", "part"]
+    sizes = _met(steady(moved(parted, part), part, step), crowded, [*groups, "cell"], "part", "m")
+    kept = keep_parts(sizes, [*groups, "point", "cell", "i"]).drop("m")
+    return _met(steady(moved(parted, [*part, "v"]), [*part, "v"], step), kept, part, "v", "c")
+
+
 def state_profile(
     states: DataFrame,
     groups: list[str],
     probs: dict[str, float],
     step: int,
     width: float = SERIES_CELL,
+    crowded: int | None = None,
 ) -> DataFrame:
     """Distribution of the states alive at each period point.
 
     ``states`` has the group columns, ``start``, ``stop`` (null when open),
     ``final`` (last point) and the value ``v``. Returns the group columns,
     ``point``, ``n``, ``mean``, ``std_pop``, ``std`` and one column per prob.
+
+    Only states in the cells that hold a wanted rank meet the points they cover.
+    With ``crowded``, a cell with more states than that at a point is cut into
+    parts there (see :func:`_by_parts`), at the price of reading the states again.
     """
     names = list(probs)
     levels = [probs[k] for k in names]
     cell = cell_of(F.col("v"), width)
     placed = states.select(*groups, "start", "stop", "final", "v", cell.alias("cell"))
     off = offset(F.col("v"), F.col("cell"), width)
-    moves = (
-        placed.select(
-            *groups,
-            "cell",
-            "v",
-            "final",
-            F.explode(
-                F.array(
-                    F.struct(F.col("start").alias("point"), F.lit(1).alias("sign")),
-                    F.struct(F.col("stop").alias("point"), F.lit(-1).alias("sign")),
-                )
-            ).alias("move"),
-        )
-        .where(F.col("move.point") <= F.col("final"))
-        .groupBy(*groups, "cell", "final", F.col("move.point").alias("since"))
-        .agg(
-            F.sum("move.sign").alias("m"),
-            F.sum(F.col("move.sign") * off).alias("s"),
-            F.sum(F.col("move.sign") * off * off).alias("ss"),
-        )
-    )
-    time = Window.partitionBy(*groups, "cell").orderBy("since")
-    run = time.rowsBetween(Window.unboundedPreceding, 0)
-    levels_in_time = moves.select(
-        *groups,
-        "cell",
-        "since",
-        F.coalesce(F.date_sub(F.lead("since").over(time), step), F.col("final")).alias("upto"),
-        *[F.sum(c).over(run).alias(c) for c in ("m", "s", "ss")],
-    ).where("m > 0")
-    grid = levels_in_time.select(
+    moves = moved(placed, [*groups, "cell"], {"s": off, "ss": off * off})
+    grid = steady(moves, [*groups, "cell"], step, ["s", "ss"]).select(
         *groups,
         "cell",
         F.explode(
@@ -243,20 +299,24 @@ def state_profile(
     cells = histogram_totals(grid, [*groups, "point"], width)
     totals = ["n", "mean", "square"]
     keys = [*groups, "point"]
-    kept = keep_wanted(cells, levels).alias("kept")
+    wanted = keep_wanted(cells, levels)
+    carried = [*keys, "cell", "before", *RANK, *totals]
+    easy = wanted if crowded is None else wanted.where(F.col("m") <= crowded)
+    kept = easy.select(*carried).alias("kept")
     held = placed.alias("held")
     alive = (F.col("held.start") <= F.col("kept.point")) & (
         F.col("held.stop").isNull() | (F.col("kept.point") < F.col("held.stop"))
     )
     # Equal values of one wanted rank are collapsed before ranking.
+    part = [] if crowded is None else [F.lit(-1).alias("part")]
     counts = (
         held.join(kept, same(held, kept, [*groups, "cell"]) & alive)
-        .groupBy(
-            *[F.col(f"kept.{k}") for k in [*keys, "cell", "before", *RANK, *totals]],
-            F.col("held.v"),
-        )
+        .groupBy(*[F.col(f"kept.{k}") for k in carried], *part, F.col("held.v"))
         .agg(F.count("*").alias("c"))
     )
+    if crowded is not None:
+        full = wanted.where(F.col("m") > crowded).select(*carried)
+        counts = counts.unionByName(_by_parts(placed, full, groups, step, width))
     found = pick_values(counts, keys, levels, totals)
     n, square = F.col("n"), F.col("square")
     return found.select(
@@ -274,11 +334,13 @@ def build_score_timeseries(
     freq: str = WEEKLY,
     segments: tuple[str, ...] = (),
     percentiles: bool = True,
+    crowded: int | None = None,
 ) -> DataFrame:
     """Score distribution of all active households at each period point.
 
     With ``segments`` the same state is also broken down by one dimension at a
-    time; segment rows need two households and use the sample deviation.
+    time; segment rows need two households and use the sample deviation. For
+    ``crowded`` see :func:`state_profile` and :func:`crowding`.
     """
     segments = tuple(s for s in segments if s in master.columns)
     step = step_days(freq)
@@ -294,7 +356,7 @@ def build_score_timeseries(
     spread_out = states.select(
         "start", "stop", "final", "v", F.explode(F.array_compact(F.array(*members))).alias("g")
     ).select("start", "stop", "final", "v", "g.dim", "g.member")
-    profile = state_profile(spread_out, ["dim", "member"], STATE_PROBS, step)
+    profile = state_profile(spread_out, ["dim", "member"], STATE_PROBS, step, crowded=crowded)
     overall = F.col("dim") == "all"
 
     def r(name: str) -> Column:
@@ -336,12 +398,16 @@ def band_suffixes(bands: tuple[float, ...]) -> dict[float, str]:
 
 
 def build_near_threshold_timeseries(
-    master: DataFrame, bands: tuple[float, ...] = MASTER_BANDS, freq: str = WEEKLY
+    master: DataFrame,
+    bands: tuple[float, ...] = MASTER_BANDS,
+    freq: str = WEEKLY,
+    crowded: int | None = None,
 ) -> DataFrame:
     """Households close to the threshold, per period point and programme.
 
     For each band: all within it, those below (``neg``) and those above (``pos``)
-    the threshold; a score exactly on the threshold counts in the first only.
+    the threshold; a score exactly on the threshold counts in the first only. For
+    ``crowded`` see :func:`state_profile` and :func:`crowding`.
     """
     step = step_days(freq)
     dist = F.col("dist")
@@ -356,7 +422,7 @@ def build_near_threshold_timeseries(
     states = programme_states(master, freq).select(
         "programme", "start", "stop", "final", "v", F.explode(names).alias("series")
     )
-    profile = state_profile(states, ["programme", "series"], {"median": 0.5}, step)
+    profile = state_profile(states, ["programme", "series"], {"median": 0.5}, step, crowded=crowded)
     shown = profile.withColumns(
         {"mean": round_to(F.col("mean"), 6), "median": round_to(F.col("median"), 6)}
     )

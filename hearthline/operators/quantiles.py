@@ -36,6 +36,12 @@ def offset(value: Column, cell: Column, width: float) -> Column:
     return value - cell * width
 
 
+def part_of(value: Column, cell: Column, width: float) -> Column:
+    """Part of its cell that a value lies in; rounding at the edges makes no parts outside the cell."""
+    inner = F.floor(offset(value, cell, width) * (SPLIT / width))
+    return F.greatest(F.lit(0), F.least(inner, F.lit(SPLIT - 1)))
+
+
 def histogram_totals(
     cells: DataFrame, groups: list[str], width: float, extras: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -106,8 +112,8 @@ def _inside(rank: Column, before: Column, size: Column) -> Column:
 def keep_wanted(cells: DataFrame, probs: list[float]) -> DataFrame:
     """Keep the histogram cells that hold a wanted rank, one row per rank.
 
-    ``cells`` comes from :func:`histogram_totals`. A group without values keeps
-    its null cell once.
+    ``cells`` comes from :func:`histogram_totals`, whose ``m`` stays. A group
+    without values keeps its null cell once.
     """
     near = cells.where((F.col("n") == 0) | _holds_any(probs))
     ranked = near.select("*", F.inline(_ranks(probs)))
@@ -115,7 +121,21 @@ def keep_wanted(cells: DataFrame, probs: list[float]) -> DataFrame:
         F.col("high"), F.col("before"), F.col("m")
     )
     empty = (F.col("n") == 0) & (F.col("i") == 0)
-    return ranked.where((F.col("cell").isNotNull() & hit) | empty).drop("m")
+    return ranked.where((F.col("cell").isNotNull() & hit) | empty)
+
+
+def keep_parts(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Keep the parts that hold the wanted rank of their cell; ``before`` moves up to them.
+
+    ``sizes`` has a row per key (group, cell and rank ``i``) and ``part`` with its
+    size ``m``, ``before``, ``low`` and ``high``.
+    """
+    upto = Window.partitionBy(*keys).orderBy(F.col("part").asc_nulls_first())
+    earlier = upto.rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.col("before") + F.coalesce(F.sum("m").over(earlier), F.lit(0))
+    starts = sizes.withColumn("start", begin).withColumn("before", F.col("start"))
+    hit = _inside(F.col("low"), F.col("start"), F.col("m")) | _inside(F.col("high"), F.col("start"), F.col("m"))
+    return starts.where(hit | F.col("part").isNull()).drop("start")
 
 
 def split_cells(counts: DataFrame, groups: list[str], width: float) -> DataFrame:
@@ -125,15 +145,9 @@ def split_cells(counts: DataFrame, groups: list[str], width: float) -> DataFrame
     At most ``SPLIT`` rows of a cell and rank pass through the window.
     """
     keys = [*groups, "cell", "i"]
-    inner = F.floor(offset(F.col("v"), F.col("cell"), width) * (SPLIT / width))
-    # Rounding at the edges must not make parts outside the cell.
-    parted = counts.withColumn("part", F.greatest(F.lit(0), F.least(inner, F.lit(SPLIT - 1))))
-    upto = Window.partitionBy(*keys).orderBy(F.col("part").asc_nulls_first())
-    earlier = upto.rowsBetween(Window.unboundedPreceding, -1)
+    parted = counts.withColumn("part", part_of(F.col("v"), F.col("cell"), width))
     sizes = parted.groupBy(*keys, "part", "before", "low", "high").agg(F.sum("c").alias("m"))
-    starts = sizes.withColumn("start", F.col("before") + F.coalesce(F.sum("m").over(earlier), F.lit(0)))
-    hit = _inside(F.col("low"), F.col("start"), F.col("m")) | _inside(F.col("high"), F.col("start"), F.col("m"))
-    kept = starts.where(hit | F.col("part").isNull()).select(*keys, "part", "start").alias("kept")
+    kept = keep_parts(sizes, keys).select(*keys, "part", F.col("before").alias("start")).alias("kept")
     joined = parted.alias("parted").join(kept, same(parted, kept, [*keys, "part"]))
     return joined.select(
         *[F.col(f"parted.`{c}`") for c in parted.columns if c != "before"], F.col("kept.start").alias("before")

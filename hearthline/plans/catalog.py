@@ -514,6 +514,7 @@ BUILDERS: dict[str, Callable[[Registry], DataFrame]] = {
     ).withColumn("churn_eligibilite", round_to(F.col("churn_eligibilite"), 6)),
     "household_trajectory": lambda r: r.trajectory,
     "score_timeseries": lambda r: r.score_series,
+    "score_timeseries_parts": lambda r: asof.build_score_timeseries(r.scores, crowded=8),
     "score_timeseries_daily": lambda r: asof.build_score_timeseries(dense_events(r), freq="D"),
     "timeseries_seed": timeseries_seed,
     "score_timeseries_dims": lambda r: asof.build_score_timeseries(

@@ -214,11 +214,15 @@ def run_job(
     out.store("delta_frame", history.build_delta_frame(events))
     out.store("menage_timeline", history.build_household_timeline(events))
     out.store("menage_trajectory", history.build_household_trajectory(events))
+    crowded = asof.crowding(events)
     out.store(
         "score_timeseries",
-        asof.build_score_timeseries(events, freq, SEGMENTS if full else ()),
+        asof.build_score_timeseries(events, freq, SEGMENTS if full else (), crowded=crowded),
+    )
+    out.store(
+        "near_threshold_timeseries",
+        asof.build_near_threshold_timeseries(events, freq=freq, crowded=crowded),
     )
-    out.store("near_threshold_timeseries", asof.build_near_threshold_timeseries(events, freq=freq))
     out.store("monthly_eligibility_flows", flows.build_monthly_eligibility_flows(events))
     out.store("churn_timeline", flows.build_churn_timeline(events))
     detail = flows.build_reentry_detail(events)

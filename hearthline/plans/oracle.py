@@ -608,6 +608,7 @@ _QUERIES: dict[str, tuple[str, str]] = {
     ),
     "household_trajectory": ("traj_status", "SELECT * FROM traj_status"),
     "score_timeseries": ("series", "SELECT * FROM series"),
+    "score_timeseries_parts": ("series", "SELECT * FROM series"),
     "timeseries_seed": (
         "",
         "",

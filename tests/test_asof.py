@@ -89,6 +89,37 @@ def test_series_equals_loop(spark, seed, freq, step):
             assert r[name] == pytest.approx(want, abs=1.1e-6), (p, name)
 
 
+@pytest.mark.parametrize("step,freq", [(7, "W-MON"), (1, "D")])
+def test_scores_crowded_in_one_cell(spark, monkeypatch, step, freq):
+    """All scores within 0.02, a third of them equal: only parts of the cell meet the points."""
+    rng = random.Random(3)
+    rows = [
+        (*r[:5], None if r[5] is None else 9.01 if r[5] == 9.0 else 9.0001 + round(rng.random(), 9) * 0.0198)
+        for r in random_rows(3, households=200, n=900, hot=0.1)
+    ]
+    seen = []
+    read = asof.pick_values
+
+    def spy(counts, keys, *rest):
+        seen.append(counts.groupBy(*keys, "cell", "i", "part").count().agg({"count": "max"}).first()[0])
+        return read(counts, keys, *rest)
+
+    monkeypatch.setattr(asof, "pick_values", spy)
+    frame = events(spark, rows)
+    assert asof.crowding(frame) is None and asof.crowding(frame, 4) == 4
+    found = {r["date_calcul"]: r for r in asof.build_score_timeseries(frame, freq, crowded=4).collect()}
+    expected = {p: [r[5] for r in s.values()] for p, s in loop_states(rows, step) if s}
+    assert set(found) == set(expected)
+    assert max(map(len, expected.values())) > 100 and seen[0] <= 8
+    for p, v in expected.items():
+        r = found[p]
+        assert (r["n_menages"], r["score_min"], r["score_max"]) == (
+            len(v), pytest.approx(min(v), abs=1e-6), pytest.approx(max(v), abs=1e-6),
+        )
+        for name, level in (("p10", 0.1), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9)):
+            assert r[f"score_{name}"] == pytest.approx(quantile(v, level), abs=1.1e-6), (p, name)
+
+
 def test_near_threshold_equals_loop(spark):
     rows = [r if r[0] % 2 else (r[0], "ASD", *r[2:]) for r in random_rows(5)]
     frame = master.add_threshold_flags(events(spark, rows))

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from hearthline.operators import flows, history, master, stats
+from hearthline.operators import flows, history, master, sequence, stats
 from hearthline.operators.dedup import keep_one
 from hearthline.operators.sequence import with_previous
 
@@ -42,6 +42,33 @@ def test_previous_row_is_right_for_a_hot_household(spark, hot):
     assert got == want
 
 
+def test_hot_hour_and_undated_rows_are_spread(spark, monkeypatch):
+    """A third of all rows in one hour of one household, a third without a date."""
+    monkeypatch.setattr(sequence, "UNDATED", 64)
+    n = F.col("id")
+    hour = F.timestamp_add("SECOND", F.pmod(F.hash(n), F.lit(3600)), F.lit("2020-01-01").cast("timestamp_ntz"))
+    rows = spark.range(6000).select(
+        F.when(n % 3 == 2, n % 40 + 1).otherwise(F.lit(0)).alias("menage_ano"),
+        F.when(n % 97 != 0, n).alias("score_id_ano"),
+        n.alias("row"),
+        F.when(n % 3 != 1, hour).alias("date_calcul"),
+    )
+    found = with_previous(rows, ["menage_ano"], "date_calcul", ["score_id_ano", "row"], ["row"])
+    got = {r["row"]: r["previous"] and r["previous"]["row"] for r in found.collect()}
+
+    def place(r):
+        late = [(x is None, x if x is not None else 0) for x in (r["score_id_ano"], r["row"])]
+        return r["menage_ano"], r["date_calcul"] is None, str(r["date_calcul"]), *late
+
+    want, last = {}, {}
+    for r in sorted(rows.collect(), key=place):
+        want[r["row"]] = last.get(r["menage_ano"])
+        last[r["menage_ano"]] = r["row"]
+    assert got == want
+    columns = r"_day#\d+, _hour#\d+, _slot#\d+L?"
+    assert re.search(rf"hashpartitioning\(menage_ano#\d+L?, {columns}", plan_of(found))
+
+
 def test_first_window_is_cut_by_hour(hot):
     df = with_previous(hot, ["menage_ano"], "date_calcul", ["score_id_ano"], ["score_final"])
     plan = plan_of(df)
