@@ -32,10 +32,12 @@ SEGMENT = 16 * WINDOW
 SHARD = 512 * WINDOW
 #: Pieces of one shard, should they be very short.
 SHARD_PIECES = 8192
-#: Distinct parts of words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Distinct words, and their greatest length, whose ids a worker remembers.
+REMEMBERED, WORD_LENGTH = 1_000_000, 64
 #: One piece in so many is looked at to balance shards.
 ESTIMATED = 16
+#: Neighbours of a seed that are sorted at first.
+NEAREST = 64
 K1, B = 1.2, 0.75
 VOCABULARY = 1 << 16
 
@@ -56,8 +58,11 @@ _PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETT
 _PLAIN = re.compile("[\t-\r -~\xa1-\xff]*")
 
 
-class Parts(dict):
-    """Ids of a part by the tokenizer's own model, remembered."""
+class Words(dict):
+    """Ids of lower-cased words by the tokenizer's own model, remembered.
+
+    A word consists of parts (none reaches across white space), which are words too.
+    """
 
     def __init__(self, tokenizer: object) -> None:
         super().__init__()
@@ -66,12 +71,16 @@ class Parts(dict):
         self.model = tokenizer.model
         self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
-    def __missing__(self, part: str) -> bytes:
-        spelled = part if part.isascii() else self.as_bytes(part)[0][0]
-        value = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-        # What came first stays: frequent parts are among it.
-        if len(self) < REMEMBERED:
-            self[part] = value
+    def __missing__(self, word: str) -> bytes:
+        parts = [word] if word.isalpha() else _PART.findall(word)
+        if len(parts) > 1:
+            value = b"".join(map(self.__getitem__, parts))
+        else:
+            spelled = word if word.isascii() else self.as_bytes(word)[0][0]
+            value = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        # What came first stays: frequent words are among it.
+        if len(self) < REMEMBERED and len(word) <= WORD_LENGTH:
+            self[word] = value
         return value
 
 
@@ -79,7 +88,7 @@ class Encoder:
     """Token ids of whole texts, for the tokenizer whose parts ``_PART`` names.
 
     The parts of a text are encoded one by one whatever stands beside them, and
-    come again and again, so their ids are remembered, within a bound.
+    words come again and again, so their ids are remembered, within a bound.
     """
 
     def __init__(self, path: str) -> None:
@@ -91,7 +100,7 @@ class Encoder:
         kept = sys.modules.setdefault("hearthline_worker", ModuleType("hearthline_worker")).__dict__
         if path not in kept:
             tokenizer = Tokenizer.from_file(path)
-            kept[path] = (tokenizer, Parts(tokenizer))
+            kept[path] = (tokenizer, Words(tokenizer))
         self.tokenizer, self.known = kept[path]
         # Only a tokenizer that parts text in this way may be given parts.
         sample = "AB'll c9\xb2 \xdf\xc9.,'s"
@@ -101,7 +110,7 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def joined(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, _PART.findall(text.lower())))
+        return b"".join(map(self.known.__getitem__, text.lower().split()))
 
     def __call__(self, text: str) -> np.ndarray:
         """Ids of the text, ``END_ID`` appended."""
@@ -145,10 +154,15 @@ def _frequencies(pieces: DataFrame) -> np.ndarray:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(VOCABULARY + 2, np.int64)
+        last = np.zeros(VOCABULARY, np.int64)
+        places = np.arange(SEGMENT)
         for part in parts:
             for value in part.column(0):
                 ids = np.frombuffer(value.as_py(), "<u2")
-                seen[np.unique(ids)] += 1
+                # Each distinct id counts at its last place only.
+                at = places[: len(ids)]
+                last[ids] = at
+                seen[ids[last[ids] == at]] += 1
                 seen[VOCABULARY] += 1
                 seen[VOCABULARY + 1] += len(ids)
         own = np.flatnonzero(seen)
@@ -251,18 +265,35 @@ class Shard:
         self.owner, self.value = owner[order], value[order]
         self.start = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
         self.unused = np.ones(len(pieces), bool)
-
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused pieces by falling BM25 score against the seed, ties in the shard's order."""
+        self.indexed = len(pieces)
+
+    def _shrink(self) -> None:
+        """Leave used pieces out of the index."""
+        keep = self.unused[self.owner]
+        self.start = np.concatenate([[0], np.cumsum(keep)])[self.start]
+        self.owner, self.value = self.owner[keep], self.value[keep]
+        self.indexed = int(self.unused.sum())
+
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """Unused pieces by falling BM25 score against the seed, ties in the shard's order.
+
+        The nearest ones are sorted first; the others only if those do not do.
+        """
+        left = int(self.unused.sum())
+        if 2 * left < self.indexed:
+            self._shrink()
         t = self.terms[seed]
-        low, high = self.start[t], self.start[t + 1]
-        counts = high - low
-        total = int(counts.sum())
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(total)
-        scores = np.bincount(self.owner[at], weights=self.value[at], minlength=len(self.pieces))
+        lists = list(zip(self.start[t].tolist(), self.start[t + 1].tolist(), strict=True))
+        owner = np.concatenate([self.owner[a:b] for a, b in lists])
+        value = np.concatenate([self.value[a:b] for a, b in lists])
+        scores = np.bincount(owner, weights=value, minlength=len(self.pieces))
         scores[~self.unused] = -1
-        order = np.argsort(-scores, kind="stable")
-        return order[: int(self.unused.sum())]
+        bound = 0.0
+        if left > NEAREST:
+            bound = np.partition(scores, len(scores) - NEAREST)[len(scores) - NEAREST]
+        for found in (scores >= bound, (scores < bound) & (scores >= 0)):
+            near = np.flatnonzero(found)
+            yield from near[np.argsort(-scores[near], kind="stable")].tolist()
 
     def sequences(self) -> Iterator[list[tuple[int, int, int]]]:
         """Windows as lists of (piece, from, to); all full but those at the end."""
@@ -290,10 +321,10 @@ class Shard:
                     self.unused[near] = False
                     size = len(self.pieces[near][3])
                     take = min(room, size)
-                    window.append((int(near), 0, take))
+                    window.append((near, 0, take))
                     room -= take
                     if take < size:
-                        rest = (int(near), take)
+                        rest = (near, take)
                     if not room:
                         break
             if not room:
