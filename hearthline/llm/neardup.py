@@ -15,6 +15,7 @@ counts and a spanning forest, never all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,9 @@ from hearthline.llm.common import prepare, scalar, stored, unit_rows
 from hearthline.llm.components import components
 
 THRESHOLD = 0.95
-TABLES = 8
+#: Tables while a table joins up to three hashes; with more of them a pair is met more
+#: rarely in each table, and ``GROWTH`` times as many tables a hash keep recall level.
+TABLES, GROWTH = 8, 1.7
 #: Neighbouring buckets that are tried besides the own one, per table.
 PROBES = 2
 #: Vectors of one block of a bucket, on average.
@@ -49,6 +52,11 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(size)
 
 
+def table_count(hashes: int) -> int:
+    """Tables needed for a recall of 0.999 at the threshold (measured in 64 dimensions)."""
+    return math.ceil(TABLES * GROWTH ** max(0, hashes - 3))
+
+
 def buckets(vectors: np.ndarray, hashes: int, tables: int, probes: int, seed: int = 5) -> np.ndarray:
     """Bucket numbers: rows by (tables, 1 + probes); the first of each table is the own one."""
     n, dims = vectors.shape
@@ -108,15 +116,16 @@ def usable(embeddings: DataFrame) -> DataFrame:
 
 
 def _signed(distinct: DataFrame, dims: int, hashes: int) -> DataFrame:
-    """One row per vector and bucket: (bucket, own, rep, rows, embedding, all buckets)."""
+    """One row per distinct vector: (rep, rows, embedding, all its buckets)."""
+    tables = table_count(hashes)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             if not part.num_rows:
                 continue
             x = _matrix(part.column(0), dims)
-            found = buckets(x, hashes, TABLES, PROBES)
-            n, per = len(x), TABLES * (1 + PROBES)
+            found = buckets(x, hashes, tables, PROBES)
+            n, per = len(x), tables * (1 + PROBES)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(1),
@@ -297,7 +306,7 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
         "bucket", low.alias("block_a"), high.alias("block_b"), side.alias("side"), "rep", "rows",
         "embedding", "buckets",
     )
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * TABLES * (1 + PROBES) // 200_000)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * table_count(hashes) * (1 + PROBES) // 200_000)
     dealt = dealt.repartition(parts, "bucket", "block_a", "block_b").sortWithinPartitions(
         "bucket", "block_a", "block_b"
     )

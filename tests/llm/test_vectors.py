@@ -60,6 +60,21 @@ def test_links_and_components(spark, block, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found.values())
 
 
+@pytest.mark.parametrize("hashes", [1, 2, 3, 4, 5, 6])
+def test_recall_stays_level_with_the_number_of_hashes(hashes):
+    """Pairs whose cosine is the threshold itself share a bucket, whatever the size of the table."""
+    r = np.random.default_rng(hashes)
+    a, b = r.standard_normal((2, 600, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = neardup.THRESHOLD * a + np.sqrt(1 - neardup.THRESHOLD**2) * b
+    tables = neardup.table_count(hashes)
+    left, right = (neardup.buckets(x, hashes, tables, neardup.PROBES) for x in (a, near))
+    met = (left[:, :, :, None] == right[:, :, None, :]).any(axis=(1, 2, 3))
+    assert met.mean() >= 0.99 and tables == [8, 8, 8, 14, 24, 40][hashes - 1]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, nan]), (5, [inf, 0.0]), (6, [1.0, None]), (7, []),
