@@ -16,7 +16,6 @@ from hearthline.functions.columns import (
     as_instant,
     is_blank,
     last_value,
-    first_value,
     normalised,
     round_to,
     same,
@@ -86,7 +85,7 @@ def score_events(master: DataFrame, segments: tuple[str, ...] = ()) -> DataFrame
         "menage_ano",
         "date_calcul",
         F.when(kind != REMOVAL, F.col("score_final")).alias("score"),
-        kind.alias("kind"),
+        (kind == ENROLMENT).alias("enrolled"),
         F.struct(F.col("date_calcul"), *tie).alias("seq"),
         *segments,
     )
@@ -106,12 +105,17 @@ def household_states(
     origin = events.agg(F.min("date_calcul")).scalar()
     # Scalars enter through a projection: aggregate and window expressions cannot hold them.
     placed = events.withColumn("eff", effective_point(F.col("date_calcul"), step))
-    carried = F.struct("score", *segments)
-    per_point = placed.groupBy("menage_ano", "eff").agg(
-        F.min("date_calcul").alias("opened"),
-        F.max("date_calcul").alias("closed"),
-        first_value(F.struct("score", "kind", *segments), F.col("seq")).alias("first"),
-        last_value(carried, F.col("seq")).alias("last"),
+    # Order and state in one: smaller than a state beside its order, of which each side has both.
+    event = F.struct("seq", "score", "enrolled", *segments)
+    state = ("seq.date_calcul", "score", "enrolled", *segments)
+    per_point = (
+        placed.groupBy("menage_ano", "eff")
+        .agg(F.min(event).alias("first"), F.max(event).alias("last"))
+        .select(
+            "menage_ano",
+            "eff",
+            *[F.struct(*[F.col(f"{side}.{c}") for c in state]).alias(side) for side in ("first", "last")],
+        )
     )
     life = Window.partitionBy("menage_ano").orderBy("eff")
     lined = per_point.select(
@@ -122,16 +126,18 @@ def household_states(
     begin = effective_point(F.col("origin"), step)
     seeded = (
         (F.col("at") == 1)
-        & (F.col("first.kind") != ENROLMENT)
-        & (F.col("opened") > F.col("origin"))
+        & ~F.col("first.enrolled")
+        & (F.col("first.date_calcul") > F.col("origin"))
+    )
+    later = F.col("last.date_calcul") > F.col("first.date_calcul")
+    first_state, last_state = (
+        F.struct(F.col(f"{side}.score"), *[F.col(f"{side}.{s}") for s in segments]) for side in ("first", "last")
     )
-    later = F.col("closed") > F.col("opened")
-    first_state = F.struct(F.col("first.score"), *[F.col(f"first.{s}") for s in segments])
 
     def span(start: Column, stop: Column, state: Column) -> Column:
         return F.struct(start.alias("start"), stop.alias("stop"), state.alias("state"))
 
-    own = span(F.col("eff"), F.col("until"), F.col("last"))
+    own = span(F.col("eff"), F.col("until"), last_state)
     spans = (
         F.when(~seeded, F.array(own))
         .when(~later, F.array(span(begin, F.col("until"), first_state)))

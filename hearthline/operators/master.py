@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthline.functions.columns import category_values, last_value, month_start, same, sequence_key, truth, unused
@@ -63,14 +65,17 @@ def build_master_events(
     households: DataFrame | None = None,
     programmes: DataFrame | None = None,
     thresholds: dict[str, float] | None = None,
+    lay_out: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Score events with household attributes, programme and eligibility.
 
     Both joins use the household key, so the events are shuffled once for the
-    two of them. Leave ``households`` out when no attribute is needed.
+    two of them. Leave ``households`` out when no attribute is needed. ``lay_out``
+    orders the rows before the flags are added, which then need no shuffle.
     """
     events = scores if households is None else join_households(scores, households)
-    return add_threshold_flags(join_programmes(events, programmes), thresholds)
+    joined = join_programmes(events, programmes)
+    return add_threshold_flags(lay_out(joined) if lay_out else joined, thresholds)
 
 
 def build_programme_frame(master: DataFrame, programme: str) -> DataFrame:

@@ -19,6 +19,7 @@ from hearthline.schema import MAX_SCORE, PROGRAMME_TYPES, struct_of
 from hearthline.session import configure
 from hearthline.sources import csv
 from hearthline.sources.snapshots import (
+    COMPRESSION,
     FrameMap,
     load_snapshots,
     remove_folder,
@@ -208,12 +209,14 @@ def run_job(
     if rejected.isEmpty():
         out.names.remove("rejected_lines")
 
-    events = master.build_master_events(scores, households, programmes)
-    events = out.store("master_events", clustered(events))
+    events = master.build_master_events(scores, households, programmes, lay_out=clustered)
+    events = out.store("master_events", events)
 
-    out.store("delta_frame", history.build_delta_frame(events))
+    # Looked for once, on a few columns, for score changes and trajectories.
+    previous = aside.store("previous_events", history.previous_events(events))
+    out.store("delta_frame", history.build_delta_frame(events, previous=previous))
     out.store("menage_timeline", history.build_household_timeline(events))
-    out.store("menage_trajectory", history.build_household_trajectory(events))
+    out.store("menage_trajectory", history.build_household_trajectory(events, previous=previous))
     crowded = asof.crowding(events)
     out.store(
         "score_timeseries",
@@ -237,10 +240,13 @@ def run_job(
         ),
     )
     # One pass over the events for all programmes; each becomes a snapshot of its own.
-    by_programme = f"{work}/by_programme"
-    events.withColumn("_part", F.col("programme")).write.partitionBy("_part").mode("overwrite").parquet(by_programme)
-    parts = spark.read.parquet(by_programme)
-    for name in category_values(programmes, "programme"):
+    names = category_values(programmes, "programme")
+    if names:
+        by_programme = f"{work}/by_programme"
+        listed = events.where(F.col("programme").isin(*names)).withColumn("_part", F.col("programme"))
+        listed.write.partitionBy("_part").mode("overwrite").option("compression", COMPRESSION).parquet(by_programme)
+        parts = spark.read.schema(listed.schema).parquet(by_programme)
+    for name in names:
         out.store(f"programme_{name}", master.build_programme_frame(parts.where(F.col("_part") == name).drop("_part"), name))
     if full:
         types = master.pivot_values(events)

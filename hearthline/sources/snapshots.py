@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 FrameMap = dict[str, DataFrame]
 
+#: Of stored tables; every Parquet reader knows it.
+COMPRESSION = "zstd"
+
 
 def load_frames(
     spark: SparkSession,
@@ -41,7 +44,7 @@ def save_frames(
         if skip_empty and df.isEmpty():
             continue
         path = f"{folder}/{name}.parquet"
-        df.write.mode(mode).parquet(path)
+        df.write.mode(mode).option("compression", COMPRESSION).parquet(path)
         written[name] = path
     return written
 

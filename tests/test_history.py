@@ -1,7 +1,11 @@
 """Fact table, deltas and histories on edge cases."""
 
+import re
+
+import numpy as np
 import pytest
 from helpers import day, events
+from pyspark.sql import functions as F
 
 from hearthline.operators import history, master, stats
 
@@ -155,3 +159,29 @@ def test_household_lookup_is_pushed_to_the_scan(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "m")).where("menage_ano = 1").select("score_final")
     plan = stored._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(menage_ano,1)" in plan and "programme" not in plan.split("ReadSchema")[1]
+
+
+def test_deltas_of_stored_previous_events_shuffle_the_rows_once(spark):
+    """Undated rows, ties and repeated ids included; attributes cross the network once."""
+    random = np.random.default_rng(3)
+    rows = []
+    for i in range(600):
+        date = None if i % 11 == 0 else f"2020-01-{random.integers(1, 9):02d}T0{random.integers(0, 3)}:00:00"
+        rows.append((int(random.integers(0, 40)) or None, ("AMOT", "ASD")[i % 2], date, i // 2, "a", float(random.integers(6, 12))))
+    frame = master.add_threshold_flags(events(spark, rows)).withColumn("region", F.concat("type_demande", "programme"))
+    columns = ["menage_ano", "date_calcul", "programme", "score_id_ano", "score_avant", "score_apres", "date_avant", "status_change"]
+    previous = history.previous_events(frame)
+    found = history.build_delta_frame(frame, previous=previous)
+    plain = history.build_delta_frame(frame)
+    assert found.columns == plain.columns
+    want = sorted(map(str, plain.select(*columns).collect()))
+    assert len(want) > 100 and sorted(map(str, found.select(*columns).collect())) == want
+    states = history.build_household_trajectory(frame).collect()
+    assert sorted(map(str, history.build_household_trajectory(frame, previous=previous).collect())) == sorted(map(str, states))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sent = re.findall(r"\) Exchange\s*\nInput \[\d+\]: (.*)", text)
+    assert len(sent) >= 4 and sum("region#" in columns for columns in sent) == 1
