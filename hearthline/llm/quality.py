@@ -10,8 +10,10 @@ similarity.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm.common import prepare, remainder, texts, unit_rows
-from hearthline.llm.features import quality_blocks, quality_counts
+from hearthline.llm.features import QUALITY_SIZE, quality_blocks, quality_counts
 
 #: Labelled documents that are learned from, per label; a documented bound.
 MAX_PER_LABEL = 1024
@@ -28,6 +30,8 @@ NEIGHBOURS = 15
 #: Votes weigh as this power of the similarity.
 SHARPNESS = 8
 ACCEPT = 0.7
+#: Examples whose counts the driver unpacks at a time.
+UNPACKED = 128
 
 
 def _label_rows(labels: DataFrame) -> DataFrame:
@@ -40,11 +44,11 @@ def _label_rows(labels: DataFrame) -> DataFrame:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """(doc_id, label, counts) of a bounded set of documents."""
+    """(doc_id, label, counts) of a bounded set of documents; counts are packed, being mostly zeros."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows = [quality_counts(t).astype(np.float32).tobytes() for t in texts(part.column(2))]
+            rows = [_packed(quality_counts(t)) for t in texts(part.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(rows, pa.binary())],
                 names=["doc_id", "label", "counts"],
@@ -55,6 +59,23 @@ def _counted(docs: DataFrame) -> DataFrame:
     )
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype(np.float32).tobytes(), 1)
+
+
+def _examples(found: list) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks, labels) of the examples, ordered by label, id and counts; they are unpacked a few at a time."""
+    ordered = []
+    for _, same in groupby(sorted(found, key=lambda r: (r["label"], r["doc_id"])), lambda r: (r["label"], r["doc_id"])):
+        rows = list(same)
+        ordered += rows if len(rows) == 1 else sorted(rows, key=lambda r: zlib.decompress(r["counts"]))
+    blocks = np.empty((len(ordered), QUALITY_SIZE))
+    for at in range(0, len(ordered), UNPACKED):
+        some = [np.frombuffer(zlib.decompress(r["counts"]), np.float32) for r in ordered[at : at + UNPACKED]]
+        blocks[at : at + UNPACKED] = quality_blocks(np.stack(some).astype(float))
+    return blocks, np.array([r["label"] for r in ordered])
+
+
 @dataclass
 class Model:
     """The latent space, the labelled vectors in it with the weight of their votes, and the base rate."""
@@ -83,12 +104,15 @@ def project(counts: np.ndarray, rarity: np.ndarray, basis: np.ndarray) -> np.nda
     return unit_rows((quality_blocks(counts) * rarity) @ basis)
 
 
-def fit(counts: np.ndarray, labels: np.ndarray, shares: dict[int, float]) -> Model:
-    """The model of labelled counts; ``shares`` are those of the labels among all labelled documents."""
-    blocks = quality_blocks(counts)
+def fit(blocks: np.ndarray, labels: np.ndarray, shares: dict[int, float]) -> Model:
+    """The model of labelled blocks; ``shares`` are those of the labels among all labelled documents.
+
+    ``blocks`` is weighed in place: the driver holds one matrix of the examples, not several.
+    """
     seen = (blocks > 0).sum(axis=0)
     rarity = np.log((1 + len(blocks)) / (1 + seen)) + 1
-    weighed = blocks * rarity
+    blocks *= rarity
+    weighed = blocks
     # Subspace iteration; the start is fixed so that reruns agree.
     width = min(DIMENSIONS, *weighed.shape)
     basis = np.random.default_rng(7).standard_normal((weighed.shape[1], width))
@@ -98,7 +122,7 @@ def fit(counts: np.ndarray, labels: np.ndarray, shares: dict[int, float]) -> Mod
     return Model(
         rarity,
         basis,
-        project(counts, rarity, basis),
+        unit_rows(weighed @ basis),
         labels,
         np.array([weight[k] for k in labels]),
         shares.get(1, 0.0),
@@ -125,14 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model | None
     found = _counted(picked.orderBy(order, "doc_id", "text").limit(2 * MAX_PER_LABEL)).collect()
     if not found:
         return None
-    found.sort(key=lambda r: (r["label"], r["doc_id"], r["counts"]))
-    counts = np.stack([np.frombuffer(r["counts"], np.float32) for r in found]).astype(float)
     total = sum(totals.values())
-    return fit(
-        counts,
-        np.array([r["label"] for r in found]),
-        {k: n / total for k, n in totals.items()},
-    )
+    return fit(*_examples(found), {k: n / total for k, n in totals.items()})
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -176,3 +177,24 @@ def test_executors_need_not_have_the_library(tmp_path):
     script.write_text(WITHOUT_LIBRARY.format(root=root))
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, timeout=240)
     assert done.returncode == 0, done.stderr.decode()[-2000:]
+
+
+def test_examples_are_unpacked_a_few_at_a_time():
+    """The driver holds one matrix of the examples, not a row of copies; the model is that of all at once."""
+    random = np.random.default_rng(1)
+    counts = random.poisson(0.2, (2000, quality.QUALITY_SIZE)).astype(np.float32)
+    found = [{"label": i % 2, "doc_id": i // 2 // 2, "counts": quality._packed(c)} for i, c in enumerate(counts)]
+    order = sorted(range(2000), key=lambda i: (found[i]["label"], found[i]["doc_id"], counts[i].tobytes()))
+    want = quality_blocks(counts[order].astype(float))
+    size = want.nbytes
+    del want
+    tracemalloc.start()
+    blocks, labels = quality._examples(found)
+    model = quality.fit(blocks, labels, {0: 0.5, 1: 0.5})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * size
+    want = quality_blocks(counts[order].astype(float))
+    assert labels.tolist() == [i % 2 for i in order]
+    assert np.array_equal(blocks, want * model.rarity)
+    assert np.allclose(model.vectors, quality.project(counts[order].astype(float), model.rarity, model.basis))
