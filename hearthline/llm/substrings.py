@@ -8,7 +8,8 @@ has ``SPAN_WORDS`` words or more is hashed. Spans that occur more than once are
 found by a global count of hashes; every occurrence but the first loses its
 sentences.
 
-Positions are only moved for spans whose hash occurs again (a Bloom filter of those
+Hashes are stored by text, so no text is hashed twice. Positions are only moved for
+spans whose hash occurs again (a Bloom filter of those
 hashes is broadcast; what it lets through wrongly goes in the exact count).
 """
 
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,47 +125,66 @@ class Spans:
         return value ^ (value >> np.uint64(30)), starts
 
 
-def _again(docs: DataFrame) -> DataFrame:
-    """(shard, hash) of the spans that occur more than once."""
+def _spans(docs: DataFrame) -> DataFrame:
+    """(none, doc, text_id, ats, spans): first words and hashes of the spans of every text.
+
+    ``none`` tells null ids. Rows with the same id and text are one document. Texts
+    without spans have no row.
+    """
+    schema = pa.schema(
+        [
+            ("none", pa.bool_()), ("doc", pa.int64()), ("text_id", pa.int64()),
+            ("ats", pa.list_(pa.int32())), ("spans", pa.list_(pa.int64())),
+        ]
+    )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = Spans()
         for part in parts:
-            found = [np.zeros(0, np.uint64), *(spans.of(text)[0] for text in texts(part.column(0)))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["hash"])
+            which, at, values = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for i, text in enumerate(texts(part.column(3))):
+                value, start = spans.of(text)
+                if len(value):
+                    which.append(i)
+                    at.append(start)
+                    values.append(value)
+            ends = pa.array(np.cumsum([len(v) for v in values]).astype(np.int32))
+            lists = (np.concatenate(at).astype(np.int32), np.concatenate(values).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(part.column(i).take(pa.array(which, pa.int64())) for i in range(3)),
+                    *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in lists),
+                ],
+                schema=schema,
+            )
+
+    return _keyed(docs).select("none", "doc", "text_id", "text").mapInArrow(
+        run, "none boolean, doc long, text_id long, ats array<int>, spans array<long>"
+    )
 
-    seen = docs.select("text").mapInArrow(run, "hash long")
-    return seen.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit(0).alias("shard"), "hash")
 
+def _again(spans: DataFrame) -> DataFrame:
+    """(shard, hash) of the spans that occur more than once."""
+    seen = spans.select(F.explode("spans").alias("hash"))
+    return seen.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit(0).alias("shard"), "hash")
 
-def _places(docs: DataFrame, again: np.ndarray | None) -> DataFrame:
-    """(none, doc, text_id, at, span) of the spans that may occur again.
 
-    ``none`` tells null ids. Rows with the same id and text are one document.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(again)
+def _places(spans: DataFrame, again: np.ndarray | None) -> DataFrame:
+    """(none, doc, text_id, at, span) of the spans that may occur again."""
+    shared = spans.sparkSession.sparkContext.broadcast(again)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = Spans()
         for part in parts:
-            which, at, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for i, text in enumerate(texts(part.column(3))):
-                value, start = spans.of(text)
-                keep = bloom.held(shared.value, value)
-                which.append(np.full(int(keep.sum()), i))
-                at.append(start[keep])
-                values.append(value[keep])
-            rows = pa.array(np.concatenate(which))
+            at, value = part.column(3).flatten(), part.column(4).flatten()
+            held = bloom.held(shared.value, value.to_numpy(zero_copy_only=False).view(np.uint64))
+            keep = pa.array(np.flatnonzero(held))
+            rows = pc.list_parent_indices(part.column(4)).take(keep)
             yield pa.RecordBatch.from_arrays(
-                [
-                    *(part.column(i).take(rows) for i in range(3)),
-                    pa.array(np.concatenate(at).astype(np.int32)),
-                    pa.array(np.concatenate(values).view(np.int64)),
-                ],
+                [*(part.column(i).take(rows) for i in range(3)), at.take(keep), value.take(keep)],
                 names=["none", "doc", "text_id", "at", "span"],
             )
 
-    return _keyed(docs).select("none", "doc", "text_id", "text").mapInArrow(
+    return spans.select("none", "doc", "text_id", "ats", "spans").mapInArrow(
         run, "none boolean, doc long, text_id long, at int, span long"
     )
 
@@ -213,9 +234,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     characters. An empty table gives no rows; other columns are not returned.
     """
     prepare(docs.sparkSession)
-    again = stored(_again(docs), "spans-again")
+    # Hashed once and stored; they are read to count and to place them.
+    spans = stored(_spans(docs), "spans")
+    again = stored(_again(spans), "spans-again")
     shard = bloom.build(again).get(0)
-    places = stored(_places(docs, shard), "span-places")
+    places = stored(_places(spans, shard), "span-places")
     first = places.groupBy("span").agg(F.min(_place()).alias("origin"), F.max(_place()).alias("last")).filter("origin < last")
     # Stored, so that the join deals both sides anew and can split a span that very many texts share.
     first = stored(first.select(F.col("span").alias("s"), "origin"), "span-firsts")

@@ -325,6 +325,38 @@ def test_packing_runs_agree_over_several_partitions(spark, monkeypatch):
     assert len({r[5] >> 40 for r in runs[0]}) >= 3
 
 
+def test_spans_are_stored_once_and_counted_from_there(spark):
+    """Every text is cut and hashed in one pass; counts and places come from its table."""
+    rng = random.Random(21)
+    shared = prose(rng, 6)
+    rows = [(i, prose(rng, 4) + " " + (shared if i % 3 == 0 else "") + prose(rng, 3)) for i in range(60)]
+    rows += [(70, None), (71, ""), (72, "short text"), (None, shared), (5, rows[5][1])]
+    table = substrings._spans(frame(spark, rows)).cache()
+    own = substrings.Spans()
+    want = {}
+    for doc, text in rows:
+        value, at = own.of(text or "")
+        if len(value):
+            want.setdefault((doc is None, doc or 0), []).append((at.tolist(), value.view(np.int64).tolist()))
+    found = {}
+    for r in table.collect():
+        found.setdefault((r["none"], r["doc"]), []).append((r["ats"], r["spans"]))
+    assert found == want
+    times = {}
+    for lists in want.values():
+        for _, spans in lists:
+            for span in spans:
+                times[span] = times.get(span, 0) + 1
+    again = {span for span, n in times.items() if n > 1}
+    assert again and {r["hash"] for r in substrings._again(table).collect()} == again
+    bits = substrings.bloom.build(substrings._again(table)).get(0)
+    placed = [(r["none"], r["doc"], r["at"], r["span"]) for r in substrings._places(table, bits).collect()]
+    every = [(*key, a, s) for key, lists in want.items() for at, spans in lists for a, s in zip(at, spans)]
+    assert sorted(p for p in placed if p[3] in again) == sorted(e for e in every if e[3] in again)
+    assert len(placed) < len(every)
+    assert substrings._places(table, None).collect() == []
+
+
 def test_neighbours_share_windows():
     """Pieces about the same rare tokens are packed together."""
     rng = np.random.default_rng(0)
