@@ -8,8 +8,8 @@ has ``SPAN_WORDS`` words or more is hashed. Spans that occur more than once are
 found by a global count of hashes; every occurrence but the first loses its
 sentences.
 
-Hashes are stored by text, so no text is hashed twice. Positions are only moved for
-spans whose hash occurs again (a Bloom filter of those
+The hashes of a text's spans are stored once; they are counted and placed from there.
+Positions are only moved for spans whose hash occurs again (a Bloom filter of those
 hashes is broadcast; what it lets through wrongly goes in the exact count).
 """
 
