@@ -51,6 +51,9 @@ COUNTED, VERIFIED = 1_000_000, 1024
 HUB_ROUNDS, NEAREST_ROUNDS, NEAREST = 1, 1, 1
 #: Bits of a sketch, sets of one entry that are compared with each other at a time.
 SKETCH, BLOCK = 1024, 1024
+#: Sets of a block whose pairs are named at a time, and pairs (of nearest ones: sets) that a
+#: task remembers before it starts afresh: both bound the memory of a Python worker.
+COMPARED, HELD = 64, 100_000
 #: Words whose hashes a task remembers, tokens it collects before it passes them on.
 REMEMBERED, COLLECTED = 300_000, 1_000_000
 
@@ -473,8 +476,8 @@ def _left_pairs(entries: DataFrame, whole: DataFrame, percent: int, block: int,
         if (component == component[0]).all():
             return
         marks = np.frombuffer(b"".join(data), np.uint64).reshape(len(n), -1)
-        for start in range(0, len(n), 256):
-            first = slice(start, start + 256)
+        for start in range(0, len(n), COMPARED):
+            first = slice(start, start + COMPARED)
             hit, differing = _may_link(n, marks, first, percent)
             hit &= component[first, None] != component[None, :]
             if key[1] != key[2]:
@@ -498,12 +501,12 @@ def _left_pairs(entries: DataFrame, whole: DataFrame, percent: int, block: int,
                     mine.append((distance, b))
                     mine.sort()
                     del mine[nearest:]
-                if len(best) < 200_000:
+                if len(best) < HELD:
                     continue
             elif (a, b) not in known:
                 known.add((a, b))
                 yield a, b
-                if len(known) > 500_000:
+                if len(known) > HELD:
                     known.clear()
                 continue
             yield from {(min(x, y), max(x, y)) for x, mine in best.items() for _, y in mine}

@@ -84,6 +84,11 @@ class Words(dict):
         return value
 
 
+def _forget() -> None:
+    """Free the words that this worker remembers; its process goes on to other tasks and operators."""
+    sys.modules.pop("hearthline_worker", None)
+
+
 class Encoder:
     """Token ids of whole texts, for the tokenizer whose parts ``_PART`` names.
 
@@ -96,7 +101,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        # A Python worker runs many tasks; what it has learned outlives each of them.
+        # A Python worker runs many tasks; what it has learned outlives each of them, until
+        # the tasks that count the ids of the finished table free it.
         kept = sys.modules.setdefault("hearthline_worker", ModuleType("hearthline_worker")).__dict__
         if path not in kept:
             tokenizer = Tokenizer.from_file(path)
@@ -153,6 +159,7 @@ def _frequencies(pieces: DataFrame) -> np.ndarray:
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         seen = np.zeros(VOCABULARY + 2, np.int64)
         last = np.zeros(VOCABULARY, np.int64)
         places = np.arange(SEGMENT)
@@ -198,6 +205,7 @@ def _anchored(pieces: DataFrame, seen: np.ndarray) -> DataFrame:
     shared = pieces.sparkSession.sparkContext.broadcast(seen)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         known = Weights(shared.value)
         for part in parts:
             places = []
@@ -400,6 +408,7 @@ def pack(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
             yield from packed(held, weights, numbers)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         fields = pa.schema([PIECES.field(c) for c in columns])
         yield from batches(rows(parts), fields, size=5000)
 

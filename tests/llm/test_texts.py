@@ -2,9 +2,11 @@
 
 import os
 import random
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +207,16 @@ def test_join_equals_all_pairs(spark, rare, k, percent, hubs, block, monkeypatch
     assert got == sorted(linked(rows, k, percent), key=key)
 
 
+def test_join_with_small_bounds_of_memory(spark, monkeypatch):
+    """What a task remembers is dropped again and again; no link is lost."""
+    for name, value in (("HELD", 2), ("COMPARED", 2), ("HUB_ROUNDS", 0), ("BLOCK", 5)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = corpus(4, 8, 6)
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(frame(spark, rows)).collect()]
+    assert sorted(got, key=key) == sorted(linked(rows, 4, 85), key=key)
+
+
 def test_representatives(spark):
     rng = random.Random(3)
     a, b = prose(rng, 20), prose(rng, 20)
@@ -314,6 +326,34 @@ def test_ids_equal_those_of_whole_texts():
         assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
+def test_words_are_freed_once_the_table_of_ids_is_written():
+    """Workers live on, so what one stage remembers would take memory in all later ones."""
+
+    class Here:
+        """Runs the function of a stage in this process."""
+
+        def select(self, *columns):
+            return self
+
+        groupBy = agg = select
+
+        def mapInArrow(self, run, kinds):
+            ids = np.arange(3, dtype="<u2").tobytes()
+            self.batches = list(run(iter([pa.RecordBatch.from_arrays([pa.array([ids])], names=["ids"])])))
+            return self
+
+        def collect(self):
+            return self.batches[0].to_pylist()
+
+    encode = packing.Encoder(tokenizer_path())
+    ids = encode("words that stay").tolist()
+    assert len(encode.known) and "hearthline_worker" in sys.modules
+    assert packing._frequencies(Here())[:4].tolist() == [1, 1, 1, 0]
+    assert "hearthline_worker" not in sys.modules
+    again = packing.Encoder(tokenizer_path())
+    assert again.known is not encode.known and again("words that stay").tolist() == ids
+
+
 def test_packing_runs_agree_over_several_partitions(spark, monkeypatch):
     rng = random.Random(12)
     monkeypatch.setattr(packing, "SHARD", 4 * packing.WINDOW)
