@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import batches, prepare, scalar, stored, texts
+from hearthline.llm.common import batches, prepare, scalar, stored
 from hearthline.llm.components import components
 
 #: A token in more sets than this is frequent.
@@ -54,39 +54,94 @@ SKETCH, BLOCK = 1024, 1024
 #: Sets of a block whose pairs are named at a time, and pairs (of nearest ones: sets) that a
 #: task remembers before it starts afresh: both bound the memory of a Python worker.
 COMPARED, HELD = 64, 100_000
-#: Words whose hashes a task remembers, tokens it collects before it passes them on.
-REMEMBERED, COLLECTED = 300_000, 1_000_000
+#: Tokens that a task collects before it passes them on.
+COLLECTED = 1_000_000
+#: Bytes of texts (one text at least) and words that a task hashes at a time, bytes of a word
+#: that are hashed with those of all other words.
+TOGETHER, AT_ONCE, SHORT = 1 << 19, 1 << 16, 64
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Words(dict):
-    """Hash of a word, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < REMEMBERED:
-            self[word] = value
-        return value
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str, k: int, known: Words) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``k`` words (fewer words: of the whole)."""
-    words = text.encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    marks = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    size = min(k, len(words))
-    runs = np.full(len(words) - size + 1, size, np.uint64)
-    for i in range(size):
+def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in texts that lie end to end, cut at the given places."""
+    inside = (data != 32) & (data - np.uint8(9) >= 5)
+    begins, closes = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    # No word reaches across a cut.
+    at = cuts[cuts < len(data)]
+    begins[at] = inside[at]
+    at = cuts[cuts > 0] - 1
+    closes[at] = inside[at]
+    return np.flatnonzero(begins), np.flatnonzero(closes) + 1
+
+
+def _marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, eight bytes of all words at a time; long words are hashed one by one."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    masks = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    out = np.zeros(len(starts), np.uint64)
+    for part in range(0, len(starts), AT_ONCE):
+        begin = starts[part : part + AT_ONCE]
+        size = ends[part : part + AT_ONCE] - begin
+        value = size.astype(np.uint64)
+        some = np.arange(len(size))
+        for done in range(0, SHORT, 8):
+            some = some[size[some] > done]
+            if not len(some):
+                break
+            bytes_ = eight[begin[some] + done] & masks[np.minimum(size[some] - done, 8)]
+            value[some] = _mixed(value[some] * _MULTIPLY + bytes_)
+        out[part : part + AT_ONCE] = value
+    for i in np.flatnonzero(ends - starts > SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return out
+
+
+def _runs(marks: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words."""
+    runs = np.full(max(len(marks) - size + 1, 0), size, np.uint64)
+    for i in range(size if len(runs) else 0):
         runs = _mixed(runs * _MULTIPLY + marks[i : len(marks) - size + 1 + i])
-    return np.unique(runs)
+    return runs
+
+
+def shingles(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """For every text sorted distinct hashes of the runs of ``k`` words (fewer words: of the whole).
+
+    Texts are hashed together, as many as ``TOGETHER`` bytes hold; a word has the same hash everywhere.
+    """
+    column = (column.fill_null("") if column.null_count else column).cast(pa.large_binary())
+    _, places, raw = column.buffers()
+    places = np.frombuffer(places, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+    whole = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    start = 0
+    while start < len(column):
+        end = max(start + 1, int(np.searchsorted(places, places[start] + TOGETHER, "right")) - 1)
+        cuts = places[start : end + 1] - places[start]
+        data = whole[places[start] : places[end]]
+        data = data + ((data - np.uint8(65) < 26).view(np.uint8) << 5)
+        begins, closes = _words(data, cuts)
+        marks = _marks(data, begins, closes)
+        runs = _runs(marks, k)
+        bounds = np.searchsorted(begins, cuts).tolist()
+        for low, high in zip(bounds, bounds[1:]):
+            if high - low >= k:
+                tokens = runs[low : high - k + 1]
+            else:
+                tokens = _runs(marks[low:high], high - low)[: high - low]
+            tokens.sort()
+            fresh = tokens[1:] != tokens[:-1]
+            yield tokens if fresh.all() else tokens[np.append(True, fresh)]
+        start = end
 
 
 def set_number(tokens: np.ndarray) -> int:
@@ -185,11 +240,9 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, text_hash, n_shingles, set_id); set_id is null for the empty set."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for part in parts:
             sizes, numbers = [], []
-            for text in texts(part.column(2)):
-                tokens = shingles(text, k, known)
+            for tokens in shingles(part.column(2), k):
                 sizes.append(len(tokens))
                 numbers.append(set_number(tokens) if len(tokens) else None)
             yield pa.RecordBatch.from_arrays(
@@ -230,16 +283,15 @@ def _reduced(docs: DataFrame, k: int, percent: int, ranges: int) -> DataFrame:
         )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, held, waiting = Words(), set(), [], 0
+        seen, held, waiting = set(), [], 0
         for part in parts:
-            for text in texts(part.column(0)):
-                tokens = shingles(text, k, known)
+            for tokens in shingles(part.column(0), k):
                 number = set_number(tokens)
                 # Copies within a task go on once; those of several tasks meet below.
                 if not len(tokens) or number in seen:
                     continue
                 seen.add(number)
-                held.append((number, len(tokens), tokens[: reduced_size(len(tokens), percent)]))
+                held.append((number, len(tokens), tokens[: reduced_size(len(tokens), percent)].copy()))
                 waiting += len(held[-1][2])
                 if waiting >= COLLECTED:
                     yield passed_on(held)
@@ -354,11 +406,9 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(set_id, n, tokens, sketch) of the wanted sets, each from its representative document."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for part in parts:
             rows = []
-            for number, text in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
-                tokens = shingles(text, k, known)
+            for number, tokens in zip(part.column(0).to_pylist(), shingles(part.column(1), k), strict=True):
                 # Another text under the same id is not the one meant.
                 if len(tokens) and set_number(tokens) == number:
                     rows.append((number, len(tokens), _planes(tokens, 8), sketch(tokens)))

@@ -230,6 +230,45 @@ def test_representatives(spark):
     assert jaccard.join(docs.limit(0)).collect() == []
 
 
+def test_shingles_of_many_texts_at_once(monkeypatch):
+    """Words of all texts are hashed together; a set depends on its own text only."""
+    monkeypatch.setattr(jaccard.xxhash, "xxh3_64_intdigest", calls := Counted(jaccard.xxhash.xxh3_64_intdigest))
+    rng = random.Random(14)
+    signs = ["a", "B", "b ", " ", "\t", "\x0b", "\x1c", "\x00", "\x85", "\xa0", "é", "É", "Z" * 9, "x" * 70, "X" * 70, "一 "]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(600)]
+    texts += [None, "", " ", "a " * 3, "y" * 300]
+
+    def runs(text):
+        words = (text or "").encode().lower().split()
+        return frozenset(tuple(words[i : i + 4]) for i in range(max(len(words) - 3, min(len(words), 1))))
+
+    known = {}
+    for together, at_once in ((1 << 19, 1 << 16), (50, 1 << 16), (1, 3)):
+        monkeypatch.setattr(jaccard, "TOGETHER", together)
+        monkeypatch.setattr(jaccard, "AT_ONCE", at_once)
+        found = list(jaccard.shingles(pa.array(["left out", *texts])[1:], 4))
+        assert len(found) == len(texts)
+        for text, tokens in zip(texts, found):
+            assert (tokens[1:] > tokens[:-1]).all()
+            assert len(tokens) == len(runs(text))
+            assert known.setdefault(runs(text), tokens.tolist()) == tokens.tolist()
+    assert len({tuple(v) for v in known.values()}) == len(known) > 400
+    # Short words are never hashed one by one.
+    assert calls.sizes and min(calls.sizes) > jaccard.SHORT
+    assert list(jaccard.shingles(pa.array([], pa.string()), 4)) == []
+
+
+class Counted:
+    """A hash function that notes the lengths of what it is given."""
+
+    def __init__(self, function):
+        self.function, self.sizes = function, []
+
+    def __call__(self, data):
+        self.sizes.append(len(data))
+        return self.function(data)
+
+
 def test_sketches_leave_no_link_out():
     rng = np.random.default_rng(8)
     for n in (1, 5, 40, 300, 3000):
