@@ -15,7 +15,7 @@ import os
 import re
 import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from types import ModuleType
 
 import numpy as np
@@ -32,8 +32,11 @@ SEGMENT = 16 * WINDOW
 SHARD = 512 * WINDOW
 #: Pieces of one shard, should they be very short.
 SHARD_PIECES = 8192
-#: Distinct words, and their greatest length, whose ids a worker remembers.
-REMEMBERED, WORD_LENGTH = 1_000_000, 64
+#: Places for parts of texts whose ids a worker remembers (a power of two), and the share of them
+#: that is filled; longer parts than ``PART_LENGTH`` are not remembered.
+PLACES, FILLED, PART_LENGTH = 1 << 21, 0.6, 16
+#: Characters of plain texts (one text at least) that are parted at a time.
+TOGETHER = 1 << 19
 #: One piece in so many is looked at to balance shards.
 ESTIMATED = 16
 #: Neighbours of a seed that are sorted at first.
@@ -53,39 +56,149 @@ PIECES = pa.schema(
 # Fixed by the tokenizer: how it parts lower-cased text of the first 256 characters
 # (letters, single digits, marks, and the endings of contractions).
 _LETTER, _DIGIT = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
 #: Texts of these characters only are parted here; all others go to the tokenizer whole.
 _PLAIN = re.compile("[\t-\r -~\xa1-\xff]*")
-
-
-class Words(dict):
-    """Ids of lower-cased words by the tokenizer's own model, remembered.
-
-    A word consists of parts (none reaches across white space), which are words too.
+_SPACE, _MARK, _NUMBER, _ALPHA = range(4)
+_MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each of the first 256 characters its lower case and its kind."""
+    every = [chr(c) for c in range(256)]
+    lower = np.array([ord(x) if len(x := c.lower()) == 1 and ord(x) < 256 else ord(c) for c in every], np.uint8)
+    kinds = ((r"\s", _SPACE), (f"[{_DIGIT}]", _NUMBER), (f"[{_LETTER}]", _ALPHA))
+    return lower, np.array([next((k for p, k in kinds if re.match(p, c)), _MARK) for c in every], np.uint8)
+
+
+_LOWER, _KIND = _tables()
+
+
+def _parts(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts begin and end in lower-cased plain texts that lie end to end, cut at the given places."""
+    kind = _KIND[data]
+    begins = np.ones(len(data), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+    first = np.zeros(len(data) + 1, bool)
+    first[cuts] = True
+    begins |= first[:-1]
+    # An apostrophe that no mark precedes takes the ending of a contraction with it.
+    at = np.flatnonzero((data == ord("'")) & begins)
+    if len(at):
+        one, two = np.concatenate([data, np.zeros(2, np.uint8)])[at[:, None] + [1, 2]].T
+        near, far = first[at + 1], first[np.minimum(at + 2, len(data))]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8)) & ~near
+        pair = one.astype(np.int64) * 256 + two
+        long = np.isin(pair, [int.from_bytes(x) for x in (b"re", b"ve", b"ll")]) & ~near & ~far
+        begins[at[short | long] + 1] = False
+        for hit, size in ((short, 2), (long, 3)):
+            after = at[hit] + size
+            after = after[after < len(data)]
+            begins[after] = True
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(data))
+    words = kind[starts] != _SPACE
+    return starts[words], ends[words]
+
+
+class Parts:
+    """Ids of the parts of lower-cased texts by the tokenizer's own model, remembered.
+
+    A part of up to 16 characters is known by all of them, as two numbers; what came
+    first stays, and frequent parts are among it. Many parts are looked up at a time.
     """
 
     def __init__(self, tokenizer: object) -> None:
-        super().__init__()
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.model = tokenizer.model
-        self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-
-    def __missing__(self, word: str) -> bytes:
-        parts = [word] if word.isalpha() else _PART.findall(word)
-        if len(parts) > 1:
-            value = b"".join(map(self.__getitem__, parts))
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelled = {c: as_bytes(chr(c))[0][0] for c in range(0xA1, 0x100)}
+        self.low, self.high = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.uint64)
+        self.start, self.size = np.zeros(PLACES, np.int32), np.zeros(PLACES, np.uint8)
+        self.pool, self.used, self.filled = np.zeros(1 << 16, "<u4"), 0, 0
+
+    def __len__(self) -> int:
+        return self.filled
+
+    def learned(self, part: bytes) -> list[int]:
+        text = part.decode("latin-1")
+        return [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.spelled))]
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, one after the other, and their number for each part."""
+        padded = np.concatenate([data, np.zeros(PART_LENGTH, np.uint8)])
+        eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+        masks = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+        size = ends - starts
+        low = eight[starts] & masks[np.minimum(size, 8)]
+        high = eight[starts + 8] & masks[np.clip(size - 8, 0, 8)]
+        mixed = (low ^ (high * _MULTIPLY) ^ (high >> np.uint64(29))) * _MULTIPLY
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _MULTIPLY
+        bits = PLACES.bit_length() - 1
+        first = (mixed >> np.uint64(64 - bits)).astype(np.int64)
+        second = (mixed & np.uint64(PLACES - 1)).astype(np.int64)
+        short = size <= PART_LENGTH
+        place = np.where((self.low[first] == low) & (self.high[first] == high), first, second)
+        known = short & (self.low[place] == low) & (self.high[place] == high)
+        at, count = self.start[place].astype(np.int64), self.size[place].astype(np.int64)
+        new = np.flatnonzero(~known)
+        if len(new):
+            # Equal parts are learned once; all their ids follow the pool, for this call.
+            raw, fresh = data.tobytes(), []
+            once: dict[bytes, int] = {}
+            which, offsets = [], [0]
+            for a, b in zip(starts[new].tolist(), ends[new].tolist()):
+                part = raw[a:b]
+                number = once.setdefault(part, len(once))
+                if number == len(offsets) - 1:
+                    fresh.extend(self.learned(part))
+                    offsets.append(len(fresh))
+                which.append(number)
+            learned, offset = np.array(fresh, "<u4"), np.array(offsets)
+            at[new], count[new] = offset[which] + self.used, np.diff(offset)[which]
+            pool = np.concatenate([self.pool[: self.used], learned])
         else:
-            spelled = word if word.isascii() else self.as_bytes(word)[0][0]
-            value = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-        # What came first stays: frequent words are among it.
-        if len(self) < REMEMBERED and len(word) <= WORD_LENGTH:
-            self[word] = value
-        return value
+            pool = self.pool
+        ids = _gathered(pool, at, count)
+        if len(new):
+            _, some = np.unique(which, return_index=True)
+            some = new[some]
+            some = some[short[some] & (count[some] < 256)]
+            self._remember(low[some], high[some], [first[some], second[some]], pool, at[some], count[some])
+        return ids, count
+
+    def _remember(
+        self, low: np.ndarray, high: np.ndarray, places: list[np.ndarray], pool: np.ndarray, at: np.ndarray, count: np.ndarray
+    ) -> None:
+        """Keep new parts in the first of their places that is free."""
+        while places:
+            place = places[0]
+            free = np.flatnonzero(self.low[place] == 0)
+            _, some = np.unique(place[free], return_index=True)
+            some = free[some][: max(0, int(FILLED * PLACES) - self.filled)]
+            own, n = place[some], count[some]
+            ids = _gathered(pool, at[some], n)
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool)), "<u4")])
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.low[own], self.high[own] = low[some], high[some]
+            self.start[own], self.size[own] = self.used + np.cumsum(n) - n, n
+            self.used += len(ids)
+            self.filled += len(some)
+            left = np.ones(len(low), bool)
+            left[some] = False
+            low, high, at, count = low[left], high[left], at[left], count[left]
+            places = [p[left] for p in places[1:]]
+
+
+def _gathered(pool: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` values of the pool from each of the places on, one after the other."""
+    total = np.cumsum(count)
+    return pool[np.repeat(at - total + count, count) + np.arange(total[-1] if len(total) else 0)]
 
 
 def _forget() -> None:
-    """Free the words that this worker remembers; its process goes on to other tasks and operators."""
+    """Free the parts that this worker remembers; its process goes on to other tasks and operators."""
     sys.modules.pop("hearthline_worker", None)
 
 
@@ -93,7 +206,7 @@ class Encoder:
     """Token ids of whole texts, for the tokenizer whose parts ``_PART`` names.
 
     The parts of a text are encoded one by one whatever stands beside them, and
-    words come again and again, so their ids are remembered, within a bound.
+    they come again and again, so their ids are remembered, within a bound.
     """
 
     def __init__(self, path: str) -> None:
@@ -106,24 +219,45 @@ class Encoder:
         kept = sys.modules.setdefault("hearthline_worker", ModuleType("hearthline_worker")).__dict__
         if path not in kept:
             tokenizer = Tokenizer.from_file(path)
-            kept[path] = (tokenizer, Words(tokenizer))
+            kept[path] = (tokenizer, Parts(tokenizer))
         self.tokenizer, self.known = kept[path]
         # Only a tokenizer that parts text in this way may be given parts.
         sample = "AB'll c9\xb2 \xdf\xc9.,'s"
-        self.by_parts = self.joined(sample) == np.array(self.encoded(sample), "<u4").tobytes()
+        self.by_parts = self.joined([sample])[0].tolist() == [*self.encoded(sample), END_ID]
 
     def encoded(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def joined(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, text.lower().split()))
+    def joined(self, plain: list[str]) -> list[np.ndarray]:
+        """Ids of plain texts, ``END_ID`` appended to each."""
+        data = _LOWER[np.frombuffer("".join(plain).encode("latin-1"), np.uint8)]
+        cuts = np.concatenate([[0], np.cumsum([len(t) for t in plain])])
+        starts, ends = _parts(data, cuts)
+        ids, count = self.known(data, starts, ends)
+        places = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(starts, cuts)].tolist()
+        return [np.append(ids[a:b], np.uint32(END_ID)) for a, b in zip(places, places[1:])]
+
+    def all(self, some: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of every text in turn, ``END_ID`` appended; plain ones are parted together."""
+        held: list[str] = []
+        size = 0
+        for text in some:
+            plain = self.by_parts and "<|" not in text and _PLAIN.fullmatch(text)
+            if held and (not plain or size + len(text) > TOGETHER):
+                yield from self.joined(held)
+                held, size = [], 0
+            if plain:
+                held.append(text)
+                size += len(text)
+            else:
+                # Lone surrogates cannot reach the tokenizer; Spark's strings hold none.
+                yield np.array([*self.encoded(text.encode("utf-8", "replace").decode()), END_ID], "<u4")
+        if held:
+            yield from self.joined(held)
 
     def __call__(self, text: str) -> np.ndarray:
         """Ids of the text, ``END_ID`` appended."""
-        if self.by_parts and "<|" not in text and _PLAIN.fullmatch(text):
-            return np.append(np.frombuffer(self.joined(text), "<u4"), np.uint32(END_ID))
-        # Lone surrogates cannot reach the tokenizer; Spark's strings hold none.
-        return np.array([*self.encoded(text.encode("utf-8", "replace").decode()), END_ID], "<u4")
+        return next(self.all([text]))
 
 
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -135,8 +269,7 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         encode = Encoder(tokenizer)
         for part in parts:
-            for doc, text in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
-                ids = encode(text)
+            for doc, ids in zip(part.column(0).to_pylist(), encode.all(texts(part.column(1))), strict=True):
                 if ids.max() >= VOCABULARY:
                     raise ValueError("token ids beyond two bytes")
                 for start in range(0, len(ids), SEGMENT):
@@ -193,11 +326,30 @@ class Weights:
         # A token that no other piece has leads to no neighbour.
         self.telling = np.where(n > 1, self.rarity, 0).astype(np.float32)
 
-    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct ids of a piece and their weights in it."""
-        terms, times = np.unique(ids, return_counts=True)
-        damp = K1 * (1 - B + B * len(ids) / self.mean)
-        return terms, self.rarity[terms] * (times * (K1 + 1) / (times + damp)).astype(np.float32)
+    def of(self, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct ids of all pieces in turn, the number of their piece and their weights in it; where pieces begin."""
+        sizes = np.array([len(ids) for ids in pieces])
+        keys = np.repeat(np.arange(len(pieces)) << 16, sizes)
+        keys |= np.concatenate(pieces)
+        keys.sort()
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        times = np.diff(np.append(heads, len(keys)))
+        owner, terms = keys[heads] >> 16, keys[heads] & (VOCABULARY - 1)
+        damp = (K1 * (1 - B + B * sizes / self.mean))[owner]
+        weights = self.rarity[terms] * (times * (K1 + 1) / (times + damp)).astype(np.float32)
+        return terms, owner, weights, np.searchsorted(owner, np.arange(len(pieces)))
+
+    def anchors(self, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The two ids that tell most about each piece, smaller ids first among equals; one id alone stands twice."""
+        terms, owner, weights, start = self.of(pieces)
+        weights = np.where(self.telling[terms] > 0, weights, 0)
+        found = []
+        for _ in range(2):
+            hit = np.flatnonzero(weights == np.maximum.reduceat(weights, start)[owner])
+            best = hit[np.searchsorted(hit, start)]
+            found.append(terms[best])
+            weights[best] = -1
+        return found[0], found[1]
 
 
 def _anchored(pieces: DataFrame, seen: np.ndarray) -> DataFrame:
@@ -208,13 +360,10 @@ def _anchored(pieces: DataFrame, seen: np.ndarray) -> DataFrame:
         _forget()
         known = Weights(shared.value)
         for part in parts:
-            places = []
-            for value in part.column("ids"):
-                terms, weights = known.of(np.frombuffer(value.as_py(), "<u2"))
-                weights = np.where(known.telling[terms] > 0, weights, 0)
-                top = np.argsort(-weights, kind="stable")[:2]
-                first, second = int(terms[top[0]]), int(terms[top[-1]])
-                places.append(first * VOCABULARY + second)
+            if not part.num_rows:
+                continue
+            first, second = known.anchors([np.frombuffer(value.as_py(), "<u2") for value in part.column("ids")])
+            places = first * VOCABULARY + second
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(places, pa.int64())], names=[*part.schema.names, "place"]
             )
@@ -260,17 +409,10 @@ class Shard:
 
     def __init__(self, pieces: list[tuple[int, int, int, np.ndarray]], weights: Weights) -> None:
         self.pieces = pieces
-        terms, owners, values = [], [], []
-        self.terms = []
-        for i, (_, _, _, ids) in enumerate(pieces):
-            t, w = weights.of(ids)
-            self.terms.append(t)
-            terms.append(t)
-            owners.append(np.full(len(t), i, np.int32))
-            values.append(w)
-        term, owner, value = (np.concatenate(x) for x in (terms, owners, values))
+        term, owner, value, begin = weights.of([ids for _, _, _, ids in pieces])
+        self.terms = np.split(term, begin[1:])
         order = np.argsort(term, kind="stable")
-        self.owner, self.value = owner[order], value[order]
+        self.owner, self.value = owner[order].astype(np.int32), value[order]
         self.start = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
         self.unused = np.ones(len(pieces), bool)
         self.indexed = len(pieces)

@@ -365,6 +365,32 @@ def test_ids_equal_those_of_whole_texts():
         assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
+def test_parts_are_looked_up_together(monkeypatch):
+    """Ids are those of the tokenizer however texts meet; a part is learned once, also where it finds no place."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    tokenizer, rng = Tokenizer.from_file(path), random.Random(16)
+    few = ["'", "s", "T", "r", "e", "ve", "l", "'s", "'RE", "''", "1", "23", ".", ",'", " ", "\n", "d", "m", "é", "²", "word", "longer" * 4]
+    texts = ["".join(rng.choice(few) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    texts += ["'", "ll", "'l", "l", "", "一 word", "<| word", "it's we'll 'really ''s"]
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    for places, together in ((1 << 21, 1 << 19), (4, 100), (64, 1)):
+        packing._forget()
+        monkeypatch.setattr(packing, "PLACES", places)
+        monkeypatch.setattr(packing, "TOGETHER", together)
+        encode = packing.Encoder(path)
+        assert [ids.tolist() for ids in encode.all(texts)] == want
+        assert 0 < len(encode.known) <= places
+        learned = []
+        monkeypatch.setattr(encode.known, "learned", lambda part, f=encode.known.learned: learned.append(part) or f(part))
+        assert [ids.tolist() for ids in encode.all(texts)] == want
+        if places == 1 << 21:
+            assert learned and min(map(len, learned)) > packing.PART_LENGTH
+            assert len(learned) < sum("longer" in t for t in texts)
+    packing._forget()
+
+
 def test_words_are_freed_once_the_table_of_ids_is_written():
     """Workers live on, so what one stage remembers would take memory in all later ones."""
 
